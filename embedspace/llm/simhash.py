@@ -76,7 +76,7 @@ def planes_of(fingerprints: np.ndarray) -> np.ndarray:
     padded = np.zeros(n, np.uint64)
     padded[: len(fingerprints)] = fingerprints
     bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 64, 8), axis=2, bitorder="little")  # block, lane, bit
-    return np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little").view("<u8")[:, :, 0].copy()
+    return np.ascontiguousarray(np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little")).view("<u8")[:, :, 0].copy()
 
 
 def near_lanes(queries: np.ndarray, planes: np.ndarray, blocks: np.ndarray, radius: int = RADIUS) -> np.ndarray:
@@ -116,7 +116,7 @@ def spanning_links(fingerprints: np.ndarray, runs: np.ndarray) -> Iterator[tuple
         run_of = np.repeat(np.arange(len(a)), sizes)
         place = first[run_of] * 64 + (member - a[run_of])
         lanes[place], filled[place] = fingerprints[member], True
-        planes, full = planes_of(lanes), np.packbits(filled.reshape(-1, 64), axis=1, bitorder="little").view("<u8")[:, 0]
+        planes, full = planes_of(lanes), np.ascontiguousarray(np.packbits(filled.reshape(-1, 64), axis=1, bitorder="little")).view("<u8")[:, 0]
         reps = blocks_of[run_of]
         query = np.repeat(np.arange(len(member)), reps)
         block = np.arange(len(query)) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(first[run_of], reps)

@@ -19,6 +19,7 @@ by itself. An empty table gives an empty result. Other columns are ignored, what
 from __future__ import annotations
 
 import functools
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -26,10 +27,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from embedspace.llm.common import map_arrow, materialize, raw
+from embedspace.llm.common import map_arrow, materialize
+
+#: Bytes of text that are encoded at a time; a longer text is a slice of its own.
+SLICE = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -43,51 +48,93 @@ class PackingConfig:
     salts: int = 256
 
 
-class ChunkIds(dict):
-    """Ids of texts without ASCII spaces, as little-endian 32-bit bytes; remembered with a bound.
+class PartIds(dict):
+    """Ids of the parts that the tokenizer cuts a text into, as little-endian 32-bit bytes; remembered with a bound.
 
-    The tokenizer never joins across white space, so texts are encoded chunk by chunk.
+    Plain texts are normalised and cut as the tokenizer does it, all in Arrow, which also numbers
+    the parts, so that only distinct ones are looked up. Parts that are new are encoded many at a
+    time: each part's last id, and no other, ends a word. Other texts are encoded whole.
     """
 
+    #: The pattern by which the tokenizer's file cuts normalised text. Letters in between are parts too.
+    PARTS = r"('s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\s\p{L}\p{N}]+)"
+    #: Not plain: control and format characters, spaces other than ASCII ones, the sigma, whose small form depends on its place, and what could be a special token.
+    ODD = "[^\\p{L}\\p{N}\\p{P}\\p{S}\\p{M} \\t-\\r]|\u03a3|<\\|"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), 300_000
-
-    def learn(self, chunks: list[bytes]) -> None:
-        for c, e in zip(chunks, self.tokenizer.encode_batch([c.decode() for c in chunks], add_special_tokens=False), strict=True):
-            self[c] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, text: bytes) -> bytes:
-        words = text.split()
+        self.tokenizer, self.limit = Tokenizer.from_file(path), 1_000_000
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, parts: list[str]) -> None:
+        for i in range(0, len(parts), 1000):
+            some = parts[i : i + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cuts) == len(some) and cuts[-1] == 4 * len(ids):
+                data, at = ids.tobytes(), [0, *cuts.tolist()]
+                self.update((p, data[at[k] : at[k + 1]]) for k, p in enumerate(some))
+            else:
+                self.update((p, self.whole(p).tobytes()) for p in some)
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a string array."""
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE, "right")))
+            yield from self.encode_slice(pc.fill_null(texts.slice(at, end - at), ""))
+            at = end
+
+    def encode_slice(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        odd = pc.match_substring_regex(texts, self.ODD).to_pylist()
+        strings = texts.to_pylist()
+        odd = [o or not unicodedata.is_normalized("NFC", t) for o, t in zip(odd, strings, strict=True)]
+        small = pa.array(["" if o else t.lower() for o, t in zip(odd, strings, strict=True)], pa.string())
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(small, self.PARTS, r" \1 "))
+        coded = split.flatten().dictionary_encode()
+        place, parts = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         if len(self) > self.limit:
             self.clear()
-        missing = list({w for w in words if w not in self})
-        if missing:
-            self.learn(missing)
-        return b"".join([self[w] for w in words])
+        self[""] = b""  # before a leading space
+        self.learn([p for p in parts if p not in self])
+        found = [self[p] for p in parts]
+        flat, lengths = np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
+        begins = np.cumsum(lengths) - lengths
+        size = lengths[place]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        ids = flat[np.repeat(begins[place] - ends[:-1], size) + np.arange(ends[-1])]
+        of_text = np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))))
+        cuts = ends[of_text]
+        for i, o in enumerate(odd):
+            yield self.whole(strings[i]) if o else ids[cuts[i] : cuts[i + 1]]
 
 
 @functools.lru_cache(maxsize=2)
-def chunk_ids(path: str) -> ChunkIds:
+def part_ids(path: str) -> PartIds:
     """One for each Python worker."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return ChunkIds(path)
+    return PartIds(path)
 
 
 def cut_pieces(docs: DataFrame, config: PackingConfig) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): full sequences and one rest for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = chunk_ids(config.tokenizer), np.array([config.end_id], "<u4").tobytes()
+        known, end = part_ids(config.tokenizer), np.array([config.end_id], "<u4")
         for b in batches:
             rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), raw(b.column(1)), strict=True):
-                ids = known.encode(text) + end
-                n = len(ids) // 4
-                rows += [(doc_id, s, min(config.capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + config.capacity)]), n) for s in range(0, n, config.capacity)]
+            for doc_id, own in zip(b.column(0).to_pylist(), known.encode(b.column(1)), strict=True):
+                ids, n = np.concatenate((own, end)), len(own) + 1
+                rows += [(doc_id, s, min(config.capacity, n - s), zlib.crc32(ids[s : s + config.capacity]), n) for s in range(0, n, config.capacity)]
             yield pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")

@@ -5,9 +5,9 @@ starts in a document with a smaller doc_id. Windows are told apart by Rabin-Karp
 position (polynomials over 64-bit word hashes, modulo 2^64, mixed at the end).
 
 To shuffle few of them, equal documents are one class first, and then windows are anchored: a
-window's anchor is the least of the Rabin-Karp hashes of its ten-word parts. Equal windows have
+window's anchor is the least of the Rabin-Karp hashes of its twenty-word parts. Equal windows have
 equal anchors, and neighbouring windows mostly share theirs, so a document has one anchor for each
-twenty or so words. Only windows whose anchor occurs in several documents can repeat; the hashes
+sixteen or so words. Only windows whose anchor occurs in several documents can repeat; the hashes
 of all of those are counted in Spark. Nothing is lost by this: it skips only windows that are
 certain to be in one document alone. Repeated windows merge into maximal removal intervals.
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from embedspace.llm.common import map_arrow, materialize, raw, replace_texts, text_key
 
 WINDOW = 50
-ANCHOR = 10
+ANCHOR = 20
 #: An odd factor, and its inverse modulo 2^64.
 FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from embedspace.llm.common import map_arrow
 
-LEAF = -1
+#: Longer matches get a table of their own, as recursion over their prefixes would be deep.
+SHORT = 64
 
 
 class Vocabulary:
@@ -39,6 +40,8 @@ class Vocabulary:
         self.longest = max(map(len, ranks), default=0)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
+        #: Tokens that merges make; others can only be whole matches.
+        self.usable = {b: r for b, r in ranks.items() if len(b) == 1 or self.split(r) is not None}
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -67,9 +70,6 @@ class Vocabulary:
             self.halves[token] = (made[0], made[1]) if len(made) == 2 else None
         return self.halves[token]
 
-    def reachable(self, token: int) -> bool:
-        return len(self.bytes[token]) == 1 or self.split(token) is not None
-
     def valid_pair(self, left: int, right: int) -> bool:
         """Whether BPE of the two tokens' bytes gives just these two; undoes merges at the seam from the latest on."""
         known = self.pairs.get((left, right))
@@ -108,17 +108,23 @@ class PrefixEncoding:
         self.append(data)
 
     def _entry(self, data: bytes, last: list[int], end: int) -> int:
+        """The one usable token that ends data[:end] and forms a valid pair with the last token before it."""
         v = self.vocabulary
+        find, pairs = v.usable.get, v.pairs
         for start in range(max(0, end - v.longest), end):
-            t = v.ranks.get(data[start:end])
-            if t is not None and v.reachable(t) and (start == 0 or v.valid_pair(last[start - 1], t)):
-                return t
+            t = find(data[start:end])
+            if t is not None:
+                if not start:
+                    return t
+                ok = pairs.get((last[start - 1], t))
+                if v.valid_pair(last[start - 1], t) if ok is None else ok:
+                    return t
         raise ValueError("a byte is missing from the vocabulary")
 
     def append(self, more: bytes) -> None:
-        data, last = self.data + more, self.last
+        data, last, entry = self.data + more, self.last, self._entry
         for end in range(len(self.data) + 1, len(data) + 1):
-            last.append(self._entry(data, last, end))
+            last.append(entry(data, last, end))
         self.data = data
 
     def replace(self, start: int, end: int, new: bytes) -> int:
@@ -149,13 +155,44 @@ class PrefixEncoding:
 class Encoder:
     """Encodes whole texts, match by match of the pattern."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str, memory: int = 200_000):
+    def __init__(self, vocabulary: Vocabulary, pattern: str, memory: int = 600_000):
         self.vocabulary, self.find, self.memory = vocabulary, regex.compile(pattern).findall, memory
         self.known: dict[str, tuple[int, bytes, bytes]] = {}
+        self.lasts: dict[bytes, int] = {}
+
+    def last_token(self, data: bytes) -> int:
+        """The same entry as in PrefixEncoding, kept by prefix, as matches share many prefixes; only those are filled in that are asked for."""
+        t = self.lasts.get(data)
+        if t is None:
+            v, n = self.vocabulary, len(data)
+            find, pairs = v.usable.get, v.pairs
+            for start in range(max(0, n - v.longest), n):
+                t = find(data[start:])
+                if t is not None:
+                    if not start:
+                        break
+                    pair = self.last_token(data[:start]), t
+                    ok = pairs.get(pair)
+                    if v.valid_pair(*pair) if ok is None else ok:
+                        break
+            else:
+                raise ValueError("a byte is missing from the vocabulary")
+            self.lasts[data] = t
+        return t
 
     def piece(self, data: bytes) -> list[int]:
         whole = self.vocabulary.ranks.get(data)
-        return [whole] if whole is not None else PrefixEncoding(self.vocabulary, data).tokens()
+        if whole is not None:
+            return [whole]
+        if len(data) > SHORT:
+            return PrefixEncoding(self.vocabulary, data).tokens()
+        if len(self.lasts) >= self.memory:
+            self.lasts.clear()
+        out = []
+        while data:
+            out.append(t := self.last_token(data))
+            data = data[: -len(self.vocabulary.bytes[t])]
+        return out[::-1]
 
     def encode(self, text: str) -> list[int]:
         return [t for m in self.find(text) for t in self.piece(m.encode())]

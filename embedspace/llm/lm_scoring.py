@@ -8,9 +8,9 @@ on those counts, with the expectation over data and noise taken exactly. One bat
 gives the normalised log-probabilities of all classes after all classes. Within a class that
 several words share, a word has its add-one share, with one place for words never seen.
 
-Only the counts of the `dictionary` most frequent words and the class pairs (bounded by the number
-of classes squared) reach the driver and are sent out. Counts of rarer words are joined in Spark;
-each of those words holds less than 1 / dictionary of all tokens, so none is hot.
+Only the counts of words that hold over 1 / dictionary of all tokens, so of fewer than `dictionary`
+words, and the class pairs (bounded by the number of classes squared) reach the driver and are
+sent out. Counts of rarer words are joined in Spark; by the same bound none of those is hot.
 
 Edge cases: null text counts as empty and has the end alone. A null doc_id is a training row.
 Repeated rows each count. Without training tokens all probabilities are those of one unseen word.
@@ -38,7 +38,7 @@ END = b""
 
 @dataclass(frozen=True)
 class LmConfig:
-    dictionary: int = 100_000
+    dictionary: int = 1_000_000
     words: int = 1024
     groups: int = 64
     dims: int = 32
@@ -148,7 +148,8 @@ def lm_scores(docs: DataFrame, config: LmConfig | None = None) -> DataFrame:
     group = (F.lit(config.words) + F.crc32(F.substring("word", -2, 2).cast("binary")) % config.groups).cast("int")
     total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, v_all = int(total["n"]), int(total["v"])
-    frequent = {r["word"].encode(): r["c"] for r in vocabulary.orderBy(F.desc("c"), "word").limit(config.dictionary).collect()}
+    often = vocabulary.filter(F.col("c") * config.dictionary > n_all).toArrow()
+    frequent = dict(sorted(zip((w.encode() for w in often.column("word").to_pylist()), often.column("c").to_pylist(), strict=True), key=lambda x: (-x[1], x[0])))
     singles = [END, *(w for w in list(frequent)[: config.words] if w != END)][: config.words]
     own_class = {w: i for i, w in enumerate(singles)}
     shared = {r["g"]: (r["n"], r["v"]) for r in vocabulary.groupBy(group.alias("g")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
@@ -174,12 +175,11 @@ def lm_scores(docs: DataFrame, config: LmConfig | None = None) -> DataFrame:
     found = map_arrow(training, count_pairs, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     pairs[found.column("code").to_numpy()] = found.column("n").to_numpy()
     table = train(pairs.reshape(config.classes, -1), config)
-    sent = spark.sparkContext.broadcast((own_class, frequent, table, np.log10(room)))
+    sent = spark.sparkContext.broadcast((own_class, {w: float(np.log10(c + 1)) for w, c in frequent.items()}, table, np.log10(room)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_class, frequent, table, log_room = sent.value
+        own_class, log_c, table, log_room = sent.value
         ids, nth = ClassIds(own_class, config), TaskContext.get().partitionId() << 33
-        log_c = {w: np.log10(c + 1) for w, c in frequent.items()}
         for b in batches:
             rows = []
             for text in raw(b.column("text")):

@@ -1,0 +1,388 @@
+"""Each operator against brute force, on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from brute import LONG, MESSY, SENTENCE, documents, fingerprint, lines, lower, quality, same, simhash, substring, words
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from embedspace.llm import bpe, exact_dedup, line_dedup, lm_scoring, packing, quality_rules, queries, simhash as sh, substring_dedup, toxicity, url_filter
+
+tokenizers = pytest.importorskip("public_tokenizers")
+
+
+@pytest.fixture(params=[False, True], ids=["plain", "clashing"])
+def messy(request, spark):
+    return documents(spark, MESSY, request.param)
+
+
+@pytest.fixture
+def empty(spark):
+    return documents(spark, [])
+
+
+def test_quality_base(messy, empty):
+    got = quality_rules.quality_verdicts(messy)
+    same(got, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"], [(r[0], *quality(r[1])) for r in MESSY])
+    assert quality_rules.quality_verdicts(empty).count() == 0
+
+
+def test_quality_keeps_clean_and_drops_outliers(spark):
+    rng = random.Random(1)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(500)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(80)), "en", "hot" if i % 3 else f"s{i % 50}") for i in range(400)]
+    rows += [(1000 + i, " ".join(w + "###" for w in words(rows[i][1])), "en", "hot") for i in range(5)] + [(2000, "THE!! " * 3 + " ".join(w.upper() + "!!" for w in words(rows[0][1])), "en", "new")]
+    docs = documents(spark, rows, extra=True)
+    kept = {r["doc_id"] for r in quality_rules.quality_verdicts(docs).filter("kept").select("doc_id").collect()}
+    assert kept == set(range(400))
+    stage = quality_rules.quality_filter(docs)
+    assert stage.columns == docs.columns and {r["doc_id"] for r in stage.select("doc_id").collect()} == kept
+
+
+def test_sketch_buckets(spark):
+    values = [*range(300), 1000, 4095, 4096, 10**6, 2**40]
+    rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", quality_rules.bucket_floor(quality_rules.bucket(F.col("v"))).alias("low")).collect()
+    assert all(r["low"] <= r["v"] <= r["low"] + r["low"] // 64 for r in rows)
+
+
+def brute_urls(url, rules, default="allow"):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+    host, tail = lower(rest[:cut]), rest[cut:]
+    path = tail[: min([tail.find(c) for c in "?#" if c in tail], default=len(tail))]
+    fit = [(len(r), r, a) for a, r in rules if (host == r.partition("/")[0] or host.endswith("." + r.partition("/")[0])) and path.startswith("".join(r.partition("/")[1:]))]
+    best = max(fit, default=None)
+    return host, path, best and best[1], best[2] if best else default
+
+
+def test_url_rules(spark):
+    urls = [None, "", "no scheme.net/", "http://net", "http://net/", "http://A.Example.NET/en/x?y#z", "https://example.net/EN/", "http://x.org/fr/", "http://x.org/frx", "http://notnet/", "http://com.example.com/de/a", "http://example.com/de", "http://a.b.c.d.e.f.net/q", "http://" + "a." * 5000 + "net/", "x://y://z.net/", "http:///net/", "http://net./", "http://net/", "http://é.net/\n#"]
+    rows = list(enumerate(urls))
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumns({"rule": F.lit(1), "host": F.lit(2)}).drop("rule", "host")
+    got = url_filter.UrlRules(url_filter.RULES).judge(df)
+    same(got, ["page_id", "host", "path", "rule", "verdict"], [(i, *brute_urls(u, url_filter.RULES)) for i, u in rows])
+    assert url_filter.UrlRules(url_filter.RULES).judge(df.limit(0)).count() == 0
+    assert {r["verdict"] for r in url_filter.UrlRules([]).judge(df).collect()} == {"allow"}
+
+
+def test_url_rules_in_shards(spark):
+    rng = random.Random(2)
+    rules = [(rng.choice(["allow", "block"]), f"h{i}.example{rng.choice(['', '/', '/a/', '/a/b'])}") for i in range(300)]
+    rows = [(i, f"http://{rng.choice(['', 'www.'])}h{rng.randint(0, 600)}.example/{rng.choice(['', 'a/', 'a/bc', 'b'])}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    sharded = url_filter.UrlRules(rules, max_bytes=1000)
+    assert sharded.shards() == 3
+    for judge in (sharded, url_filter.UrlRules(rules)):
+        same(judge.judge(df), ["page_id", "host", "path", "rule", "verdict"], [(i, *brute_urls(u, rules)) for i, u in rows])
+
+
+def test_cascade_is_exact(spark):
+    universe = spark.range(20_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    listed = [f"k{i}" for i in range(0, 20_000, 37)]
+    cascade = url_filter.build_cascade(listed, universe, 20_000)
+    assert {f"k{i}" for i in range(20_000) if f"k{i}".encode() in cascade} == set(listed)
+    assert len(cascade.levels) > 1 and cascade.nbytes() * 8 < 20 * len(listed)
+
+
+def brute_exact(rows):
+    import re
+
+    groups = defaultdict(list)
+    for i, r in enumerate(rows):
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "")].append(i)
+    out = []
+    for t, g in groups.items():
+        stays = min(g, key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
+        out += [(rows[i][0], rows[stays][0], len(g), i == stays, hashlib.sha256(t.encode()).hexdigest()) for i in g]
+    return out
+
+
+def test_exact_dedup(messy, empty):
+    same(exact_dedup.deduplicate_once(messy), ["doc_id", "keep_id", "group_size", "kept", "text_sha256"], brute_exact(MESSY))
+    assert exact_dedup.deduplicate_once(empty).count() == 0
+
+
+def test_exact_dedup_appends(spark):
+    index = exact_dedup.DigestIndex(spark, "digests_test", 4)
+    try:
+        first = exact_dedup.deduplicate(documents(spark, [(5, "a"), (6, "b")]), index).collect()
+        again = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact_dedup.deduplicate(documents(spark, [(1, "a"), (2, "c"), (3, "c")]), index).collect()}
+        assert all(r["kept"] for r in first) and again == {1: (5, False), 2: (2, True), 3: (2, False)}
+        assert index.read().count() == 3
+    finally:
+        index.drop()
+
+
+CONFIG = packing.PackingConfig(tokenizers.path("word_bpe_49k.json"))
+
+
+def ids_of(text):
+    from tokenizers import Tokenizer
+
+    return [*Tokenizer.from_file(CONFIG.tokenizer).encode(text or "", add_special_tokens=False).ids, 2]
+
+
+def test_packing(messy, empty):
+    rows = packing.pack(messy, CONFIG).collect()
+    assert packing.pack(empty, CONFIG).count() == 0
+    expected = Counter()
+    for d, text, *_ in MESSY:
+        ids = ids_of(text)
+        expected.update((d, s, len(ids[s : s + 4096]), zlib.crc32(np.array(ids[s : s + 4096], "<u4").tobytes()), len(ids)) for s in range(0, len(ids), 4096))
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in rows) == expected
+    sequences = defaultdict(list)
+    for r in rows:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for s in sequences.values():
+        at = 0
+        for offset, length in sorted(s):
+            assert offset == at
+            at += length
+        assert at <= 4096
+
+
+def test_plan_holds_the_histogram_with_little_padding():
+    rng = np.random.default_rng(0)
+    lengths = np.minimum(4096, rng.lognormal(6.3, 1, 20_000).astype(int) + 1)
+    lengths[:7000] = 700  # one length holds a third
+    histogram = Counter((-(-lengths // 8)).tolist())
+    plan = packing.plan(histogram, CONFIG)
+    held = Counter()
+    for pattern, times in plan:
+        assert sum(c * m for c, m in pattern.items()) <= 512
+        held.update({c: m * times for c, m in pattern.items()})
+    assert held == histogram
+    assert lengths.sum() / (4096 * sum(t for _, t in plan)) > 0.985
+
+
+ODD_CHARS = "aAbéÉßöΣσİ1½9.,!?' \u00a0\u2003\u200b\x1c\x85\x00\t\n日本ﬁ🙂<|endoftext|>_-"
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from(ODD_CHARS) | st.characters(codec="utf-8"), max_size=30))
+def test_tokenizer_parts(text):
+    import pyarrow as pa
+
+    known = packing.part_ids(CONFIG.tokenizer)
+    assert next(known.encode(pa.array([text]))).tolist() == known.whole(text).tolist()
+
+
+def test_simhash(messy, empty):
+    same(sh.near_duplicates(messy), ["doc_id", "fingerprint", "component_id"], simhash(MESSY))
+    assert sh.near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("tile", [1024, 8])
+def test_simhash_finds_every_link(spark, tile):
+    """Chains of fingerprints three bits apart and a dense group, in small tiles too."""
+    rng = np.random.default_rng(3)
+    fps, chain = [], int(rng.integers(0, 2**63))
+    for _ in range(40):
+        fps.append(chain)
+        for b in rng.choice(64, 3, replace=False):
+            chain ^= 1 << int(b)
+    centre = int(rng.integers(0, 2**63))
+    fps += [centre ^ (1 << int(rng.integers(64))) ^ (1 << int(rng.integers(64))) for _ in range(150)] + [int(x) for x in rng.integers(0, 2**63, 200)]
+    fps = sorted(set(fps))
+    classes = spark.createDataFrame([(sh.signed(f),) for f in fps], "fp long")
+    from embedspace.llm.components import components
+
+    got = {r["node"]: r["label"] for r in components(sh.links(classes, sh.SimHashConfig(tile=tile))).collect()}
+    parent = {f: f for f in fps}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= 3:
+                parent[find(a)] = find(b)
+    groups = defaultdict(set)
+    for f in fps:
+        groups[find(f)].add(sh.signed(f))
+    found = defaultdict(set)
+    for f in fps:
+        found[got.get(sh.signed(f), sh.signed(f))].add(sh.signed(f))
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, found.values()))
+
+
+def test_simhash_representatives(spark):
+    docs = documents(spark, MESSY, extra=True)
+    kept = sh.keep_representatives(docs)
+    assert kept.columns == docs.columns
+    members = simhash(MESSY)
+    expected = sorted({d for d, _, c in members if d is not None and d == c})
+    assert sorted(r["doc_id"] for r in kept.filter("doc_id is not null").select("doc_id").collect()) == expected
+    assert kept.filter("doc_id is null").count() == sum(d is None and c is None for d, _, c in members)
+
+
+def test_substring_dedup(messy, empty):
+    same(substring_dedup.substring_digests(messy), ["doc_id", "n_words", "n_removed", "kept_sha256"], substring(MESSY))
+    assert substring_dedup.substring_digests(empty).count() == 0
+
+
+def test_substring_dedup_of_shared_passages(spark):
+    rng = random.Random(5)
+    word = lambda: rng.choice("abcdefghij") + rng.choice("klmnop")
+    shared = [[word() for _ in range(rng.choice([49, 50, 51, 80, 130]))] for _ in range(6)]
+    rows = [(i, " ".join(x for _ in range(4) for x in (rng.choice(shared) if rng.random() < 0.6 else [word() for _ in range(rng.randint(1, 60))]))) for i in range(120)]
+    docs = documents(spark, rows, extra=True)
+    same(substring_dedup.substring_digests(docs), ["doc_id", "n_words", "n_removed", "kept_sha256"], expected := substring(rows))
+    stage = substring_dedup.substring_dedup(docs)
+    assert stage.columns == docs.columns
+    kept = {r["doc_id"]: r["text"] for r in stage.select("doc_id", "text").collect()}
+    assert all(hashlib.sha256(" ".join(words(kept[d])).encode()).hexdigest() == h for d, _, _, h in expected)
+
+
+def test_lm_scoring(messy, empty):
+    config = lm_scoring.LmConfig(words=8, groups=4, dims=4, steps=20)
+    rows = lm_scoring.lm_scores(messy, config).collect()
+    assert lm_scoring.lm_scores(empty, config).count() == 0
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    counts = Counter(t for r in MESSY if not held(r[0]) for t in [*words(lower(r[1] or "")), ""])
+    n, v = sum(counts.values()), len(counts)
+    expected = sorted((str(r[0]), held(r[0]), len(t), sum(counts[x] > 0 for x in t), n, round(sum(np.log10((counts[x] + 1) / (n + v + 1)) for x in t), 4)) for r in MESSY for t in [[*words(lower(r[1] or "")), ""]])
+    assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in rows) == expected
+    assert all(r["score"] < 0 for r in rows)
+
+
+def test_lm_rare_words_join_and_probabilities_add_up(spark):
+    rows = [(i, " ".join([*(f"common{j}" for j in range(9)), *(f"v{j}" for j in range(i % 9, 60, 3))])) for i in range(40)]
+    docs = documents(spark, rows)
+    few, many = (lm_scoring.lm_scores(docs, lm_scoring.LmConfig(dictionary=d, words=8, groups=4, dims=4, steps=20)).orderBy("doc_id").collect() for d in (50, 10**6))
+    assert [(r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in few] == [(r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in many]
+    pairs = np.random.default_rng(0).integers(0, 50, (12, 12)).astype(float)
+    table = lm_scoring.train(pairs, lm_scoring.LmConfig(words=8, groups=4, dims=6, steps=300))
+    assert np.allclose((10.0**table).sum(axis=1), 1, atol=1e-4)
+    assert (pairs * table).sum() > (pairs * np.log10(pairs.sum(axis=0) / pairs.sum())).sum()
+
+
+def test_bpe(messy, empty):
+    import tiktoken
+
+    path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = bpe.encoder(path, tokenizers.PATTERN).vocabulary.ranks
+    library = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    expected = []
+    for r in MESSY:
+        ids = library.encode_ordinary(r[1] or "")
+        expected.append((r[0], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest()))
+    same(bpe.encode_digests(messy, path, tokenizers.PATTERN), ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], expected)
+    assert bpe.encode_digests(empty, path, tokenizers.PATTERN).count() == 0
+    assert {len(r["ids"]) for r in bpe.encode_ids(messy.filter("doc_id = 11"), path, tokenizers.PATTERN).collect()} == {len(library.encode_ordinary("a b c"))}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=40) | st.text("aeinrstl' ", max_size=120))
+def test_bpe_round_trip(text):
+    import tiktoken
+
+    e = bpe.encoder(tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=e.vocabulary.ranks, special_tokens={})
+    ids = e.encode(text)
+    assert ids == library.encode_ordinary(text) and e.decode(ids) == text.encode()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("aeinrst", max_size=120), st.integers(0, 120), st.integers(0, 5), st.text("aeinrst", max_size=5))
+def test_bpe_edits(text, start, length, new):
+    v = bpe.encoder(tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN).vocabulary
+    data, start = text.encode(), min(start, len(text))
+    e = bpe.PrefixEncoding(v, data)
+    e.replace(start, min(len(data), start + length), new.encode())
+    e.append(b"ing")
+    whole = data[:start] + new.encode() + data[min(len(data), start + length) :] + b"ing"
+    assert e.last == bpe.PrefixEncoding(v, whole).last and e.tokens() == v.merged(whole)
+
+
+def test_line_dedup(spark, empty):
+    rows = [(i, f"common line\nown {i}\n\nrare {i % 3}", "en", f"s{i % 9}") for i in range(30)] + [(31, None, None, None), (32, "", "en", None), (None, "common line\n x", "en", "s1"), (33, "common line", "en", "s1"), (33, "common line", "en", "s1"), (34, "twice\ntwice", "en", "s2")]
+    for extra in (False, True):
+        docs = documents(spark, rows, extra)
+        got = line_dedup.line_changes(docs).withColumn("h", F.sha2(F.coalesce("new_text", F.lit("")), 256))
+        same(got, ["doc_id", "n_lines", "n_removed", "h"], lines(rows, 6))
+        stage = line_dedup.line_dedup(docs)
+        assert stage.columns == docs.columns and stage.count() == len(rows)
+    assert line_dedup.line_changes(empty).count() == 0
+
+
+def test_line_sites_near_and_far_from_the_threshold(spark):
+    rows = [(i * 100 + s, f"line {i}\nown {i} {s}", "en", f"site{s}") for i in (99, 100, 101, 130, 60) for s in range(i)]
+    got = line_dedup.line_changes(documents(spark, rows), line_dedup.LineConfig(min_sites=100)).filter("n_removed > 0").count()
+    assert got == 99 + 100 + 129
+
+
+def labels(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity(spark, empty):
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(300)]
+    rows, marks = [], []
+    for i in range(1200):
+        text = [rng.choice(vocabulary) for _ in range(rng.randint(5, 120))]
+        if i % 6 == 0:
+            at = rng.randrange(len(text))
+            text[at:at] = rng.sample(["scum", "vile!", "Idiot", "rotten"], 2)
+        rows.append((i, " ".join(text)))
+        if i % 2 == 0:
+            marks.append((i, 1, int(i % 6 == 0)))
+    rows += [(5000, None), (5001, ""), (5001, ""), (5002, LONG), (None, "scum")]
+    marks += [(9999, 1, 1), (0, 1, None), (None, 1, 1), (2, 0, 0), (2, 0, 0)]
+    for extra in (False, True):
+        got = toxicity.toxicity_scores(documents(spark, rows, extra), labels(spark, marks)).collect()
+        by = {r["doc_id"]: r for r in got}
+        assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+        assert all(by[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in range(1200))
+        held = [i for i in range(1200) if by[i]["held_out"]]
+        assert np.mean([by[i]["predicted"] == int(i % 6 == 0) for i in held]) > 0.98
+        assert not by[5000]["predicted"] and not by[5002]["predicted"]
+    assert toxicity.toxicity_scores(empty, labels(spark, marks)).count() == 0
+    assert {r["score"] for r in toxicity.toxicity_scores(documents(spark, rows[:5]), labels(spark, [])).collect()} == {0.0}
+
+
+def test_toxicity_passages(spark):
+    model = toxicity.ToxicityModel({b"scum": 3.0, b"vile": 2.0}, 0.5, 1.0, 0.5)
+    got = toxicity.passages(documents(spark, [(1, "a b Scum! and vile c d e f g h i scum"), (2, None)]), model).orderBy("first_word").collect()
+    assert [(r["first_word"], r["n_words"], r["segment_score"]) for r in got] == [(2, 3, 4.5), (12, 1, 3.0)]
+
+
+def brute_segments(v):
+    """Ruzzo and Tompa's definition: the best segment (shortest of ties, first), then left and right of it."""
+    best = max(((round(sum(v[a:b]), 9), a - b, -a, a, b) for a in range(len(v)) for b in range(a + 1, len(v) + 1)), default=None)
+    if best is None or best[0] <= 0:
+        return []
+    a, b = best[3], best[4]
+    return brute_segments(v[:a]) + [(a, b)] + [(b + x, b + y) for x, y in brute_segments(v[b:])]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(-50, 50).map(lambda x: x + 0.5), max_size=25))
+def test_maximal_segments(values):
+    got = [(a, b) for a, b, _ in toxicity.segments(np.array(values))]
+    total = lambda s: round(sum(sum(values[a:b]) for a, b in s), 6)
+    expected = brute_segments(values)
+    assert total(got) == total(expected) and len(got) == len(expected)
+
+
+def test_fingerprints_of_many_texts():
+    rng = random.Random(11)
+    for _ in range(50):
+        text = " ".join(rng.choice(["a", "B", "Ça", "de", "\t", "x\ny"]) for _ in range(rng.randint(0, 40)))
+        assert sh.fingerprint(text.encode()) == fingerprint(text)
+
+
+def test_names():
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)] and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert SENTENCE

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embedspace.functions.paths import is_image
 
 
+def one_form(path: Column) -> Column:
+    """Local paths with one slash after the scheme, as readers differ in that."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
 def list_files(spark: SparkSession, folder: str, pattern: str | None = None, recursive: bool = True) -> DataFrame:
     """(file_path, file_size, modified) of a folder. Content isn't read. Names that start with _ or . are skipped; a folder that can't be read is empty."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
@@ -18,7 +23,7 @@ def list_files(spark: SparkSession, folder: str, pattern: str | None = None, rec
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], "file_path string, file_size long, modified timestamp")
-    return found.select(F.col("path").alias("file_path"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"))
+    return found.select(one_form(F.col("path")).alias("file_path"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"))
 
 
 def list_images(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,10 +35,10 @@ def listed(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(paths)), "ordinal long, file_path string")
 
 
-def decode_images(spark: SparkSession, folder: str) -> DataFrame:
+def decode_images(spark: SparkSession, folder: str | list[str]) -> DataFrame:
     """(file_path, height, width, channels, bgr) of the images that can be decoded, by Spark's own reader; others have height -1."""
     found = spark.read.format("image").option("recursiveFileLookup", "true").load(folder)
-    return found.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").toDF("file_path", "height", "width", "channels", "bgr")
+    return found.select(one_form(F.col("image.origin")), "image.height", "image.width", "image.nChannels", "image.data").toDF("file_path", "height", "width", "channels", "bgr")
 
 
 def unseen(files: DataFrame, store: DataFrame, keys: tuple[str, ...] = ("file_path",)) -> DataFrame:

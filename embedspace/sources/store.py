@@ -80,7 +80,10 @@ class VectorStore:
                 n = str(s.getPath().getName())
                 if n.startswith("current-") and not n.endswith(name):
                     self._fs.delete(s.getPath(), False)
-            self._fs.delete(self._path(old), True)
+            for s in self._fs.listStatus(self._path(self.root)):  # the version before stays for those who still read it
+                n = str(s.getPath().getName())
+                if n.startswith("v") and n != name and not old.endswith(n):
+                    self._fs.delete(s.getPath(), True)
 
     def _mark(self) -> str | None:
         marks = sorted(n for s in self._fs.listStatus(self._path(self.root)) if (n := str(s.getPath().getName())).startswith("current-"))

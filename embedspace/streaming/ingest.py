@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from embedspace.functions.paths import is_image, percent
 from embedspace.operators.images import Vectorizer, vectorize
 from embedspace.schema import written
-from embedspace.sources.files import decode_images, unseen
+from embedspace.sources.files import decode_images, list_files, one_form, unseen
 from embedspace.sources.store import VectorStore
 
 
@@ -35,7 +35,7 @@ def ingest_folder(spark: SparkSession, folder: str, store: VectorStore, make: Ca
     """One scan: images that the store lacks are decoded once, vectorized and saved. Returns (file_path, error) of those tried."""
     files = unseen(decode_images(spark, folder).filter(is_image(F.col("file_path"))), store.read())
     found = written(vectorize(files, make))
-    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(F.col("path").alias("file_path"), F.col("length").alias("file_size"))
+    sizes = list_files(spark, folder).select("file_path", "file_size")
     good = found.filter("error is null").join(sizes, "file_path", "left")
     store.save(good.select(
         F.xxhash64("file_path").alias("vec_id"), "file_path", "vector", F.lit(vector_type).alias("vector_type"), F.current_timestamp().alias("processed_at"),
@@ -49,16 +49,15 @@ def ingest_stream(spark: SparkSession, folder: str, store: VectorStore, make: Ca
 
     on_progress(batch, saved, failed) is called after each batch.
     """
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(folder)
-    files = files.select(F.col("path").alias("file_path"), F.col("length").alias("file_size")).filter(is_image(F.col("file_path")))
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(folder)
+    files = files.select(one_form(F.col("path")).alias("file_path"), F.col("length").alias("file_size")).filter(is_image(F.col("file_path")))
 
     def save(batch: DataFrame, number: int) -> None:
         new = unseen(batch, store.read())
         paths = [r["file_path"] for r in new.select("file_path").collect()]  # at most files_per_batch
         if not paths:
             return
-        images = spark.read.format("image").load(paths).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").toDF("file_path", "height", "width", "channels", "bgr")
-        found = written(vectorize(images, make))
+        found = written(vectorize(decode_images(spark, paths), make))
         good = found.filter("error is null").join(new, "file_path")
         store.save(good.select(
             F.xxhash64("file_path").alias("vec_id"), "file_path", "vector", F.lit(vector_type).alias("vector_type"), F.current_timestamp().alias("processed_at"),

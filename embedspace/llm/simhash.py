@@ -232,7 +232,7 @@ def keep_representatives(docs: DataFrame, config: SimHashConfig | None = None) -
 
     Rows that repeat that doc_id: one stays. Documents whose component has no doc_id at all stay.
     """
-    found = memberships(docs, config)
+    found = materialize(memberships(docs, config))  # so that Spark may split the join with large classes
     gone = found.filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__es_id"), F.col("fp").alias("__es_fp")).distinct()
     nulls = materialize(gone.filter("__es_id is null"))
     named = docs.filter("doc_id is not null").join(gone, F.col("doc_id") == F.col("__es_id"), "left_anti").dropDuplicates(["doc_id"])

@@ -18,6 +18,8 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -152,14 +154,50 @@ class PrefixEncoding:
         return out[::-1]
 
 
+class StandIns(dict):
+    """For str.translate: code points that Python's tables do not know yet become one of the kind that the tiktoken library takes them for.
+
+    The two libraries' tables differ there: what is a letter to one may be none to the other.
+    """
+
+    #: A letter, a number and a symbol that no alternative of a pattern names.
+    KINDS = ((r"\p{L}", "\u03b2"), (r"\p{N}", "\u0663"))
+    OTHER = "\u00a4"
+
+    def __init__(self) -> None:
+        import tiktoken
+
+        single = {bytes([i]): i for i in range(256)}
+        self.probes = [(tiktoken.Encoding(f"probe {p}", pat_str=p, mergeable_ranks=single, special_tokens={}), c) for p, c in self.KINDS]
+        unknown = (chr(c) for c in range(0x10000) if unicodedata.category(chr(c)) == "Cn")
+        self.suspect = re.compile("[" + "".join(map(re.escape, unknown)) + "\U00010000-\U0010ffff]").search
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        if unicodedata.category(c) == "Cn":
+            c = next((stand for probe, stand in self.probes if probe.encode_ordinary(c)), self.OTHER)
+        self[code] = c
+        return c
+
+
 class Encoder:
     """Encodes whole texts, match by match of the pattern."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str, memory: int = 600_000):
-        self.vocabulary, self.find, self.memory = vocabulary, regex.compile(pattern).findall, memory
+        self.vocabulary, self.cut, self.memory, self.stand_ins = vocabulary, regex.compile(pattern).findall, memory, StandIns()
         self.known: dict[str, tuple[int, bytes, bytes]] = {}
         self.lasts: dict[bytes, int] = {}
 
+    def find(self, text: str) -> list[str]:
+        """The pattern's matches, which must leave out no character."""
+        if text.isascii() or not self.stand_ins.suspect(text):
+            return self.cut(text)
+        out, at = [], 0
+        for m in self.cut(text.translate(self.stand_ins)):
+            out.append(text[at : at + len(m)])
+            at += len(m)
+        return out
+
     def last_token(self, data: bytes) -> int:
         """The same entry as in PrefixEncoding, kept by prefix, as matches share many prefixes; only those are filled in that are asked for."""
         t = self.lasts.get(data)

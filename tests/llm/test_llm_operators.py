@@ -282,8 +282,8 @@ def test_bpe(messy, empty):
     assert {len(r["ids"]) for r in bpe.encode_ids(messy.filter("doc_id = 11"), path, tokenizers.PATTERN).collect()} == {len(library.encode_ordinary("a b c"))}
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(max_size=40) | st.text("aeinrstl' ", max_size=120))
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=40) | st.text("aeinrstl' ", max_size=120) | st.text("a 1\u0558\u088f\u209d\U0003d8db\U000323b0\U00011de0\U0001f642\U00020000", max_size=8))
 def test_bpe_round_trip(text):
     import tiktoken
 

@@ -26,3 +26,15 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         if not jumped.filter("moved").head(1):
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def memberships_of(rows: DataFrame, classes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """(doc_id, key, component_id) for rows(doc_id, key), where classes(key, first_id) are linked by edges(a, b).
+
+    component_id is the least first_id of a component; null if it has none.
+    """
+    labels = components(edges).select(F.col("node").alias("__n"), "label")
+    rooted = materialize(classes.join(labels, classes[key] == labels["__n"], "left").select(key, "first_id", F.coalesce("label", key).alias("root")))
+    least = materialize(rooted.groupBy(F.col("root").alias("__r")).agg(F.min("first_id").alias("component_id")))
+    of = materialize(rooted.join(least, rooted["root"] == least["__r"]).select(F.col(key).alias("__f"), "component_id"))
+    return rows.join(of, rows[key] == of["__f"]).select("doc_id", key, "component_id")

@@ -11,7 +11,7 @@ set of links leaves the task.
 
 Edge cases: null text counts as empty; texts without a word have fingerprint zero and link like
 any other. Null doc_ids come after all others. Repeated rows are one class. An empty table gives
-an empty result. Other columns are ignored or passed on, whatever their names.
+an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embedspace.llm.common import map_arrow, materialize, raw
-from embedspace.llm.components import components
+from embedspace.llm.components import memberships_of
 
 RADIUS = 3
 SEED = 42
@@ -43,17 +43,22 @@ class SimHashConfig:
     tile: int = 1024
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """Bits that are set in over half of the shingles' hashes."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """Hashes of all shingles in order; fewer words than a shingle has are one."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     flat = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     k = min(shingle, len(words))
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - k + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(flat[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
+    return np.array([digest(flat[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
+
+
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """Bits that are set in over half of the shingles' hashes; zero without a word."""
+    hashes = shingle_hashes(text, shingle)
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -215,39 +220,9 @@ def memberships(docs: DataFrame, config: SimHashConfig | None = None) -> DataFra
     config = config or SimHashConfig()
     rows = materialize(fingerprints(docs, config))
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    labels = components(links(classes, config)).select(F.col("node").alias("__n"), "label")
-    rooted = materialize(classes.join(labels, classes["fp"] == labels["__n"], "left").select("fp", "first_id", F.coalesce("label", "fp").alias("root")))
-    least = materialize(rooted.groupBy(F.col("root").alias("__r")).agg(F.min("first_id").alias("component_id")))
-    of = materialize(rooted.join(least, rooted["root"] == least["__r"]).select(F.col("fp").alias("__f"), "component_id"))
-    return rows.join(of, rows["fp"] == of["__f"]).select("doc_id", "fp", "component_id")
+    return memberships_of(rows, classes, links(classes, config), "fp")
 
 
 def near_duplicates(docs: DataFrame, config: SimHashConfig | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id."""
     return memberships(docs, config).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_representatives(docs: DataFrame, config: SimHashConfig | None = None) -> DataFrame:
-    """One document of each component, that with the least doc_id, with all its columns.
-
-    Rows that repeat that doc_id: one stays. Documents whose component has no doc_id at all stay.
-    """
-    found = materialize(memberships(docs, config))  # so that Spark may split the join with large classes
-    gone = found.filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__es_id"), F.col("fp").alias("__es_fp")).distinct()
-    nulls = materialize(gone.filter("__es_id is null"))
-    named = docs.filter("doc_id is not null").join(gone, F.col("doc_id") == F.col("__es_id"), "left_anti").dropDuplicates(["doc_id"])
-    if not nulls.head(1):
-        return named.unionByName(docs.filter("doc_id is null"))
-    rest = docs.filter("doc_id is null")
-    marked = map_fingerprint(rest, config or SimHashConfig())
-    return named.unionByName(marked.join(nulls.select("__es_fp"), F.col("__es_f") == F.col("__es_fp"), "left_anti").select(*docs.columns))
-
-
-def map_fingerprint(docs: DataFrame, config: SimHashConfig) -> DataFrame:
-    """docs with their fingerprint as __es_f."""
-
-    @F.pandas_udf("long")
-    def of(texts):  # noqa: ANN001, ANN202
-        return texts.map(lambda x: signed(fingerprint((x or "").encode(), config.shingle))).astype("int64")
-
-    return docs.withColumn("__es_f", of("text"))

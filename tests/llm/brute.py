@@ -108,3 +108,34 @@ def lines(rows: list[tuple], min_sites: int) -> list[tuple]:
 def same(got: DataFrame, columns: list[str], expected: list[tuple]) -> None:
     order = lambda rows: sorted(map(str, rows))
     assert order(tuple(r) for r in got.select(*columns).collect()) == order(expected)
+
+
+def shingles(text: str | None, k: int = 5) -> set[str]:
+    w = words(lower(text or ""))
+    return {" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def similarity(a: str | None, b: str | None) -> float:
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / max(1, len(a | b))
+
+
+def by_similarity(rows: list[tuple], least: float = 0.8) -> list[tuple]:
+    """Least doc_id of each row's component by brute force; equal sets of shingles are one class."""
+    sets = [shingles(r[1]) for r in rows]
+    parent = list(range(len(rows)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or len(a & sets[j]) >= least * len(a | sets[j]):
+                parent[find(i)] = find(j)
+    ids = {}
+    for i, r in enumerate(rows):
+        ids.setdefault(find(i), []).append(r[0])
+    least_of = {k: min((d for d in v if d is not None), default=None) for k, v in ids.items()}
+    return [(r[0], least_of[find(i)]) for i, r in enumerate(rows)]

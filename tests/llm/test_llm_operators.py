@@ -9,12 +9,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from brute import LONG, MESSY, SENTENCE, documents, fingerprint, lines, lower, quality, same, simhash, substring, words
+from brute import LONG, MESSY, SENTENCE, by_similarity, documents, fingerprint, lines, lower, quality, same, simhash, similarity, substring, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from embedspace.llm import bpe, exact_dedup, line_dedup, lm_scoring, packing, quality_rules, queries, simhash as sh, substring_dedup, toxicity, url_filter
+from embedspace.llm import bpe, exact_dedup, line_dedup, lm_scoring, packing, quality_rules, queries, simhash as sh, simhash_wide as sw, substring_dedup, toxicity, url_filter
 
 tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -216,14 +216,51 @@ def test_simhash_finds_every_link(spark, tile):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, found.values()))
 
 
-def test_simhash_representatives(spark):
-    docs = documents(spark, MESSY, extra=True)
-    kept = sh.keep_representatives(docs)
-    assert kept.columns == docs.columns
-    members = simhash(MESSY)
-    expected = sorted({d for d, _, c in members if d is not None and d == c})
-    assert sorted(r["doc_id"] for r in kept.filter("doc_id is not null").select("doc_id").collect()) == expected
-    assert kept.filter("doc_id is null").count() == sum(d is None and c is None for d, _, c in members)
+def edited(rng, text, rate):
+    return " ".join(f"new{rng.randrange(10**9)}" if rng.random() < rate else w for w in text.split())
+
+
+def test_wide_simhash_representatives(messy, empty):
+    kept = sw.keep_representatives(messy)
+    assert kept.columns == messy.columns
+    members = by_similarity(MESSY)
+    assert sorted(r["doc_id"] for r in kept.filter("doc_id is not null").select("doc_id").collect()) == sorted({d for d, c in members if d is not None and d == c})
+    assert kept.filter("doc_id is null").count() == sum(d is None and c is None for d, c in members)
+    assert sw.keep_representatives(empty).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 300])
+def test_wide_simhash_distances(n):
+    """Bit-sliced distances against counted ones, around the radius."""
+    rng = np.random.default_rng(n)
+    a = rng.integers(0, 2**63, (n, 16)).astype(np.uint64)
+    b = a.copy()
+    for i in range(n):
+        for x in rng.choice(1024, int(rng.integers(170, 186)), replace=False):
+            b[i, x // 64] ^= np.uint64(1) << np.uint64(x % 64)
+    distance = np.bitwise_count(a ^ b).sum(axis=1)
+    radius = sw.WideConfig().radius
+    assert sw.near_pairs(a, b, radius).tolist() == (distance <= radius).tolist()
+    links = set(sw.tile_links(a[:20], np.arange(20), b, np.arange(1000, 1000 + n), radius))
+    all_near = {(i, 1000 + j) for i in range(min(20, n)) for j in range(n) if int(np.bitwise_count(a[i] ^ b[j]).sum()) <= radius}
+    assert links <= all_near and {i for i, _ in links} == {i for i, _ in all_near} and {j for _, j in links} == {j for _, j in all_near}
+
+
+@pytest.mark.parametrize("tile", [1024, 4])
+def test_wide_simhash_finds_near_copies(spark, tile):
+    """Copies from 0.83 are found, chains and a large group too; texts below 0.6 stay apart; small tiles change nothing."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 7)))
+    texts = [" ".join(word() for _ in range(rng.randint(80, 300))) for _ in range(40)]
+    chain = [" ".join(word() for _ in range(300))]
+    for _ in range(6):
+        chain.append(edited(rng, chain[-1], 0.012))
+    rows = [*texts, *chain, *(edited(rng, texts[0], 0.01) for _ in range(60)), *(edited(rng, t, rng.choice([0.005, 0.015, 0.2])) for t in texts[1:])]
+    rows = [r for k, r in enumerate(rows) if all(not 0.6 < similarity(r, x) < 0.83 for x in rows[:k])]
+    rows += rows[:5]
+    docs = documents(spark, [(i, t) for i, t in enumerate(rows)])
+    got = {r["doc_id"]: r["component_id"] for r in sw.memberships(docs, sw.WideConfig(tile=tile)).collect()}
+    assert got == dict(by_similarity([(i, t) for i, t in enumerate(rows)])) and len(set(got.values())) < len(rows) - 5
 
 
 def test_substring_dedup(messy, empty):

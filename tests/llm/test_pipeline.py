@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from brute import documents, lines, quality, simhash, substring, words
+from brute import by_similarity, documents, lines, quality, substring, words
 
 pytest.importorskip("public_tokenizers")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -86,8 +86,8 @@ def test_pipeline(spark, tmp_path):
             expected = [(d, "\n".join(x for x in t.split("\n") if not words(x) or len(sites[x]) < 6 or first[x] == d), lang, s) for d, t, lang, s in expected]
             assert sum(x[2] for x in seen) > 0
         elif name == "near_duplicates":
-            members = simhash(expected)
-            expected = [r for r, m in zip(expected, members, strict=True) if m[2] == r[0]]
+            members = by_similarity(expected)
+            expected = [r for r, m in zip(expected, members, strict=True) if m[1] == r[0]]
         elif name == "passages":
             digests = {r[0]: r[2:] for r in substring(expected)}
             got = {r[0]: r for r in substring([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])}

@@ -11,7 +11,7 @@ from embedspace.llm.line_dedup import line_dedup
 from embedspace.llm.packing import pack
 from embedspace.llm.quality_rules import quality_filter
 from embedspace.llm.queries import packing_config
-from embedspace.llm.simhash import keep_representatives
+from embedspace.llm.simhash_wide import keep_representatives
 from embedspace.llm.substring_dedup import substring_dedup
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -28,7 +28,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group whose five-word shingles have a similarity of 0.8 or more."""
     return keep_representatives(docs)
 
 

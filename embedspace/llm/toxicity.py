@@ -1,7 +1,8 @@
 """Toxicity by maximum-scoring segments.
 
-Words get log-odds between toxic and other labelled texts with an informative Dirichlet prior; the
-words whose log-odds are significant keep them, all others cost a constant. One linear scan of a
+Words get log-odds between toxic and other labelled texts with an informative Dirichlet prior; a
+word counts once for each text, as one that a single text repeats says little. The words whose
+log-odds are significant keep them, all others cost a constant. One linear scan of a
 text finds all its maximal segments (Ruzzo and Tompa). A segment's score has an extreme-value
 distribution in texts without toxic passages (Karlin and Altschul): the chance of a segment this
 good in a text this long. The significant ones are added up, and a logistic curve, fitted on the
@@ -39,8 +40,9 @@ MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 class ToxicityConfig:
     max_labelled: int = 50_000
     max_words: int = 20_000
-    #: Strength of the prior, in words.
-    prior: float = 1000.0
+    #: Strength of the prior, as a share of the smaller class's words: with a constant one, words
+    #: that other texts never have would not get more significant as their number grows.
+    prior: float = 1.0
     #: Standard deviations from which log-odds are significant.
     least_z: float = 3.0
     #: Cost of any other word.
@@ -150,7 +152,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig |
         texts = [0, 0]
         for b in batches:
             for text, toxic in zip(raw(b.column(0)), b.column(1).to_pylist(), strict=True):
-                counts[bool(toxic)].update(w.strip(MARKS) for w in text.lower().split())
+                counts[bool(toxic)].update({w.strip(MARKS) for w in text.lower().split()})
                 texts[bool(toxic)] += 1
         both = list(counts[0].keys() | counts[1].keys())
         yield pa.record_batch([pa.array([*both, None], pa.binary()), *(pa.array([*(counts[i][w] for w in both), texts[i]], pa.int64()) for i in (0, 1))], ["word", "c0", "c1"])
@@ -163,8 +165,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig |
     if not t0 or not t1 or not n["n0"] or not n["n1"]:
         return ToxicityModel({}, config.drift, 1.0, config.level, constant=t1 / (t0 + t1) if t0 + t1 else 0.0)
     n0, n1 = int(n["n0"]), int(n["n1"])
-    share = config.prior * (F.col("c0") + F.col("c1")) / F.lit(float(n0 + n1))
-    odds = lambda c, total: F.log((c + share) / (F.lit(total + config.prior) - c - share))
+    prior = config.prior * min(n0, n1)
+    share = prior * (F.col("c0") + F.col("c1")) / F.lit(float(n0 + n1))
+    odds = lambda c, total: F.log((c + share) / F.greatest(F.lit(total + prior) - c - share, F.lit(0.5)))
     gain = odds(F.col("c1"), n1) - odds(F.col("c0"), n0)
     z = gain / F.sqrt(1 / (F.col("c1") + share) + 1 / (F.col("c0") + share))
     best = words.select("word", "c0", "c1", gain.alias("gain"), z.alias("z")).filter(F.col("z") >= config.least_z).orderBy(F.desc("z"), "word").limit(config.max_words).collect()

@@ -52,6 +52,8 @@ class WideConfig:
     band_rows: int = 5
     #: Classes in a chunk of a long run.
     tile: int = 1024
+    #: Comparisons of a run up to which they are packed into blocks together with those of other runs.
+    small: int = 1 << 12
 
     @property
     def radius(self) -> int:
@@ -102,12 +104,18 @@ def sketches(docs: DataFrame, config: WideConfig) -> DataFrame:
 
 def planes_of(fingerprints: np.ndarray) -> np.ndarray:
     """Vertical storage of (64 n, words): row b holds the bits b of n blocks, lane by lane."""
-    blocks = len(fingerprints) // 64
-    out = np.empty((fingerprints.shape[1] * 64, blocks), np.uint64)
-    for i in range(0, blocks, 256):
-        part = np.ascontiguousarray(fingerprints[64 * i : 64 * (i + 256)])
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 64, part.shape[1] * 8), axis=2, bitorder="little")
-        out[:, i : i + 256] = np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view("<u8")[:, :, 0]
+    blocks, words = len(fingerprints) // 64, fingerprints.shape[1]
+    out = np.empty((words * 64, blocks), np.uint64)
+    for i in range(0, blocks, 64):
+        part = fingerprints[64 * i : 64 * (i + 64)].reshape(-1, 64, words).copy()
+        for j in (32, 16, 8, 4, 2, 1):  # transposes 64 by 64 bits, by swapping ever smaller quarters
+            low = np.uint64(sum(((1 << j) - 1) << k for k in range(0, 64, 2 * j)))
+            halves = part.reshape(-1, 32 // j, 2, j, words)
+            top, bottom = halves[:, :, 0], halves[:, :, 1]
+            swap = ((top >> np.uint64(j)) ^ bottom) & low
+            bottom ^= swap
+            top ^= swap << np.uint64(j)
+        out[:, i : i + 64] = part.transpose(2, 1, 0).reshape(words * 64, -1)
     return out
 
 
@@ -149,6 +157,8 @@ def padded(fingerprints: np.ndarray) -> np.ndarray:
 
 def near_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     """For each row whether a and b are within the radius; 64 rows make a block."""
+    if not len(a):
+        return np.zeros(0, bool)
     found = []
     for i in range(0, len(a), 64 * BLOCKS):
         planes = planes_of(padded(a[i : i + 64 * BLOCKS] ^ b[i : i + 64 * BLOCKS]))
@@ -227,12 +237,30 @@ def links(classes: DataFrame, config: WideConfig) -> DataFrame:
         held: list[np.ndarray] | None = None
 
         def found(cols: list[np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
-            out: list[tuple[int, int]] = []
-            for a, z in zip(starts[:-1], starts[1:], strict=True):
-                cut = a + int(np.searchsorted(cols[3][a:z], 1))
-                if a < cut < z:
-                    out += tile_links(cols[5][cut:z], cols[4][cut:z], cols[5][a:cut], cols[4][a:cut], config.radius)
-            ends = np.array(out, np.int64).reshape(-1, 2)
+            role, cls, prints = cols[3:]
+            out, pairs, n = [np.zeros((0, 2), np.int64)], [], 0
+
+            def compare(pairs: list[tuple[np.ndarray, np.ndarray]]) -> None:
+                q, x = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+                near = near_pairs(prints[q], prints[x], config.radius)
+                out.append(np.column_stack((cls[q[near]], cls[x[near]])))
+
+            for a, z in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                cut = a + int(np.searchsorted(role[a:z], 1))
+                work = (z - cut) * (cut - a)
+                if work > config.small:
+                    out.append(np.array(list(tile_links(prints[cut:z], cls[cut:z], prints[a:cut], cls[a:cut], config.radius)), np.int64).reshape(-1, 2))
+                elif work:
+                    q, x = np.repeat(np.arange(cut, z), cut - a), np.tile(np.arange(a, cut), z - cut)
+                    other = cls[q] != cls[x]
+                    pairs.append((q[other], x[other]))
+                    n += work
+                    if n > 64 * ROWS:
+                        compare(pairs)
+                        pairs, n = [], 0
+            if pairs:
+                compare(pairs)
+            ends = np.concatenate(out)
             ends = ends[ends[:, 0] != ends[:, 1]]
             return pa.record_batch([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 

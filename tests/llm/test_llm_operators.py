@@ -246,8 +246,8 @@ def test_wide_simhash_distances(n):
     assert links <= all_near and {i for i, _ in links} == {i for i, _ in all_near} and {j for _, j in links} == {j for _, j in all_near}
 
 
-@pytest.mark.parametrize("tile", [1024, 4])
-def test_wide_simhash_finds_near_copies(spark, tile):
+@pytest.mark.parametrize(("tile", "small"), [(1024, 1 << 12), (4, 1 << 12), (8, 2)])
+def test_wide_simhash_finds_near_copies(spark, tile, small):
     """Copies from 0.83 are found, chains and a large group too; texts below 0.6 stay apart; small tiles change nothing."""
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 7)))
@@ -259,7 +259,7 @@ def test_wide_simhash_finds_near_copies(spark, tile):
     rows = [r for k, r in enumerate(rows) if all(not 0.6 < similarity(r, x) < 0.83 for x in rows[:k])]
     rows += rows[:5]
     docs = documents(spark, [(i, t) for i, t in enumerate(rows)])
-    got = {r["doc_id"]: r["component_id"] for r in sw.memberships(docs, sw.WideConfig(tile=tile)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in sw.memberships(docs, sw.WideConfig(tile=tile, small=small)).collect()}
     assert got == dict(by_similarity([(i, t) for i, t in enumerate(rows)])) and len(set(got.values())) < len(rows) - 5
 
 
@@ -389,6 +389,13 @@ def test_toxicity(spark, empty):
     assert {r["score"] for r in toxicity.toxicity_scores(documents(spark, rows[:5]), labels(spark, [])).collect()} == {0.0}
 
 
+def test_toxicity_of_one_word(spark):
+    """All labelled texts are one and the same word: nothing tells them apart."""
+    rows = [(i, "same same") for i in range(40)]
+    got = toxicity.toxicity_scores(documents(spark, rows), labels(spark, [(i, 1, i % 2) for i in range(40)])).collect()
+    assert len(got) == 40 and len({r["score"] for r in got}) == 1 and 0 <= got[0]["score"] <= 1
+
+
 def test_toxicity_passages(spark):
     model = toxicity.ToxicityModel({b"scum": 3.0, b"vile": 2.0}, 0.5, 1.0, 0.5)
     got = toxicity.passages(documents(spark, [(1, "a b Scum! and vile c d e f g h i scum"), (2, None)]), model).orderBy("first_word").collect()

@@ -2,16 +2,18 @@
 
 Three differing bits of 64 mean a similarity far above 0.8, so this form of the operator keeps
 1,024 bits of each set of shingles. A pair of similarity s differs in arccos(2s / (1 + s)) / pi of
-them on average; the radius adds two standard deviations, so that a pair at the threshold links
-with a chance of 0.98 and one of 0.6 hardly ever. Candidates share one of sixteen keys, each made of
-five least hashes under random orders (a pair of 0.8 misses all of them with a chance of 0.002).
+them on average; the radius adds five standard deviations, so that it only saves work: what is within
+it links if the Jaccard similarity of the sets of shingles, counted exactly, is 0.8 or more. Candidates
+share one of sixteen keys, each made of five least hashes under random orders (a pair of 0.8 misses
+all of them with a chance of 0.002).
 
 Distances are bit-sliced: 64 fingerprints are stored as bit planes and carry-save counters, which
 start so that the count that passes the radius overflows, hold 64 distances at once; blocks whose
 distances have all overflowed are abandoned. The classes of a key are compared with its hub (the
-least class) first; only those that are not near it are compared with all others, in tiles of
-bounded size. As whatever is near the hub is connected through it, no link between components is
-lost, and large groups of copies take linear work.
+least class) first; only those that are not similar to it are compared with all others, in tiles of
+bounded size. As whatever is similar to the hub is connected through it, no link between components
+is lost, and large groups of copies take linear work. Pairs that are connected already aren't
+counted again.
 
 Edge cases: words are cut as elsewhere and A-Z lower-cased. Null text counts as empty; texts
 without a word are one class. Texts of fewer than five words have one shingle, the whole. Null
@@ -30,8 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from embedspace.llm.common import map_arrow, materialize, raw
-from embedspace.llm.components import memberships_of
+from embedspace.llm.common import map_arrow, materialize, raw, text_key
+from embedspace.llm.components import components, memberships_of
 from embedspace.llm.simhash import FULL, SEED, shingle_hashes, signed
 
 #: Planes that meet the counters together, and the counters' levels below their carry.
@@ -47,7 +49,7 @@ class WideConfig:
     #: Bits of a fingerprint, a multiple of 64.
     bits: int = 1024
     #: Standard deviations beyond the mean distance at the threshold.
-    slack: float = 2.0
+    slack: float = 5.0
     bands: int = 16
     band_rows: int = 5
     #: Classes in a chunk of a long run.
@@ -73,9 +75,15 @@ def stream(n: int, salt: int) -> np.ndarray:
     return mixed((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(salt << 32)) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def shingle_set(text: bytes, config: WideConfig) -> tuple[int, np.ndarray]:
+    """Class and sorted hashes of a text's set of shingles."""
+    hashes = np.unique(shingle_hashes(text, config.shingle))
+    return signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)), hashes
+
+
 def sketch(text: bytes, config: WideConfig) -> tuple[int, bytes, list[int]]:
     """Class, fingerprint and keys of a text's set of shingles."""
-    hashes = np.unique(shingle_hashes(text, config.shingle))
+    cls, hashes = shingle_set(text, config)
     words = stream(config.bits // 64, 1)
     orders = stream(config.bands * config.band_rows, 2) | np.uint64(1)
     ones = np.zeros(config.bits, np.int64)
@@ -87,19 +95,50 @@ def sketch(text: bytes, config: WideConfig) -> tuple[int, bytes, list[int]]:
     digest = xxhash.xxh64_intdigest
     bands = least.reshape(config.bands, -1)
     keys = [signed(digest(bands[b].tobytes(), b)) for b in range(config.bands)] if len(hashes) else []
-    return signed(digest(hashes.tobytes(), SEED)), np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), keys
+    return cls, np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), keys
 
 
 def sketches(docs: DataFrame, config: WideConfig) -> DataFrame:
-    """(doc_id, cls, fp, keys) of each document."""
+    """(doc_id, th, cls, fp, keys) of each document; th is the key of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [sketch(x, config) for x in raw(b.column(1))]
+            found = [sketch(x, config) for x in raw(b.column(2))]
             columns = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.list_(pa.int64())))]
-            yield pa.record_batch([b.column(0), *columns], ["doc_id", "cls", "fp", "keys"])
+            yield pa.record_batch([b.column(0), b.column(1), *columns], ["doc_id", "th", "cls", "fp", "keys"])
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("th"), "text"), run, "doc_id long, th long, cls long, fp binary, keys array<long>")
+
+
+def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, config: WideConfig) -> DataFrame:
+    """Those of pairs(a, b) of classes whose sets of shingles have the similarity, counted exactly.
+
+    Sets are built again from the texts, and only for classes in pairs, as few are.
+    """
+    ends = pairs.select(F.col("a").alias("__c")).unionByName(pairs.select(F.col("b").alias("__c"))).distinct()
+    wanted = materialize(classes.join(ends, F.expr("cls = __c")).select(F.col("th").alias("__th")).distinct())
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(x, config) for x in raw(b.column(0))]
+            yield pa.record_batch([pa.array([c for c, _ in found], pa.int64()), pa.array([h.tobytes() for _, h in found], pa.binary())], ["cls", "hashes"])
+
+    texts = docs.select("text", text_key(F.col("text")).alias("th")).join(wanted, F.expr("th = __th"), "left_semi").select("text")
+    sets = materialize(map_arrow(texts, sets_of, "cls long, hashes binary").groupBy("cls").agg(F.first("hashes").alias("hashes")))
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, cls long, fp binary, keys array<long>")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                both = np.concatenate((np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")))
+                both.sort(kind="stable")
+                common = int((both[1:] == both[:-1]).sum())
+                found.append(common >= config.similarity * (len(both) - common))
+            yield b.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
+
+    x, y = sets.select(F.col("cls").alias("__c"), F.col("hashes").alias("x")), sets.select(F.col("cls").alias("__d"), F.col("hashes").alias("y"))
+    joined = pairs.join(x, F.expr("a = __c")).select("a", "b", "x").join(y, F.expr("b = __d")).select("a", "b", "x", "y")
+    return materialize(map_arrow(joined, count, "a long, b long"))
 
 
 def planes_of(fingerprints: np.ndarray) -> np.ndarray:
@@ -172,7 +211,7 @@ def matrix(column: pa.Array, config: WideConfig) -> np.ndarray:
 
 
 def tile_links(queries: np.ndarray, q_class: np.ndarray, lanes: np.ndarray, l_class: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
-    """Links that connect whatever a query and a lane within the radius of it connect, few of them needless."""
+    """All pairs of a query and a lane within the radius of it."""
     planes, blocks = planes_of(padded(lanes)), -(-len(lanes) // 64)
     query, block = np.repeat(np.arange(len(queries)), blocks), np.tile(np.arange(blocks), len(queries))
     hits = np.empty(len(query), np.uint64)
@@ -184,28 +223,13 @@ def tile_links(queries: np.ndarray, q_class: np.ndarray, lanes: np.ndarray, l_cl
             return planes[p][at[live]] ^ (np.uint64(0) - bit)
 
         hits[i : i + ROWS] = within(differs, len(at), len(planes), radius)
-    data, full = hits.astype("<u8").tobytes(), (1 << len(lanes)) - 1
-    groups: list[int] = []
-    for i in range(len(queries)):
-        near = int.from_bytes(data[8 * blocks * i : 8 * blocks * (i + 1)], "little") & full
-        fresh, merged, apart = near, near, []
-        for g in groups:
-            if g & near:
-                x = (g & near & -(g & near)).bit_length() - 1
-                yield int(q_class[i]), int(l_class[x])
-                fresh &= ~g
-                merged |= g
-            else:
-                apart.append(g)
-        while fresh:
-            x = (fresh & -fresh).bit_length() - 1
-            fresh &= fresh - 1
-            yield int(q_class[i]), int(l_class[x])
-        groups = [*apart, merged] if merged else apart
-
-
-def links(classes: DataFrame, config: WideConfig) -> DataFrame:
-    """Links (a, b) between classes(cls, fp, keys) that connect all that are near each other."""
+    bits = np.unpackbits(hits.astype("<u8").view(np.uint8), bitorder="little").reshape(len(queries), 64 * blocks)
+    q, x = np.nonzero(bits[:, : len(lanes)])
+    yield from zip(q_class[q].tolist(), l_class[x].tolist(), strict=True)
+
+
+def links(classes: DataFrame, docs: DataFrame, config: WideConfig) -> DataFrame:
+    """Links (a, b) between classes(cls, th, fp, keys) of docs that connect all that are similar to each other."""
     prints = classes.select(F.col("cls").alias("__c"), "fp")
     keys = classes.select("cls", F.explode("keys").alias("key"))
     runs = materialize(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("hub")).filter("n > 1"))
@@ -220,7 +244,9 @@ def links(classes: DataFrame, config: WideConfig) -> DataFrame:
     pairs = pairs.join(prints, F.expr("hub = __c")).select("cls", "hub", "x", "fp")
     stars = materialize(map_arrow(pairs, to_hubs, "cls long, hub long, near boolean"))
 
-    far = stars.filter("not near").select(F.col("cls").alias("__c"), F.col("hub").alias("__h"))
+    tested = stars.filter("near").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
+    linked = similar(tested, classes, docs, config)
+    far = stars.join(linked, F.expr("cls = a and hub = b"), "left_anti").select(F.col("cls").alias("__c"), F.col("hub").alias("__h"))
     rest = materialize(shared.join(far, F.expr("cls = __c and hub = __h"), "left_semi").select("key", "n", "cls"))
     tiles = materialize(rest.groupBy(F.col("key").alias("__k")).agg(F.ceil(F.max("n") / config.tile).cast("int").alias("g"), F.ceil(F.count("*") / config.tile).cast("int").alias("h")))
 
@@ -280,16 +306,22 @@ def links(classes: DataFrame, config: WideConfig) -> DataFrame:
 
     rows = placed(shared, 0).unionByName(placed(rest, 1))
     ordered = rows.repartition("key", "c", "d").sortWithinPartitions("key", "c", "d", "role")
-    near = stars.filter("near").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
-    return near.unionByName(map_arrow(ordered, in_tiles, "a long, b long"))
+    near = materialize(map_arrow(ordered, in_tiles, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    done = tested.select(F.greatest("a", "b").alias("__b"), F.least("a", "b").alias("__a"))
+    near = near.join(done, F.expr("a = __a and b = __b"), "left_anti")
+    labels = components(linked)
+    for end in ("a", "b"):
+        near = near.join(labels.select(F.col("node").alias("__n"), F.col("label").alias(f"l{end}")), F.expr(f"{end} = __n"), "left").drop("__n")
+    apart = materialize(near.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"))
+    return linked.unionByName(similar(apart, classes, docs, config))
 
 
 def memberships(docs: DataFrame, config: WideConfig | None = None) -> DataFrame:
     """(doc_id, cls, component_id) of each document; component_id is the least doc_id that can be reached."""
     config = config or WideConfig()
     rows = materialize(sketches(docs, config))
-    classes = materialize(rows.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
-    return memberships_of(rows.select("doc_id", "cls"), classes.select("cls", "first_id"), links(classes, config), "cls")
+    classes = materialize(rows.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min("th").alias("th"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    return memberships_of(rows.select("doc_id", "cls"), classes.select("cls", "first_id"), links(classes, docs, config), "cls")
 
 
 def keep_representatives(docs: DataFrame, config: WideConfig | None = None) -> DataFrame:

@@ -263,6 +263,25 @@ def test_wide_simhash_finds_near_copies(spark, tile, small):
     assert got == dict(by_similarity([(i, t) for i, t in enumerate(rows)])) and len(set(got.values())) < len(rows) - 5
 
 
+@pytest.mark.parametrize(("tile", "small"), [(1024, 1 << 12), (4, 2)])
+def test_wide_simhash_holds_the_similarity(spark, tile, small):
+    """Pairs a little below 0.8 stay apart and those at or above it link, also by chains."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 7)))
+    rows = []
+    for _ in range(25):
+        base = [word() for _ in range(204)]
+        rows.append(" ".join(base))
+        for swapped in (3, 4, 5, 6, 8):  # each swapped word changes five shingles of 200: 0.86, 0.82, 0.78, 0.74, 0.67
+            at = set(range(10, 10 + 20 * swapped, 20))
+            rows.append(" ".join(word() + "z" if i in at else w for i, w in enumerate(base)))
+    near = [similarity(rows[i], rows[i + k]) for i in range(0, len(rows), 6) for k in range(1, 6)]
+    assert sum(0.65 < s < 0.8 for s in near) == 75 and sum(s >= 0.8 for s in near) == 50
+    rows = list(enumerate(rows))
+    got = {r["doc_id"]: r["component_id"] for r in sw.memberships(documents(spark, rows), sw.WideConfig(tile=tile, small=small)).collect()}
+    assert got == dict(by_similarity(rows))
+
+
 def test_substring_dedup(messy, empty):
     same(substring_dedup.substring_digests(messy), ["doc_id", "n_words", "n_removed", "kept_sha256"], substring(MESSY))
     assert substring_dedup.substring_digests(empty).count() == 0

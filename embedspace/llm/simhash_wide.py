@@ -3,9 +3,10 @@
 Three differing bits of 64 mean a similarity far above 0.8, so this form of the operator keeps
 1,024 bits of each set of shingles. A pair of similarity s differs in arccos(2s / (1 + s)) / pi of
 them on average; the radius adds five standard deviations, so that it only saves work: what is within
-it links if the Jaccard similarity of the sets of shingles, counted exactly, is 0.8 or more. Candidates
-share one of sixteen keys, each made of five least hashes under random orders (a pair of 0.8 misses
-all of them with a chance of 0.002).
+it links if the Jaccard similarity of the sets of shingles, counted exactly, is 0.8 or more. Small sets
+have wider radii, from exact binomials, as their majorities differ more often. Candidates share one of
+32 keys, each made of five least hashes under random orders (a pair of 0.8 misses all of them with a
+chance of 0.000003).
 
 Distances are bit-sliced: 64 fingerprints are stored as bit planes and carry-save counters, which
 start so that the count that passes the radius overflows, hold 64 distances at once; blocks whose
@@ -25,6 +26,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,17 +52,41 @@ class WideConfig:
     bits: int = 1024
     #: Standard deviations beyond the mean distance at the threshold.
     slack: float = 5.0
-    bands: int = 16
+    bands: int = 32
     band_rows: int = 5
     #: Classes in a chunk of a long run.
     tile: int = 1024
     #: Comparisons of a run up to which they are packed into blocks together with those of other runs.
     small: int = 1 << 12
 
+    def reach(self, share: float) -> int:
+        """Differing bits that hardly any pair exceeds whose bits differ with a chance of share."""
+        return int(self.bits * share + self.slack * math.sqrt(self.bits * share * (1 - share)))
+
     @property
     def radius(self) -> int:
-        share = math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi
-        return int(self.bits * share + self.slack * math.sqrt(self.bits * share * (1 - share)))
+        return self.reach(math.acos(2 * self.similarity / (1 + self.similarity)) / math.pi)
+
+
+@lru_cache(maxsize=8)
+def radii(config: WideConfig, sizes: int = 128) -> np.ndarray:
+    """Radius by the size of a pair's smaller set; the last one is for all from `sizes` on. None is below a later one."""
+    chance = [np.array([math.comb(k, j) / 2**k for j in range(k + 1)]) for k in range(2 * sizes)]
+
+    def over(k: int, size: int, common: int) -> np.ndarray:
+        """Chance that more than half of size bits are set, by how many of the common ones are, k being its other ones."""
+        tail = np.append(np.cumsum(chance[k][::-1])[::-1], 0)
+        return tail[np.clip(size // 2 + 1 - np.arange(common + 1), 0, k + 1)]
+
+    out = np.full(sizes + 1, config.radius)
+    for n in range(1, sizes):
+        for x in range(n):
+            i = n - x
+            most = int(i / config.similarity + 1e-9) - n  # shingles that only the larger set may have
+            for y in range(max(x, most - 1), most + 1):
+                a, b = over(x, n, i), over(y, i + y, i)
+                out[n] = max(out[n], config.reach(float((chance[i] * (a * (1 - b) + b * (1 - a))).sum())))
+    return np.maximum.accumulate(out[::-1])[::-1]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -81,8 +107,8 @@ def shingle_set(text: bytes, config: WideConfig) -> tuple[int, np.ndarray]:
     return signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)), hashes
 
 
-def sketch(text: bytes, config: WideConfig) -> tuple[int, bytes, list[int]]:
-    """Class, fingerprint and keys of a text's set of shingles."""
+def sketch(text: bytes, config: WideConfig) -> tuple[int, bytes, list[int], int]:
+    """Class, fingerprint, keys and size of a text's set of shingles."""
     cls, hashes = shingle_set(text, config)
     words = stream(config.bits // 64, 1)
     orders = stream(config.bands * config.band_rows, 2) | np.uint64(1)
@@ -95,19 +121,20 @@ def sketch(text: bytes, config: WideConfig) -> tuple[int, bytes, list[int]]:
     digest = xxhash.xxh64_intdigest
     bands = least.reshape(config.bands, -1)
     keys = [signed(digest(bands[b].tobytes(), b)) for b in range(config.bands)] if len(hashes) else []
-    return cls, np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), keys
+    return cls, np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), keys, len(hashes)
 
 
 def sketches(docs: DataFrame, config: WideConfig) -> DataFrame:
-    """(doc_id, th, cls, fp, keys) of each document; th is the key of its text."""
+    """(doc_id, th, cls, fp, keys, reach) of each document; th is the key of its text, reach the radius for its size."""
+    reach = radii(config)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [sketch(x, config) for x in raw(b.column(2))]
-            columns = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.list_(pa.int64())))]
-            yield pa.record_batch([b.column(0), b.column(1), *columns], ["doc_id", "th", "cls", "fp", "keys"])
+            found = [(*s, int(reach[min(n, len(reach) - 1)])) for *s, n in (sketch(x, config) for x in raw(b.column(2)))]
+            columns = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32()))]
+            yield pa.record_batch([b.column(0), b.column(1), *columns], ["doc_id", "th", "cls", "fp", "keys", "reach"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("th"), "text"), run, "doc_id long, th long, cls long, fp binary, keys array<long>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("th"), "text"), run, "doc_id long, th long, cls long, fp binary, keys array<long>, reach int")
 
 
 def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, config: WideConfig) -> DataFrame:
@@ -158,12 +185,16 @@ def planes_of(fingerprints: np.ndarray) -> np.ndarray:
     return out
 
 
-def within(plane: Callable[[int, np.ndarray], np.ndarray], n: int, bits: int, radius: int) -> np.ndarray:
-    """Lanes whose count of set bits is at most the radius. plane(b, live): bit b of the differences of the live ones of n blocks."""
-    width = max(radius.bit_length(), LEVELS + 1)
-    start = (1 << width) - 1 - radius  # so that radius + 1 overflows
+def within(plane: Callable[[int, np.ndarray], np.ndarray], n: int, bits: int, radius: int | np.ndarray) -> np.ndarray:
+    """Lanes whose count of set bits is at most the radius, which may differ from lane to lane.
+
+    plane(b, live): bit b of the differences of the live ones of n blocks.
+    """
+    least = int(np.min(radius))
+    width = max(int(np.max(radius)).bit_length(), LEVELS + 1)
+    start = (1 << width) - 1 - np.broadcast_to(radius, (n, 64))  # so that radius + 1 overflows
     out, live = np.zeros(n, np.uint64), np.arange(n)
-    state = [np.full(n, FULL if start >> k & 1 else 0, np.uint64) for k in range(width)]
+    state = [np.packbits(start >> k & 1, axis=1, bitorder="little").view("<u8")[:, 0].copy() for k in range(width)]
     dead = np.zeros(n, np.uint64)
     for b in range(0, bits, STEP):
         items = [plane(b + i, live) for i in range(STEP)]
@@ -178,7 +209,7 @@ def within(plane: Callable[[int, np.ndarray], np.ndarray], n: int, bits: int, ra
         for k in range(LEVELS, width):
             state[k], carry = state[k] ^ carry, state[k] & carry
         dead |= carry
-        if b + STEP > radius:
+        if b + STEP > least:
             stay = dead != FULL  # abandon blocks in which all have exceeded the radius
             if not stay.all():
                 live, dead, state = live[stay], dead[stay], [s[stay] for s in state]
@@ -194,14 +225,15 @@ def padded(fingerprints: np.ndarray) -> np.ndarray:
     return out
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """For each row whether a and b are within the radius; 64 rows make a block."""
+def near_pairs(a: np.ndarray, b: np.ndarray, radius: int | np.ndarray) -> np.ndarray:
+    """For each row whether a and b are within its radius; 64 rows make a block."""
     if not len(a):
         return np.zeros(0, bool)
-    found = []
+    found, reach = [], np.broadcast_to(radius, len(a))
+    reach = np.pad(reach, (0, -len(a) % 64), mode="edge").reshape(-1, 64)
     for i in range(0, len(a), 64 * BLOCKS):
         planes = planes_of(padded(a[i : i + 64 * BLOCKS] ^ b[i : i + 64 * BLOCKS]))
-        found.append(within(lambda p, live, planes=planes: planes[p][live], planes.shape[1], len(planes), radius))
+        found.append(within(lambda p, live, planes=planes: planes[p][live], planes.shape[1], len(planes), reach[i // 64 : i // 64 + BLOCKS]))
     lanes = np.concatenate(found).astype("<u8").view(np.uint8)
     return np.unpackbits(lanes, bitorder="little")[: len(a)].astype(bool)
 
@@ -210,11 +242,13 @@ def matrix(column: pa.Array, config: WideConfig) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, config.bits // 64)
 
 
-def tile_links(queries: np.ndarray, q_class: np.ndarray, lanes: np.ndarray, l_class: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
-    """All pairs of a query and a lane within the radius of it."""
+def tile_links(queries: np.ndarray, q_class: np.ndarray, lanes: np.ndarray, l_class: np.ndarray, radius: int | tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, int]]:
+    """All pairs of a query and a lane within the radius of it; of radii of queries and lanes the greater one counts."""
     planes, blocks = planes_of(padded(lanes)), -(-len(lanes) // 64)
     query, block = np.repeat(np.arange(len(queries)), blocks), np.tile(np.arange(blocks), len(queries))
     hits = np.empty(len(query), np.uint64)
+    q_reach, l_reach = radius if isinstance(radius, tuple) else (np.full(len(queries), radius), np.full(len(lanes), radius))
+    l_reach = np.pad(l_reach, (0, -len(lanes) % 64), mode="edge").reshape(-1, 64)
     for i in range(0, len(query), ROWS):
         q, at = queries[query[i : i + ROWS]], block[i : i + ROWS]
 
@@ -222,26 +256,26 @@ def tile_links(queries: np.ndarray, q_class: np.ndarray, lanes: np.ndarray, l_cl
             bit = (q[live, p // 64] >> np.uint64(p % 64)) & np.uint64(1)
             return planes[p][at[live]] ^ (np.uint64(0) - bit)
 
-        hits[i : i + ROWS] = within(differs, len(at), len(planes), radius)
+        hits[i : i + ROWS] = within(differs, len(at), len(planes), np.maximum(q_reach[query[i : i + ROWS], None], l_reach[at]))
     bits = np.unpackbits(hits.astype("<u8").view(np.uint8), bitorder="little").reshape(len(queries), 64 * blocks)
     q, x = np.nonzero(bits[:, : len(lanes)])
     yield from zip(q_class[q].tolist(), l_class[x].tolist(), strict=True)
 
 
 def links(classes: DataFrame, docs: DataFrame, config: WideConfig) -> DataFrame:
-    """Links (a, b) between classes(cls, th, fp, keys) of docs that connect all that are similar to each other."""
-    prints = classes.select(F.col("cls").alias("__c"), "fp")
+    """Links (a, b) between classes(cls, th, fp, keys, reach) of docs that connect all that are similar to each other."""
+    prints = classes.select(F.col("cls").alias("__c"), "fp", "reach")
     keys = classes.select("cls", F.explode("keys").alias("key"))
     runs = materialize(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("hub")).filter("n > 1"))
     shared = materialize(keys.join(runs.withColumnRenamed("key", "__k"), F.expr("key = __k")).select("key", "n", "cls", "hub"))
 
     def to_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            near = near_pairs(matrix(b.column(2), config), matrix(b.column(3), config), config.radius) if b.num_rows else []
+            near = near_pairs(matrix(b.column(2), config), matrix(b.column(3), config), b.column(4).to_numpy()) if b.num_rows else []
             yield pa.record_batch([b.column(0), b.column(1), pa.array(near, pa.bool_())], ["cls", "hub", "near"])
 
-    pairs = shared.filter("cls <> hub").select("cls", "hub").distinct().join(prints, F.expr("cls = __c")).select("cls", "hub", F.col("fp").alias("x"))
-    pairs = pairs.join(prints, F.expr("hub = __c")).select("cls", "hub", "x", "fp")
+    pairs = shared.filter("cls <> hub").select("cls", "hub").distinct().join(prints, F.expr("cls = __c")).select("cls", "hub", F.col("fp").alias("x"), F.col("reach").alias("xr"))
+    pairs = pairs.join(prints, F.expr("hub = __c")).select("cls", "hub", "x", "fp", F.greatest("xr", "reach").alias("reach"))
     stars = materialize(map_arrow(pairs, to_hubs, "cls long, hub long, near boolean"))
 
     tested = stars.filter("near").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
@@ -256,26 +290,26 @@ def links(classes: DataFrame, docs: DataFrame, config: WideConfig) -> DataFrame:
         each = met.join(prints, F.expr("cls = __c")).withColumn("own", F.pmod(F.xxhash64("cls"), F.col(own)).cast("int"))
         each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
         first, second = ("own", "other") if role == 0 else ("other", "own")
-        return each.select("key", F.col(first).alias("c"), F.col(second).alias("d"), F.lit(role).alias("role"), "cls", "fp")
+        return each.select("key", F.col(first).alias("c"), F.col(second).alias("d"), F.lit(role).alias("role"), "cls", "reach", "fp")
 
     def in_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted rows to links. The last run of a batch waits for the next one."""
         held: list[np.ndarray] | None = None
 
         def found(cols: list[np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
-            role, cls, prints = cols[3:]
+            role, cls, reach, prints = cols[3:]
             out, pairs, n = [np.zeros((0, 2), np.int64)], [], 0
 
             def compare(pairs: list[tuple[np.ndarray, np.ndarray]]) -> None:
                 q, x = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-                near = near_pairs(prints[q], prints[x], config.radius)
+                near = near_pairs(prints[q], prints[x], np.maximum(reach[q], reach[x]))
                 out.append(np.column_stack((cls[q[near]], cls[x[near]])))
 
             for a, z in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 cut = a + int(np.searchsorted(role[a:z], 1))
                 work = (z - cut) * (cut - a)
                 if work > config.small:
-                    out.append(np.array(list(tile_links(prints[cut:z], cls[cut:z], prints[a:cut], cls[a:cut], config.radius)), np.int64).reshape(-1, 2))
+                    out.append(np.array(list(tile_links(prints[cut:z], cls[cut:z], prints[a:cut], cls[a:cut], (reach[cut:z], reach[a:cut]))), np.int64).reshape(-1, 2))
                 elif work:
                     q, x = np.repeat(np.arange(cut, z), cut - a), np.tile(np.arange(a, cut), z - cut)
                     other = cls[q] != cls[x]
@@ -293,7 +327,7 @@ def links(classes: DataFrame, docs: DataFrame, config: WideConfig) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)] + [matrix(batch.column(5), config)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)] + [matrix(batch.column(6), config)]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
             change = np.ones(len(cols[0]), bool)
@@ -320,7 +354,7 @@ def memberships(docs: DataFrame, config: WideConfig | None = None) -> DataFrame:
     """(doc_id, cls, component_id) of each document; component_id is the least doc_id that can be reached."""
     config = config or WideConfig()
     rows = materialize(sketches(docs, config))
-    classes = materialize(rows.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min("th").alias("th"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    classes = materialize(rows.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min("th").alias("th"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("reach").alias("reach")))
     return memberships_of(rows.select("doc_id", "cls"), classes.select("cls", "first_id"), links(classes, docs, config), "cls")
 
 

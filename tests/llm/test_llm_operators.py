@@ -282,6 +282,40 @@ def test_wide_simhash_holds_the_similarity(spark, tile, small):
     assert got == dict(by_similarity(rows))
 
 
+@pytest.mark.parametrize(("tile", "small"), [(1024, 1 << 12), (4, 2)])
+def test_wide_simhash_links_short_texts(spark, tile, small):
+    """Texts that are the start of another of few shingles, at 0.8 or a little more; and pairs below it."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(4, 9)))
+    rows = []
+    for short, long in [(4, 5), (6, 7), (12, 15), (20, 25), (9, 12), (40, 50)] * 60:
+        base = [word() for _ in range(long + 4)]
+        rows += [" ".join(base), " ".join(base[: short + 4])]
+    rows = list(enumerate(rows))
+    got = {r["doc_id"]: r["component_id"] for r in sw.memberships(documents(spark, rows), sw.WideConfig(tile=tile, small=small)).collect()}
+    assert got == {i: i if i % 12 == 9 else i - i % 2 for i, _ in rows}
+
+
+def test_wide_simhash_radii():
+    """Radii of lanes differ; the chance that bits differ, by drawn bits."""
+    config, rng = sw.WideConfig(), np.random.default_rng(5)
+    radii = sw.radii(config)
+    assert (np.diff(radii) <= 0).all() and radii[-1] == config.radius
+    for n, m in [(4, 5), (12, 15), (20, 25), (80, 100)]:
+        ones = rng.integers(0, 2, (200_000, m))
+        share = ((2 * ones[:, :n].sum(axis=1) > n) != (2 * ones.sum(axis=1) > m)).mean()
+        assert config.bits * share + 4.5 * np.sqrt(config.bits * share * (1 - share)) < radii[n]
+    a = rng.integers(0, 2**63, (200, 16)).astype(np.uint64)
+    b, reach = a.copy(), rng.integers(200, 400, 200)
+    for i in range(200):
+        for x in rng.choice(1024, int(reach[i] + rng.integers(-1, 3)), replace=False):
+            b[i, x // 64] ^= np.uint64(1) << np.uint64(x % 64)
+    near = np.bitwise_count(a ^ b).sum(axis=1) <= reach
+    assert sw.near_pairs(a, b, reach).tolist() == near.tolist() and 0 < near.sum() < 200
+    for i in (0, 7, 199):
+        assert bool(list(sw.tile_links(a[i : i + 1], np.array([1]), b[i : i + 1], np.array([2]), (reach[i : i + 1], reach[i : i + 1] - 50)))) == near[i]
+
+
 def test_substring_dedup(messy, empty):
     same(substring_dedup.substring_digests(messy), ["doc_id", "n_words", "n_removed", "kept_sha256"], substring(MESSY))
     assert substring_dedup.substring_digests(empty).count() == 0

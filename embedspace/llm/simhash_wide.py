@@ -351,30 +351,21 @@ def links(classes: DataFrame, docs: DataFrame, config: WideConfig) -> DataFrame:
 
 
 def memberships(docs: DataFrame, config: WideConfig | None = None) -> DataFrame:
-    """(doc_id, cls, component_id) of each document; component_id is the least doc_id that can be reached."""
+    """(doc_id, th, cls, component_id) of each document; component_id is the least doc_id that can be reached."""
     config = config or WideConfig()
     rows = materialize(sketches(docs, config))
     classes = materialize(rows.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min("th").alias("th"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("reach").alias("reach")))
-    return memberships_of(rows.select("doc_id", "cls"), classes.select("cls", "first_id"), links(classes, docs, config), "cls")
+    return memberships_of(rows.select("doc_id", "th", "cls"), classes.select("cls", "first_id"), links(classes, docs, config), "cls")
 
 
 def keep_representatives(docs: DataFrame, config: WideConfig | None = None) -> DataFrame:
     """One document of each component, that with the least doc_id, with all its columns.
 
-    Rows that repeat that doc_id: one stays. Documents whose component has no doc_id at all stay.
+    Rows that share a doc_id but not the text are judged each by its own text. Of those that stay with
+    the same doc_id, one does. Documents whose component has no doc_id at all stay.
     """
     config = config or WideConfig()
     found = materialize(memberships(docs, config))  # so that Spark may split the join with large classes
-    gone = found.filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__es_id"), F.col("cls").alias("__es_c")).distinct()
-    nulls = materialize(gone.filter("__es_id is null"))
-    named = docs.filter("doc_id is not null").join(gone, F.col("doc_id") == F.col("__es_id"), "left_anti").dropDuplicates(["doc_id"])
-    rest = docs.filter("doc_id is null")
-    if not nulls.head(1):
-        return named.unionByName(rest)
-
-    @F.pandas_udf("long")
-    def class_of(texts):  # noqa: ANN001, ANN202
-        return texts.map(lambda x: sketch((x or "").encode(), config)[0]).astype("int64")
-
-    marked = rest.withColumn("__es_f", class_of("text"))
-    return named.unionByName(marked.join(nulls.select("__es_c"), F.col("__es_f") == F.col("__es_c"), "left_anti").select(*docs.columns))
+    gone = found.filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__es_id"), F.col("th").alias("__es_th")).distinct()
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__es_id")) & (text_key(docs["text"]) == F.col("__es_th")), "left_anti")
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))

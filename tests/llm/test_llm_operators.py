@@ -296,6 +296,14 @@ def test_wide_simhash_links_short_texts(spark, tile, small):
     assert got == {i: i if i % 12 == 9 else i - i % 2 for i, _ in rows}
 
 
+def test_wide_simhash_repeated_ids(spark):
+    """A doc_id with two texts, of which one is a copy of a smaller doc_id's: the other one stays."""
+    other = " ".join(f"own{i}" for i in range(40))
+    rows = [(1, SENTENCE), (2, SENTENCE + " more"), (2, other), (3, other), (None, SENTENCE), (None, "alone without an id")]
+    kept = sw.keep_representatives(documents(spark, rows, extra=True)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(1, SENTENCE), (2, other), (None, "alone without an id")], key=str)
+
+
 def test_wide_simhash_radii():
     """Radii of lanes differ; the chance that bits differ, by drawn bits."""
     config, rng = sw.WideConfig(), np.random.default_rng(5)

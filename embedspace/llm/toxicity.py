@@ -8,8 +8,9 @@ distribution in texts without toxic passages (Karlin and Altschul): the chance o
 good in a text this long. The significant ones are added up, and a logistic curve, fitted on the
 labelled training texts, turns the evidence into a probability.
 
-Labels are taken from at most `max_labelled` rows, chosen by a hash of the doc_id; everything else
-covers all data. The model holds at most `max_words` words.
+Labels are taken from at most `max_labelled` rows, chosen by a hash of the doc_id; the prior's
+word shares and the extreme-value decay come from these rows too. Scoring covers all data. The model
+holds at most `max_words` words, those of the greatest significance.
 
 Edge cases: null text counts as empty, with the probability of a text without evidence. Labels
 that are null or of unknown documents are ignored; of repeated labels the highest counts. Without

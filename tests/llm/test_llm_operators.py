@@ -47,6 +47,19 @@ def test_quality_keeps_clean_and_drops_outliers(spark):
     assert stage.columns == docs.columns and {r["doc_id"] for r in stage.select("doc_id").collect()} == kept
 
 
+def test_quality_fences_follow_their_group(spark):
+    """Three sources: shouting in one is usual and in another it isn't; a new source leans on its language."""
+    rng = random.Random(3)
+    text = lambda share: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))).upper() if rng.random() < share else "quiet" + str(rng.random())[2:6] for _ in range(60))
+    rows = [(i, text(0.02), "en", "quiet") for i in range(400)] + [(1000 + i, text(rng.uniform(0.2, 0.8)), "en", "loud") for i in range(400)] + [(2000, text(0.6), "en", "quiet"), (2001, text(0.6), "en", "loud"), (2002, text(0.02), "de", "new")]
+    docs, config = documents(spark, rows), quality_rules.QualityConfig()
+    scored = quality_rules.materialize(quality_rules.score(docs, [F.col("doc_id")]))
+    found = {(r["lang"], r["source"]): r["highs"] for r in quality_rules.fences(quality_rules.sketches(scored, list(config.metrics)), config).collect()}
+    assert 2 * found["en", "quiet"]["shouting"] < found["en", "loud"]["shouting"] and found["en", "quiet"]["word_length"] != found["en", "loud"]["word_length"]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_verdicts(docs).collect()}
+    assert not kept[2000] and kept[2001] and kept[2002] and sum(kept[i] for i in range(400)) > 390
+
+
 def test_sketch_buckets(spark):
     values = [*range(300), 1000, 4095, 4096, 10**6, 2**40]
     rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", quality_rules.bucket_floor(quality_rules.bucket(F.col("v"))).alias("low")).collect()

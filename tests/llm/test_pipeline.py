@@ -28,37 +28,35 @@ def make(rng):
     return rows
 
 
-def quartiles(values):
+def quintiles(values):
+    """Buckets' floors, in 64ths, of the 1/5, 1/2 and 4/5 quantiles."""
     low = lambda b: b if b < 128 else (b - (b // 64 - 1) * 64) << (b // 64 - 1)
     bucket = lambda v: v if v < 64 else max(v.bit_length() - 7, 0) * 64 + (v >> max(v.bit_length() - 7, 0))
-    n, cum, out = len(values), 0, {}
-    for b, c in sorted(Counter(map(bucket, values)).items()):
-        cum += c
-        for q in (1, 3):
-            if cum * 4 >= n * q and q not in out:
-                out[q] = low(b)
-    return out[1], out[3]
+    ranked = sorted(low(bucket(v)) * 64 for v in values)
+    return [ranked[-(-len(ranked) * a // b) - 1] for a, b in ((1, 5), (1, 2), (4, 5))]
 
 
 def brute_quality(rows, config):
     measured = {}
     for r in rows:
         n, chars, symbols, dups, repeats, failed = quality(r[1])
-        ls = [x for x in (r[1] or "").split("\n") if words(x)]
-        shouts = sum(c == "!" or "A" <= c <= "Z" for c in r[1] or "")
+        marks, shouts = sum(c.isascii() and c.isprintable() and not c.isalnum() and c != " " for c in r[1] or ""), sum(c == "!" or "A" <= c <= "Z" for c in r[1] or "")
         per = lambda a, k, b: a * k // max(b, 1)
-        measured[r[0]] = failed, {"word_length": per(chars, 100, n), "symbols": per(symbols, 1000, n), "dup_lines": per(dups, 1000, len(ls)), "repeats": per(repeats, 1000, n), "shouting": per(shouts, 1000, n)}
+        measured[r[0]] = failed, {"word_length": per(chars, 100, n), "marks": per(marks, 1000, chars), "shouting": per(shouts, 1000, chars)}
     kept = []
+    good = [x for x in rows if not measured[x[0]][0]]
     for r in rows:
         failed, m = measured[r[0]]
-        good = [x for x in rows if not measured[x[0]][0]]
-        groups = [[x for x in good if x[2:] == r[2:]], [x for x in good if x[2] == r[2]], good]
-        group = next((g for g in groups if len(g) >= config.min_rows), good)
         odd = False
-        for name, (slack, lower) in config.metrics.items():
-            q1, q3 = quartiles([measured[x[0]][1][name] for x in group])
-            reach = max(config.reach * (q3 - q1), slack)
-            odd |= m[name] > q3 + reach or lower and m[name] < q1 - reach
+        for name, lower in config.metrics.items():
+            at = None
+            for group in (good, [x for x in good if x[2] == r[2]], [x for x in good if x[2:] == r[2:]]):
+                if group:
+                    own = quintiles([measured[x[0]][1][name] for x in group])
+                    at = own if at is None else [(len(group) * x + config.weight * y) // (len(group) + config.weight) for x, y in zip(own, at, strict=True)]
+            if at is not None:
+                step = 64 + at[1] // 64
+                odd |= m[name] * 64 > at[1] + config.reach * max(at[2] - at[1], step) or lower and m[name] * 64 < at[1] - config.reach * max(at[1] - at[0], step)
         if not failed and not odd:
             kept.append(r)
     return kept

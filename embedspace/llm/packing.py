@@ -1,37 +1,51 @@
 """Packing of token sequences as a cutting-stock problem, by column generation.
 
-Each document's tokens, with an end token, are cut into full sequences and a rest. Lengths are
-counted by class of eight tokens (so there are at most 512 classes, whatever the corpus). A linear
-program over patterns, a pattern being how many rests of each class one sequence takes, is solved
-by column generation: the simplex method prices new patterns by a knapsack dynamic program over
-the dual values. Patterns are used a whole number of times, rounded down, and what remains is
-placed best fit decreasing. Documents are ranked within their class and the ranks are handed to
-the places in the patterns; ranks are counted in salted parts, so that one length that a third of
-the documents share is not ranked in one task.
-
-Only the histogram (at most 513 counts) reaches the driver, and only the plan (a row for each
-pattern and class) is sent out.
-
-Edge cases: null text counts as empty and has the end token alone. Repeated rows are packed each
-by itself. An empty table gives an empty result. Other columns are ignored, whatever their names.
+Each document's tokens, with an end token, are cut into full sequences and a rest. Lengths of rests
+fall into at most 512 classes, whose ends are dealt by the histogram so that little is rounded up. A
+linear program over patterns, a pattern being how many rests of each class one sequence takes, is
+solved by column generation: the simplex method prices new patterns by a knapsack dynamic program
+over the dual values, many in each round, and starts from the patterns of best fit decreasing. It
+ends when no pattern is worth more than a sequence, or when a lower bound shows that the program's
+best is less than half a sequence or two in ten thousand away. Patterns are used a whole number of
+times, rounded down, and what remains is placed best fit decreasing; if best fit alone takes fewer
+sequences, its patterns are used. Where even so less than the wanted share is filled, as when
+all documents have one awkward length, the emptiest sequences are dissolved and their rests cut
+once more, into the gaps of the others.
+
+Documents are ranked within their class and the ranks are handed to the places in the patterns;
+ranks are counted in salted parts, more of them the more rests a class has, so that one length that
+a third of the documents share is not ranked in one task.
+
+Only the histogram (a count for each length) reaches the one task that makes the plan, and only the
+plan (rows for each pattern and class) is sent out.
+
+Edge cases: null text counts as empty and has the end token alone. A null doc_id is packed like any
+other. Repeated rows are packed each by itself; which of equal rows takes which place is left open.
+Rests of one class take places in the order of salted part, doc_id, text and start. Very long
+texts are encoded in slices of their own and give many full sequences. An empty table gives an empty
+result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import functools
+import json
+import math
+import pickle
 import unicodedata
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from embedspace.llm.common import map_arrow, materialize
+from embedspace.llm.common import map_arrow, materialize, text_key
 
 #: Bytes of text that are encoded at a time; a longer text is a slice of its own.
 SLICE = 8 << 20
@@ -42,10 +56,16 @@ class PackingConfig:
     tokenizer: str
     end_id: int = 2
     capacity: int = 4096
-    #: Tokens in a class of lengths.
-    step: int = 8
-    #: Parts in which ranks are counted.
-    salts: int = 256
+    #: Classes of lengths.
+    classes: int = 512
+    #: Rests of a class whose ranks are counted in one part, about.
+    part: int = 50_000
+    #: Share of all sequences' room up to which rests are cut to fill gaps.
+    fill: float = 0.995
+    #: Gaps, as a share of the capacity, that rests are cut for.
+    least_gap: float = 1 / 128
+    #: Distance from the lower bound, as a share, at which the linear program ends.
+    tolerance: float = 2e-4
 
 
 class PartIds(dict):
@@ -58,6 +78,9 @@ class PartIds(dict):
 
     #: The pattern by which the tokenizer's file cuts normalised text. Letters in between are parts too.
     PARTS = r"('s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\s\p{L}\p{N}]+)"
+    #: How the tokenizer's file normalises and cuts. With a file that does otherwise all texts are encoded whole.
+    NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+    CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     #: Not plain: control and format characters, spaces other than ASCII ones, the sigma, whose small form depends on its place, and what could be a special token.
     ODD = "[^\\p{L}\\p{N}\\p{P}\\p{S}\\p{M} \\t-\\r]|\u03a3|<\\|"
 
@@ -68,6 +91,10 @@ class PartIds(dict):
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        cuts = [x.get("pattern", {}).get("Regex") for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.known_cut = (spec["normalizer"] or {}).get("normalizers") == self.NORMALIZER and cuts[:1] == [self.CUT]
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -93,6 +120,9 @@ class PartIds(dict):
             at = end
 
     def encode_slice(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        if not self.known_cut:
+            yield from map(self.whole, texts.to_pylist())
+            return
         odd = pc.match_substring_regex(texts, self.ODD).to_pylist()
         strings = texts.to_pylist()
         odd = [o or not unicodedata.is_normalized("NFC", t) for o, t in zip(odd, strings, strict=True)]
@@ -125,138 +155,332 @@ def part_ids(path: str) -> PartIds:
     return PartIds(path)
 
 
+PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+
+
+def with_key(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("th"), "text")
+
+
 def cut_pieces(docs: DataFrame, config: PackingConfig) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): full sequences and one rest for each document."""
+    """(doc_id, th, start, length, ids_crc32, doc_tokens): full sequences and one rest for each document; th is the key of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, end = part_ids(config.tokenizer), np.array([config.end_id], "<u4")
         for b in batches:
             rows = []
-            for doc_id, own in zip(b.column(0).to_pylist(), known.encode(b.column(1)), strict=True):
+            for doc_id, th, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), known.encode(b.column(2)), strict=True):
                 ids, n = np.concatenate((own, end)), len(own) + 1
-                rows += [(doc_id, s, min(config.capacity, n - s), zlib.crc32(ids[s : s + config.capacity]), n) for s in range(0, n, config.capacity)]
-            yield pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
-
-
-def best_pattern(values: np.ndarray, sizes: np.ndarray, room: int, most: np.ndarray) -> tuple[float, dict[int, int]]:
-    """Unbounded knapsack: best[r] = max over items of values + best[r - size], for all rooms; `most` only drops absent items."""
-    items = np.flatnonzero((values > 1e-12) & (most > 0))
+                rows += [(doc_id, th, s, min(config.capacity, n - s), zlib.crc32(ids[s : s + config.capacity]), n) for s in range(0, n, config.capacity)]
+            yield pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in range(6)], ["doc_id", "th", *PIECE[1:]])
+
+    return map_arrow(with_key(docs), run, "doc_id long, th long, start long, length long, ids_crc32 long, doc_tokens long")
+
+
+#: Rests of a class, by its place in the list of sizes, and how many of them one sequence takes.
+Pattern = dict[int, int]
+
+
+def classes_of(histogram: np.ndarray, most: int) -> np.ndarray:
+    """Ends of at most that many classes: all lengths if they are few, else equal parts of the sum of roots of counts, which loses least."""
+    lengths = np.flatnonzero(histogram)
+    if len(lengths) <= most:
+        return lengths
+    weight = np.cumsum(np.sqrt(histogram[lengths]))
+    part = np.minimum((weight / weight[-1] * most).astype(int), most - 1)
+    return lengths[np.flatnonzero(np.diff(np.append(part, most)))]
+
+
+def best_fit(sizes: np.ndarray, counts: np.ndarray, room: int) -> list[tuple[Pattern, int]]:
+    """Best fit decreasing; equal rests go into equal sequences many at a time, so the work depends on the classes alone."""
+    open_: dict[int, dict[tuple, int]] = {}  # by room left: patterns and how many sequences have them
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        size, n = int(sizes[i]), int(counts[i])
+        while n:
+            left = min((r for r in open_ if r >= size), default=None)
+            pattern, have = ((), n) if left is None else next(iter(open_[left].items()))
+            each = (room if left is None else left) // size
+            take, m = (min(have, n // each), each) if n >= each else (1, n)
+            if left is not None:
+                if have == take:
+                    del open_[left][pattern]
+                    if not open_[left]:
+                        del open_[left]
+                else:
+                    open_[left][pattern] = have - take
+            to = open_.setdefault((room if left is None else left) - m * size, {})
+            key = (*pattern, (i, m))
+            to[key] = to.get(key, 0) + take
+            n -= take * m
+    return [(dict(p), k) for patterns in open_.values() for p, k in patterns.items()]
+
+
+def knapsack(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every room up to the whole: the greatest value of rests (any number of each) that fit, and the class taken last, or -1. sizes ascend."""
     best, took = np.zeros(room + 1), np.full(room + 1, -1)
+    items = np.flatnonzero(values > 1e-12)
     v, s = values[items], sizes[items]
-    for r in range(1, room + 1):
-        best[r] = best[r - 1]
-        fits = s <= r
-        if fits.any():
-            gain = v[fits] + best[r - s[fits]]
-            k = int(np.argmax(gain))
-            if gain[k] > best[r] + 1e-12:
-                best[r], took[r] = gain[k], items[fits][k]
-    pattern: Counter[int] = Counter()
-    r = room
-    while r > 0:
-        if took[r] < 0:
-            r -= 1
-            continue
-        pattern[int(took[r])] += 1
-        r -= int(sizes[took[r]])
-    return float(best[room]), dict(pattern)
-
-
-def column_generation(demand: np.ndarray, sizes: np.ndarray, room: int, max_columns: int = 3000) -> list[tuple[dict[int, int], float]]:
-    """Patterns and how often each is used in (nearly) the best fractional solution, by the revised simplex method."""
-    n = len(demand)
-    patterns = [{i: int(room // sizes[i])} for i in range(n)]
-    inverse = np.diag([1.0 / p[i] for i, p in enumerate(patterns)])
+    fits = np.searchsorted(s, np.arange(room + 1), "right").tolist()
+    top = 0.0
+    for r in range(int(s[0]) if len(s) else room + 1, room + 1):
+        gain = best[r - s[: fits[r]]]
+        gain += v[: fits[r]]
+        k = int(gain.argmax())
+        if gain[k] > top + 1e-12:
+            top, took[r] = float(gain[k]), items[k]
+        best[r] = top
+    return best, took
+
+
+def column_generation(sizes: np.ndarray, counts: np.ndarray, room: int, start: list[Pattern], tolerance: float) -> list[tuple[Pattern, float]]:
+    """Patterns and how often each is used in the best fractional solution, or one that a lower bound shows to be within the tolerance."""
+    n = len(sizes)
+    rng = np.random.default_rng(0)
+    demand = counts * (1 + 1e-7 * rng.random(n)) + 1e-7 * rng.random(n)  # no ties between ratios
+    basis = np.diag((room // sizes).astype(float))
+    inverse = np.diag(1 / np.diag(basis))
     used = inverse @ demand
-    for k in range(max_columns):
+    known: set[bytes] = set()
+    pool = np.zeros((n, 0))
+
+    def add(columns: list[np.ndarray]) -> bool:
+        nonlocal pool
+        new = {c.tobytes(): c for c in columns}
+        new = {k: c for k, c in new.items() if k not in known}
+        known.update(new)
+        pool = np.column_stack([pool, *new.values()])
+        return bool(new)
+
+    def column(pattern: Pattern) -> np.ndarray:
+        out = np.zeros(n)
+        out[list(pattern)] = list(pattern.values())
+        return out
+
+    add([column(p) for p in start])
+    bound, pivots, idle = float(counts @ sizes) / room, 0, 0
+    while idle <= 2 * n + 100:  # so many pivots in a row that save nothing are rounding errors that go round
         prices = inverse.sum(axis=0)  # every pattern costs one sequence
-        value, pattern = best_pattern(prices, sizes, room, demand)
-        if value <= 1 + 1e-7:
+        while pool.shape[1] and idle <= 2 * n + 100:
+            worth = prices @ pool
+            k = int(worth.argmax())
+            if worth[k] <= 1 + 1e-7:
+                break
+            direction = inverse @ pool[:, k]
+            up = direction > 1e-7
+            if not up.any():
+                break
+            ratio = np.where(up, used / np.where(up, direction, 1), np.inf)
+            tie = np.flatnonzero(ratio <= ratio.min() * (1 + 1e-9) + 1e-9)
+            out = int(tie[direction[tie].argmax()])
+            step, pivot = ratio[out], inverse[out] / direction[out]
+            inverse -= np.outer(direction, pivot)
+            inverse[out], basis[:, out] = pivot, pool[:, k]
+            used = np.maximum(used - direction * step, 0)
+            used[out] = step
+            idle = idle + 1 if step * (worth[k] - 1) <= 1e-9 * used.sum() else 0
+            pivots += 1
+            if pivots % 100 == 0:
+                inverse = np.linalg.inv(basis)
+                used = np.maximum(inverse @ demand, 0)
+            prices = inverse.sum(axis=0)
+        best, took = knapsack(np.maximum(prices, 0), sizes, room)
+        bound = max(bound, used.sum() / max(best[room], 1.0))
+        if best[room] <= 1 + 1e-7 or used.sum() - bound < max(0.5, tolerance * used.sum()):
             break
-        column = np.zeros(n)
-        column[list(pattern)] = list(pattern.values())
-        direction = inverse @ column
-        up = direction > 1e-9
-        if not up.any():
+
+        def filled(r: int, pattern: Pattern, took: np.ndarray = took) -> Pattern:
+            while r > 0:
+                if (i := int(took[r])) < 0:
+                    r -= 1
+                else:
+                    pattern[i] = pattern.get(i, 0) + 1
+                    r -= int(sizes[i])
+            return pattern
+
+        with_each = prices + best[room - sizes]  # the best pattern that holds a class at all
+        each = [int(i) for i in np.argsort(-with_each)[:100] if with_each[i] > 1 + 1e-7]
+        if not add([column(filled(room, {})), *(column(filled(int(room - sizes[i]), {i: 1})) for i in each)]):
             break
-        ratio = np.where(up, used / np.where(up, direction, 1), np.inf)
-        out = int(np.argmin(ratio))
-        pivot = inverse[out] / direction[out]
-        inverse -= np.outer(direction, pivot)
-        inverse[out] = pivot
-        patterns[out] = pattern
-        used = inverse @ demand if k % 100 == 99 else np.where(np.arange(n) == out, ratio[out], used - direction * ratio[out])
-        used = np.maximum(used, 0)
-    return list(zip(patterns, used.tolist(), strict=True))
-
-
-def plan(histogram: dict[int, int], config: PackingConfig) -> list[tuple[dict[int, int], int]]:
-    """Patterns {class: rests} with their numbers of sequences; together they hold exactly the histogram's rests. A class is the length over the step, rounded up."""
-    room = config.capacity // config.step
-    left = {c: n for c, n in sorted(histogram.items()) if n > 0}
-    out: list[tuple[dict[int, int], int]] = []
-    if full := left.pop(room, 0):
-        out.append(({room: 1}, full))
-    classes = np.array(sorted(left), dtype=np.int64)
-    if len(classes):
-        demand = np.array([left[c] for c in classes.tolist()], dtype=float)
-        for pattern, times in column_generation(demand, classes, room):
-            named = {int(classes[i]): m for i, m in pattern.items()}
-            times = min([int(times + 1e-6), *(left[c] // m for c, m in named.items())])
-            if times > 0:
-                out.append((named, times))
-                for c, m in named.items():
-                    left[c] -= m * times
-    bins: list[tuple[int, Counter]] = []
-    by_room: dict[int, list[Counter]] = {}
-    for c in sorted((c for c, n in left.items() for _ in range(n)), reverse=True):
-        fit = next((r for r in range(c, room + 1) if by_room.get(r)), None)
-        target = by_room[fit].pop() if fit is not None else Counter()
-        target[c] += 1
-        by_room.setdefault((room if fit is None else fit) - c, []).append(target)
-    bins = [(r, b) for r, bs in by_room.items() for b in bs]
-    same = Counter(tuple(sorted(b.items())) for _, b in bins)
-    return out + [(dict(b), n) for b, n in sorted(same.items())]
+        if pool.shape[1] > 4 * n + 100:
+            pool = pool[:, np.sort(np.argsort(-(prices @ pool))[: 2 * n])]
+            known.clear()
+            known.update(c.tobytes() for c in np.ascontiguousarray(pool.T))
+    used = np.maximum(np.linalg.solve(basis, counts.astype(float)), 0)
+    return [({int(i): int(basis[i, k]) for i in np.flatnonzero(basis[:, k])}, float(used[k])) for k in range(n)]
+
+
+def patterns_of(sizes: np.ndarray, counts: np.ndarray, config: PackingConfig) -> list[tuple[Pattern, int]]:
+    """Patterns that hold exactly these rests, with their numbers of sequences."""
+    alone = best_fit(sizes, counts, config.capacity)
+    if not len(sizes):
+        return alone
+    left, out = counts.copy(), []
+    for pattern, times in column_generation(sizes, counts, config.capacity, [p for p, _ in alone], config.tolerance):
+        whole = min([int(times + 1e-6), *(int(left[i]) // m for i, m in pattern.items())])
+        if whole > 0:
+            out.append((pattern, whole))
+            for i, m in pattern.items():
+                left[i] -= m * whole
+    out += best_fit(sizes, left, config.capacity)
+    return min((out, alone), key=lambda x: sum(k for _, k in x))
+
+
+def dissolved(patterns: list[tuple[Pattern, int]], sizes: np.ndarray, config: PackingConfig) -> list[tuple[Pattern, int, int]]:
+    """Patterns with their numbers of sequences that stay and that go: the emptiest go, as far as the wanted fill asks for it and the others' gaps have room."""
+    load = lambda p: sum(int(sizes[i]) * m for i, m in p.items())
+    patterns = sorted(patterns, key=lambda x: (load(x[0]), sorted(x[0].items())))
+    loads, times = [load(p) for p, _ in patterns], [k for _, k in patterns]
+    least = max(1, int(config.capacity * config.least_gap))
+    gaps = [g if (g := config.capacity - x) >= least else 0 for x in loads]
+    wanted = max(0, sum(times) - math.ceil(sum(x * k for x, k in zip(loads, times, strict=True)) / (config.capacity * config.fill)))
+
+    def split(go: int) -> tuple[list[int], bool]:
+        gone = []
+        for k in times:
+            gone.append(min(k, go))
+            go -= gone[-1]
+        return gone, sum(x * g for x, g in zip(loads, gone, strict=True)) <= sum(g * (k - d) for g, k, d in zip(gaps, times, gone, strict=True))
+
+    low, high = 0, wanted
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if split(mid)[1] else (low, mid - 1)
+    return [(p, k - d, d) for (p, k), d in zip(patterns, split(low)[0], strict=True)]
+
+
+@dataclass
+class Plan:
+    """Where the rests of each class go, by rank."""
+
+    sizes: np.ndarray
+    #: By class: rows (first rank, first sequence, rests of the class in a sequence, slot of the first one, place in the stream of those that are cut or -1), by rank.
+    steps: dict[int, np.ndarray]
+    #: Gaps that the stream fills, in its order: (place in the stream, gap, first sequence, slot).
+    gaps: np.ndarray
+    sequences: int
+
+    def places(self, size_class: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sequence and slot, or else the place in the stream, of each rank."""
+        rows = self.steps[size_class]
+        hit = rows[np.searchsorted(rows[:, 0], rank, "right") - 1]
+        nth, cut = rank - hit[:, 0], hit[:, 4] >= 0
+        each = np.maximum(hit[:, 2], 1)
+        stream = np.where(cut, hit[:, 4] + nth * int(self.sizes[size_class]), -1)
+        return np.where(cut, -1, hit[:, 1] + nth // each), hit[:, 3] + nth % each, stream
+
+    def cuts(self, at: int, length: int) -> Iterator[tuple[int, int, int, int]]:
+        """Parts (from, length, sequence, slot) of a rest at this place in the stream."""
+        done = 0
+        while done < length:
+            first, gap, sequence, slot = self.gaps[np.searchsorted(self.gaps[:, 0], at + done, "right") - 1].tolist()
+            nth, inside = divmod(at + done - first, gap)
+            n = min(length - done, gap - inside)
+            yield done, n, sequence + nth, slot + inside
+            done += n
+
+
+def plan(histogram: dict[int, int], config: PackingConfig) -> Plan:
+    """histogram: how many rests there are of each length."""
+    room = config.capacity
+    counted = np.zeros(room + 1, np.int64)
+    for length, n in histogram.items():
+        counted[length] = n
+    full, counted[room] = int(counted[room]), 0
+    sizes = classes_of(counted, config.classes)
+    counts = np.diff(np.concatenate(([0], np.cumsum(counted)[sizes])))
+    rows: dict[int, list[tuple[int, ...]]] = defaultdict(list)
+    at, gaps, base, stream = Counter(), [], full, 0
+    rows[len(sizes)] = [(0, 0, 1, 0, -1)] if full else []
+    found = dissolved(patterns_of(sizes, counts, config), sizes, config)
+    for pattern, stay, _ in found:
+        slot = 0
+        for c, m in sorted(pattern.items(), reverse=True):
+            if stay:
+                rows[c].append((at[c], base, m, slot, -1))
+                at[c] += m * stay
+            slot += m
+        gap = room - sum(int(sizes[c]) * m for c, m in pattern.items())
+        if stay and gap >= max(1, int(room * config.least_gap)):
+            gaps.append((stream, gap, base, slot))
+            stream += gap * stay
+        base += stay
+    stream = 0
+    for pattern, _, gone in found:
+        for c, m in sorted(pattern.items(), reverse=True):
+            if gone:
+                rows[c].append((at[c], -1, m, 0, stream))
+                at[c] += m * gone
+                stream += m * gone * int(sizes[c])
+    steps = {c: np.array(r, np.int64).reshape(-1, 5) for c, r in rows.items() if r}
+    return Plan(np.append(sizes, room), steps, np.array(gaps, np.int64).reshape(-1, 4), base)
+
+
+def planned(histogram: DataFrame, config: PackingConfig) -> tuple[dict[int, int], Plan]:
+    """histogram(length, n), a row for each length, and the plan for it, made in one task: Spark keeps its workers' linear algebra to one thread, and the driver stays free."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[int] = Counter()
+        for b in batches:
+            counts.update(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
+        yield pa.record_batch([pa.array([pickle.dumps((dict(counts), plan(counts, config)))])], ["made"])
+
+    found = histogram.select(F.col("length").cast("long").alias("length"), F.col("n").cast("long").alias("n")).coalesce(1).mapInArrow(run, "made binary").first()
+    return pickle.loads(bytes(found["made"])) if found else ({}, plan({}, config))
 
 
 def pack(docs: DataFrame, config: PackingConfig) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    spark = docs.sparkSession
     pieces = materialize(cut_pieces(docs, config))
-    size_class = F.ceil(F.col("length") / config.step).cast("int")
-    salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(config.salts)).cast("int")
-    pieces = pieces.withColumns({"size_class": size_class, "salt": salt})
-    counts = materialize(pieces.groupBy("size_class", "salt").agg(F.count("*").alias("n")))
-    histogram = {r["size_class"]: r["n"] for r in counts.groupBy("size_class").agg(F.sum("n").alias("n")).collect()}
-    steps, at, base = [], Counter(), 0
-    for pattern, times in plan(histogram, config):
-        slot = 0
-        for c, m in sorted(pattern.items(), reverse=True):
-            steps.append((c, at[c], base, m, slot))
-            at[c] += m * times
-            slot += m
-        base += times
-    table = np.array(sorted(steps), dtype=np.int64).reshape(-1, 5)
-    sent = docs.sparkSession.sparkContext.broadcast({int(c): table[table[:, 0] == c] for c in np.unique(table[:, 0])})
-
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("size_class").orderBy("salt")) - F.col("n")).select(F.col("size_class").alias("__c"), F.col("salt").alias("__s"), "before")
-    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("size_class", "salt").orderBy("doc_id", "start", "ids_crc32")))
-    ranked = ranked.join(F.broadcast(before), F.expr("size_class = __c and salt = __s"))  # at most 512 x salts rows
-    ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "size_class", (F.col("before") + F.col("rank") - 1).alias("rank"))
+    histogram, made = planned(materialize(pieces.groupBy("length").agg(F.count("*").alias("n"))), config)
+    size_class = {x: int(np.searchsorted(made.sizes, x)) for x in histogram}
+    held = Counter()
+    for x, n in histogram.items():
+        held[size_class[x]] += n
+    classes = spark.createDataFrame([(x, c, -(-held[c] // config.part)) for x, c in size_class.items()], "__length long, size_class int, parts int")
+    pieces = pieces.join(F.broadcast(classes), F.expr("length = __length")).drop("__length")  # a row for each length
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "th"), F.col("parts")).cast("int")).drop("parts")
+    counts = materialize(pieces.groupBy("size_class", "part").agg(F.count("*").alias("n")))
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("size_class").orderBy("part")) - F.col("n")).select(F.col("size_class").alias("__c"), F.col("part").alias("__p"), "before")
+    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("size_class", "part").orderBy("doc_id", "th", "start")))
+    ranked = ranked.join(before, F.expr("size_class = __c and part = __p")).select("th", *PIECE, "size_class", (F.col("before") + F.col("rank") - 1).alias("rank"))
+    sent = spark.sparkContext.broadcast(made)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            classes, ranks = (b.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("size_class", "rank"))
-            sequence, slot = np.zeros(len(ranks), np.int64), np.zeros(len(ranks), np.int64)
-            for c in np.unique(classes).tolist():
-                own = classes == c
-                rows = sent.value[c]
-                hit = rows[np.searchsorted(rows[:, 1], ranks[own], "right") - 1]
-                nth = ranks[own] - hit[:, 1]
-                sequence[own], slot[own] = hit[:, 2] + nth // hit[:, 3], hit[:, 4] + nth % hit[:, 3]
-            yield pa.record_batch([*(b.column(n) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")), pa.array(sequence), pa.array(slot)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "slot"])
-
-    placed = map_arrow(ranked, place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, slot long")
-    offset = F.coalesce(F.sum("length").over(Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    return placed.withColumn("offset", offset).drop("slot")
+            own, ranks = (b.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("size_class", "rank"))
+            found = np.zeros((3, len(ranks)), np.int64)
+            for c in np.unique(own).tolist():
+                found[:, own == c] = sent.value.places(c, ranks[own == c])
+            yield pa.record_batch([*(b.column(n) for n in ("th", *PIECE)), *map(pa.array, found)], ["th", *PIECE, "sequence_id", "slot", "stream"])
+
+    kinds = ", ".join(f"{n} long" for n in ("th", *PIECE, "sequence_id", "slot", "stream"))
+    placed = map_arrow(ranked, place, kinds)
+    if any((r[:, 4] >= 0).any() for r in made.steps.values()):
+        placed = materialize(placed)
+        whole = placed.filter("sequence_id >= 0")
+        placed = whole.select(*PIECE, "sequence_id", "slot").unionByName(cut_again(placed.filter("sequence_id < 0"), docs, sent, config))
+    before = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
+    return placed.select(*PIECE, "sequence_id", F.coalesce(before, F.lit(0)).cast("long").alias("offset"))
+
+
+def cut_again(rests: DataFrame, docs: DataFrame, sent: Broadcast[Plan], config: PackingConfig) -> DataFrame:
+    """Pieces of the rests(doc_id, th, start, length, doc_tokens, stream) that fill gaps, with sequence_id and slot; their texts are encoded once more."""
+    rests = rests.select("doc_id", "th", "start", "length", "doc_tokens", "stream")
+    keys = rests.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct()
+    texts = with_key(docs).join(keys, F.expr("doc_id <=> __d and th = __t"), "left_semi").dropDuplicates(["doc_id", "th"])
+    texts = materialize(texts.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, end = part_ids(config.tokenizer), np.array([config.end_id], "<u4")
+        for b in batches:
+            out = []
+            for doc_id, start, length, tokens, stream, own in zip(*(b.column(i).to_pylist() for i in range(5)), known.encode(b.column(5)), strict=True):
+                ids = np.concatenate((own, end))
+                for skip, n, sequence, slot in sent.value.cuts(stream, length):
+                    at = start + skip
+                    out.append((doc_id, at, n, zlib.crc32(ids[at : at + n]), tokens, sequence, slot))
+            yield pa.record_batch([pa.array([r[i] for r in out], pa.int64()) for i in range(7)], [*PIECE, "sequence_id", "slot"])
+
+    joined = rests.join(texts, F.expr("doc_id <=> __d and th = __t")).select("doc_id", "start", "length", "doc_tokens", "stream", "text")
+    return map_arrow(joined, run, ", ".join(f"{n} long" for n in (*PIECE, "sequence_id", "slot")))

@@ -13,6 +13,7 @@ from brute import LONG, MESSY, SENTENCE, by_similarity, documents, fingerprint,
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from embedspace.llm import bpe, exact_dedup, line_dedup, lm_scoring, packing, quality_rules, queries, simhash as sh, simhash_wide as sw, substring_dedup, toxicity, url_filter
 
@@ -137,43 +138,114 @@ def test_exact_dedup_appends(spark):
 CONFIG = packing.PackingConfig(tokenizers.path("word_bpe_49k.json"))
 
 
-def ids_of(text):
-    from tokenizers import Tokenizer
+TOKENIZER = Tokenizer.from_file(CONFIG.tokenizer)
 
-    return [*Tokenizer.from_file(CONFIG.tokenizer).encode(text or "", add_special_tokens=False).ids, 2]
 
+def ids_of(text):
+    return [*TOKENIZER.encode(text or "", add_special_tokens=False).ids, 2]
 
-def test_packing(messy, empty):
-    rows = packing.pack(messy, CONFIG).collect()
-    assert packing.pack(empty, CONFIG).count() == 0
-    expected = Counter()
-    for d, text, *_ in MESSY:
-        ids = ids_of(text)
-        expected.update((d, s, len(ids[s : s + 4096]), zlib.crc32(np.array(ids[s : s + 4096], "<u4").tobytes()), len(ids)) for s in range(0, len(ids), 4096))
-    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in rows) == expected
-    sequences = defaultdict(list)
+
+def check_packed(rows, docs, full=None):
+    """Each id lies in exactly one piece, with its checksum; sequences are gapless and within the capacity."""
+    pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
+        pieces[r["doc_id"]].append((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]))
         sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    expected = defaultdict(list)
+    for d, text, *_ in docs:
+        expected[d].append(ids_of(text))
+    assert set(pieces) == set(expected)
+    for d, texts in expected.items():
+        assert sum(p[1] for p in pieces[d]) == sum(map(len, texts))
+        left = Counter(pieces[d])
+        for ids in texts:
+            at = 0
+            while at < len(ids):
+                fit = next(p for p in left if p[0] == at and p[3] == len(ids) and left[p] and p[2] == zlib.crc32(np.array(ids[at : at + p[1]], "<u4").tobytes()))
+                left[fit] -= 1
+                at += fit[1]
+        assert not sum(left.values())
     for s in sequences.values():
         at = 0
         for offset, length in sorted(s):
             assert offset == at
             at += length
         assert at <= 4096
+    assert sorted(sequences) == list(range(len(sequences)))
+    if full:
+        assert sum(r["length"] for r in rows) / (4096 * len(sequences)) >= full
 
 
-def test_plan_holds_the_histogram_with_little_padding():
+def test_packing(messy, empty):
+    check_packed(packing.pack(messy, CONFIG).collect(), MESSY)
+    assert packing.pack(empty, CONFIG).count() == 0
+
+
+def test_packing_cuts_rests_of_one_awkward_length(spark):
+    """Texts of 700 tokens leave 596 places in every sequence; small salted parts; repeated rows among those that are cut."""
+    docs = [(i, " ".join(["w"] * 698) + f" {i % 10}") for i in range(400)] + [(7, " ".join(["w"] * 698) + " 7"), (None, " ".join(["w"] * 698) + " 7")] * 2
+    config = packing.PackingConfig(CONFIG.tokenizer, part=50)
+    check_packed(packing.pack(documents(spark, docs, extra=True), config).collect(), docs, 0.98)  # 70 sequences, and 69 could not hold them
+
+
+def shapes():
     rng = np.random.default_rng(0)
-    lengths = np.minimum(4096, rng.lognormal(6.3, 1, 20_000).astype(int) + 1)
-    lengths[:7000] = 700  # one length holds a third
-    histogram = Counter((-(-lengths // 8)).tolist())
-    plan = packing.plan(histogram, CONFIG)
-    held = Counter()
-    for pattern, times in plan:
-        assert sum(c * m for c, m in pattern.items()) <= 512
-        held.update({c: m * times for c, m in pattern.items()})
-    assert held == histogram
-    assert lengths.sum() / (4096 * sum(t for _, t in plan)) > 0.985
+    lognormal = np.minimum(4096, rng.lognormal(6.3, 1, 100_000).astype(int) + 1)
+    return {
+        "uniform": rng.integers(1, 4097, 500_000), "lognormal": lognormal, "exponential": np.minimum(4096, rng.exponential(1000, 100_000).astype(int) + 1), "one": np.full(100_000, 700),
+        "third": np.where(rng.random(100_000) < 0.33, 700, lognormal), "halves": rng.integers(1400, 2600, 100_000), "few": rng.integers(1, 4097, 2000), "billions": np.repeat(lognormal, 1),
+    }
+
+
+@pytest.mark.parametrize("shape", shapes())
+def test_plan_holds_the_histogram_with_little_padding(spark, shape):
+    lengths = shapes()[shape]
+    scale = 100_000 if shape == "billions" else 1
+    histogram = {k: n * scale for k, n in Counter(lengths.tolist()).items()}
+    made = packing.planned(spark.createDataFrame(list(histogram.items()), "length long, n long"), CONFIG)[1]
+    tokens = sum(k * n for k, n in histogram.items())
+    assert tokens / (4096 * made.sequences) >= 0.99
+    sizes = packing.classes_of(np.bincount(lengths[lengths < 4096], minlength=4097), CONFIG.classes)
+    counts = np.bincount(np.searchsorted(sizes, lengths[lengths < 4096]), minlength=len(sizes)) * scale
+    assert made.sequences <= histogram.get(4096, 0) + sum(k for _, k in packing.best_fit(sizes, counts, 4096))
+    if scale > 1 or len(lengths) > 100_000:
+        return
+    loads, stream = np.zeros(made.sequences, np.int64), []
+    own = np.searchsorted(made.sizes, lengths)
+    for c in np.unique(own).tolist():
+        mine = lengths[own == c]
+        sequence, _, place = made.places(c, np.arange(len(mine)))
+        np.add.at(loads, sequence[sequence >= 0], mine[sequence >= 0])
+        stream += zip(place[sequence < 0].tolist(), mine[sequence < 0].tolist(), strict=True)
+    for p, length in stream:
+        parts = list(made.cuts(p, length))
+        assert [x[0] for x in parts] == np.cumsum([0, *(x[1] for x in parts[:-1])]).tolist() and sum(x[1] for x in parts) == length
+        for _, n, sequence, _ in parts:
+            loads[sequence] += n
+    assert loads.max() <= 4096 and loads.min() > 0 and loads.sum() == tokens
+
+
+def test_column_generation_reaches_the_optimum():
+    """Small programs, held against all ways to fill a sequence."""
+    rng = np.random.default_rng(1)
+    for _ in range(10):
+        sizes = np.sort(rng.choice(np.arange(20, 90), 6, replace=False))
+        counts = rng.integers(1, 10_000, 6)
+        found = packing.column_generation(sizes, counts, 100, [p for p, _ in packing.best_fit(sizes, counts, 100)], 0.0)
+        prices = np.linalg.solve(np.array([[p.get(i, 0) for i in range(6)] for p, _ in found], float), np.ones(6))
+
+        def most(i, room):
+            return 0.0 if i == 6 else max(k * prices[i] + most(i + 1, room - k * sizes[i]) for k in range(room // sizes[i] + 1))
+
+        assert most(0, 100) <= 1 + 1e-6 or sum(t for _, t in found) - prices @ counts / most(0, 100) < 0.5
+        assert all(sum(p.get(i, 0) * t for p, t in found) >= counts[i] - 1e-6 for i in range(6))
+
+
+def test_another_tokenizer_is_encoded_whole():
+    known = packing.part_ids(tokenizers.path("byte_bpe_50k.json"))
+    import pyarrow as pa
+
+    assert not known.known_cut and next(known.encode(pa.array(["Two  Words"]))).tolist() == known.whole("Two  Words").tolist()
 
 
 ODD_CHARS = "aAbéÉßöΣσİ1½9.,!?' \u00a0\u2003\u200b\x1c\x85\x00\t\n日本ﬁ🙂<|endoftext|>_-"

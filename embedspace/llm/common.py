@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = LOCAL_CHECKPOINTS
     return found.rstrip("/")
@@ -35,10 +35,17 @@ def materialize(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here.
 
     Unlike a local checkpoint the files outlive executors, and unlike checkpoint() they are
-    columnar and compressed, and their size lets Spark decide on broadcasts.
+    columnar and compressed, and their size lets Spark decide on broadcasts. The application's
+    files are deleted when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/embedspace-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/embedspace-{spark.sparkContext.applicationId}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):  # results may still be read until the application ends
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+    path = f"{root}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -68,6 +75,7 @@ def raw(column: pa.Array) -> list[bytes]:
 
 
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Batches are bounded in bytes as well as in rows, by spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless the session says otherwise)."""
     return df.mapInArrow(function, schema)
 
 

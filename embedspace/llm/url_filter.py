@@ -4,16 +4,21 @@ A rule `host/path` fits its host and all subdomains where the url's path starts
 the longest rule wins. For each action one cascade answers exactly whether a key, a host and the
 start of a path, is listed: level 1 encodes the listed keys, level 2 those unlisted keys of the
 corpus that level 1 lets through, level 3 the listed keys that level 2 lets through, and so on
-until no key errs. The keys of the corpus (its key universe) are enumerated in Spark; only those
-that pass all levels so far are looked at again. Urls are then judged without a join.
+until no key errs. The keys of the corpus (its key universe) are enumerated in Spark, where a join
+marks those that are listed; only unlisted ones that pass all levels so far are looked at again. So
+nothing but a cascade is ever sent out, and urls are judged without a join.
 
-A cascade's size depends on the list and only with the logarithm on the corpus; it is checked
-before it is sent out, and a list beyond `max_bytes` is dealt over several cascades by hash, each
-sent out and applied by itself.
+A cascade's size depends on the list and only with the logarithm on the corpus. A list is dealt over
+several cascades by hash, so that each stays below `max_bytes`, which is checked on every cascade
+before it is sent out, while it is built too; each is applied by itself. What the driver encodes for a
+level is the listed keys of a shard, or the unlisted ones that pass: the first level's rate makes
+these no more than about the listed ones.
 
 Edge cases: a null url, or one without ://, has an empty host and path and no rule. Of
-fitting rules of one length that with the longer host wins; a rule listed for both actions blocks. Repeated rows are judged alike. An empty
-table gives an empty result. Other columns are ignored, whatever their names.
+fitting rules of one length that with the longer host wins; a rule listed for both actions blocks.
+Repeated rows are judged alike. Very long urls have no more keys than others, as no rule is longer
+than the longest. An empty table gives an empty result. Other columns are passed on; one whose name is
+host, path, rule or verdict is passed on as host_in and so on, with as many _in as it takes.
 """
 
 from __future__ import annotations
@@ -79,7 +84,7 @@ class Cascade:
         return sum(x.bits.nbytes for x in self.levels)
 
 
-def build_cascade(listed: list[str], universe: DataFrame, spark_keys: int, max_levels: int = 64) -> Cascade:
+def build_cascade(listed: list[str], universe: DataFrame, spark_keys: int, max_bytes: int = 64 << 20, max_levels: int = 64) -> Cascade:
     """universe: distinct column `key`, spark_keys of them. listed: in order, without repeats."""
     spark = universe.sparkSession
     keys = [k.encode() for k in listed]
@@ -87,8 +92,8 @@ def build_cascade(listed: list[str], universe: DataFrame, spark_keys: int, max_l
     if not keys:
         return out
     rate = min(0.5, max(1e-9, len(keys) * math.sqrt(0.5) / max(1, spark_keys)))
-    members = set(keys)
-    wrong_in, wrong_out = keys, universe
+    own = spark.createDataFrame([(k,) for k in listed], "__listed string")
+    wrong_in, wrong_out = keys, universe.join(own, universe["key"] == own["__listed"], "left_anti")
     while len(out.levels) < max_levels:
         encode = wrong_in if len(out.levels) % 2 == 0 else [r["key"].encode() for r in wrong_out.toLocalIterator()]
         if not encode:
@@ -97,13 +102,15 @@ def build_cascade(listed: list[str], universe: DataFrame, spark_keys: int, max_l
         for k in encode:
             level.add(k)
         out.levels.append(level)
+        if out.nbytes() > max_bytes:
+            raise ValueError(f"a cascade takes {out.nbytes()} bytes; lower max_bytes or list fewer rules in a shard")
         if len(out.levels) % 2:  # unlisted keys that pass are encoded next; their number is about that of the listed ones
-            sent = spark.sparkContext.broadcast((out, members))
+            sent = spark.sparkContext.broadcast(out)
 
             def through(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                cascade, inside = sent.value
+                cascade = sent.value
                 for b in batches:
-                    found = [k for k in b.column(0).to_pylist() if (e := k.encode()) not in inside and cascade.passed(e) == len(cascade.levels)]
+                    found = [k for k in b.column(0).to_pylist() if cascade.passed(k.encode()) == len(cascade.levels)]
                     yield pa.record_batch([pa.array(found, pa.string())], ["key"])
 
             wrong_out = materialize(wrong_out.mapInArrow(through, "key string"))
@@ -114,9 +121,25 @@ def build_cascade(listed: list[str], universe: DataFrame, spark_keys: int, max_l
     return out
 
 
+OUTPUTS = ("host", "path", "rule", "verdict")
+
+
+def kept_apart(df: DataFrame, column: str) -> tuple[DataFrame, str]:
+    """df with columns that are named like an output renamed, and what `column` is called then."""
+    names, taken = {}, {*df.columns, *OUTPUTS}
+    for c in df.columns:
+        if c.lower() in OUTPUTS:
+            new = c + "_in"
+            while new in taken:
+                new += "_in"
+            names[c] = new
+            taken.add(new)
+    return df.withColumnsRenamed(names), names.get(column, column)
+
+
 def split_url(df: DataFrame, column: str) -> DataFrame:
     """Adds host and path."""
-    rest = F.when(F.instr(column, "://") > 0, F.expr(f"substring(`{column}`, instr(`{column}`, '://') + 3)")).otherwise(F.lit(""))
+    rest = F.when(F.instr(F.col(f"`{column}`"), "://") > 0, F.expr(f"substring(`{column}`, instr(`{column}`, '://') + 3)")).otherwise(F.lit(""))
     df = df.withColumn("__rest", F.coalesce(rest, F.lit("")))
     df = df.withColumn("host", ascii_lower(F.regexp_extract("__rest", "(?s)^[^/?#]*", 0)))
     return df.withColumn("path", F.regexp_extract("__rest", "(?s)^[^/?#]*([^?#]*)", 1)).drop("__rest")
@@ -153,7 +176,7 @@ class UrlRules:
         return sorted(set(out), key=lambda k: (-len(k), k.find("/") < 0 and -len(k) or -k.find("/")))
 
     def shards(self) -> int:
-        return max(1, math.ceil(len(self.rules) * 8 / self.max_bytes))  # a key takes at most about 60 bits
+        return max(1, math.ceil(len(self.rules) * 16 / self.max_bytes))  # a key takes at most about 60 bits; shards differ a little
 
     def fit(self, urls: DataFrame) -> list[dict[str, Cascade]]:
         """One cascade an action for each shard of the rules, exact for urls(host, path)."""
@@ -168,14 +191,12 @@ class UrlRules:
         n, out = universe.count(), []
         for s in range(self.shards()):
             mine = [(a, "".join(parts(r))) for a, r in self.rules if xxhash.xxh64_intdigest("".join(parts(r)), 1) % self.shards() == s]
-            out.append({a: build_cascade(list(dict.fromkeys(k for b, k in mine if a == b)), universe, n) for a in ("block", "allow")})
-            if (size := sum(c.nbytes() for c in out[-1].values())) > 4 * self.max_bytes:
-                raise ValueError(f"a shard takes {size} bytes; lower max_bytes to have more shards")
+            out.append({a: build_cascade(list(dict.fromkeys(k for b, k in mine if a == b)), universe, n, self.max_bytes) for a in ("block", "allow")})
         return out
 
     def judge(self, urls: DataFrame, column: str = "url") -> DataFrame:
         """urls with host, path, rule and verdict."""
-        whole = split_url(urls, column)
+        whole = split_url(*kept_apart(urls, column))
         shards = self.fit(whole)
         enumerate_keys, default = self.candidates, self.default
         for s, cascades in enumerate(shards):

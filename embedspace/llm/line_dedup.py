@@ -7,8 +7,9 @@ with the smallest doc_id stay, so that no text leaves the corpus altogether; all
 
 Edge cases: lines are split at \n and are equal when they are byte for byte; lines without a word
 are never boilerplate. Null text is empty and stays null. Null sites together count as one site.
-Null doc_ids come after all others. Repeated rows are treated alike. An empty table gives an
-empty result. Other columns are passed on or ignored, whatever their names.
+Null doc_ids come after all others. Of rows that share the smallest doc_id all keep the line.
+Repeated rows are treated alike. Very long texts are split and joined in one row, in linear time.
+An empty table gives an empty result. Other columns are passed on or ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from embedspace.llm.common import WORD_CHAR, materialize, text_key, with_text
+from embedspace.llm.common import WORD_CHAR, let, materialize, text_key, with_text
 
 
 @dataclass(frozen=True)
@@ -61,7 +62,12 @@ def removals(docs: DataFrame, config: LineConfig) -> DataFrame:
 
 
 def cut_lines(text: Column, places: Column) -> Column:
-    return F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(places, i)), "\n")
+    """The text without the lines at these places; in linear time, as sets are subtracted by hash."""
+
+    def kept(lines: Column) -> Column:
+        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places), lambda i: F.get(lines, i))
+
+    return F.array_join(let(F.split(text, "\n"), kept), "\n")
 
 
 def line_changes(docs: DataFrame, config: LineConfig | None = None) -> DataFrame:

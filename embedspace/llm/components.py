@@ -29,12 +29,13 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
 
 def memberships_of(rows: DataFrame, classes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """rows(doc_id, key, ...) with component_id, where classes(key, first_id) are linked by edges(a, b).
+    """rows(doc_id, key, ...) with component_id and root, where classes(key, first_id) are linked by edges(a, b).
 
-    component_id is the least first_id of a component; null if it has none.
+    component_id is the least first_id of a component; null if it has none. root, the least key of a
+    component, tells components apart that share a component_id or have none.
     """
     labels = components(edges).select(F.col("node").alias("__n"), "label")
     rooted = materialize(classes.join(labels, classes[key] == labels["__n"], "left").select(key, "first_id", F.coalesce("label", key).alias("root")))
     least = materialize(rooted.groupBy(F.col("root").alias("__r")).agg(F.min("first_id").alias("component_id")))
-    of = materialize(rooted.join(least, rooted["root"] == least["__r"]).select(F.col(key).alias("__f"), "component_id"))
-    return rows.join(of, rows[key] == of["__f"]).select(*rows.columns, "component_id")
+    of = materialize(rooted.join(least, rooted["root"] == least["__r"]).select(F.col(key).alias("__f"), "component_id", "root"))
+    return rows.join(of, rows[key] == of["__f"]).select(*rows.columns, "component_id", "root")

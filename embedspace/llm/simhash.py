@@ -5,12 +5,14 @@ class. Six blocks of bits, of which at least three agree in any linked pair, giv
 31 to 33 bits for each class; classes that share a key are compared. Comparison is bit-sliced:
 blocks of 64 fingerprints are stored as 64 bit planes, one query meets a block by one exclusive-or
 for each plane, carry-save counters hold all 64 distances at once, and a block is abandoned when
-all of its distances exceed the radius. A run of classes that is longer than a tile is cut into
-chunks by hash and compared chunk with chunk, so that no task holds it. Of each run only a spanning
-set of links leaves the task.
+all of its distances exceed the radius. In a run of classes that is longer than a tile all meet the
+one with the most rows first; those that aren't near it are cut into chunks by hash and compared with
+all others chunk by chunk, so that no task holds the run. Of each run only a spanning set of links leaves the
+task.
 
 Edge cases: null text counts as empty; texts without a word have fingerprint zero and link like
-any other. Null doc_ids come after all others. Repeated rows are one class. An empty table gives
+any other; a bit set in just half the hashes is 0. Very long texts are hashed whole. Null doc_ids come
+after all others. Repeated rows are one class. An empty table gives
 an empty result. Other columns are ignored, whatever their names.
 """
 
@@ -201,25 +203,34 @@ def fingerprints(docs: DataFrame, config: SimHashConfig) -> DataFrame:
 
 
 def links(classes: DataFrame, config: SimHashConfig) -> DataFrame:
-    """Spanning links (a, b) between distinct fingerprints classes(fp)."""
+    """Links (a, b) between distinct fingerprints classes(fp, n) that connect all that are near each other.
+
+    The classes of a run longer than a tile meet its hub first, the class with the most rows. What is near the hub is
+    connected through it, so only the others are dealt into chunks, each of which meets all chunks of the run.
+    """
     keyed = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(key_masks()))))
-    keys = classes.select("fp", keyed.alias("k")).select("k.t", "k.key", "fp")
-    long_runs = materialize(keys.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > config.tile))
-    long_runs = long_runs.select(F.col("t").alias("lt"), F.col("key").alias("lk"), F.ceil(F.col("n") / config.tile).cast("int").alias("g"))
-    keys = keys.join(long_runs, F.expr("t = lt and key = lk"), "left")
-    chunk = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
-    partners = F.when(F.col("g").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("g") - 1))
-    keys = keys.select("t", "key", "fp", F.coalesce(chunk, F.lit(0)).alias("c"), F.explode(partners).alias("j"))
-    tiles = keys.select("t", "key", F.least("c", "j").alias("ta"), F.greatest("c", "j").alias("tb"), "fp")
-    ordered = tiles.repartition("t", "key", "ta", "tb").sortWithinPartitions("t", "key", "ta", "tb")
-    return map_arrow(ordered, link_runs, "a long, b long").distinct()
+    keys = classes.select("fp", "n", keyed.alias("k")).select("k.t", "k.key", "fp", "n")
+    runs = keys.groupBy("t", "key").agg(F.count("*").alias("size"), F.max_by("fp", F.struct("n", "fp")).alias("hub")).filter(F.col("size") > config.tile)
+    runs = materialize(runs.select(F.col("t").alias("lt"), F.col("key").alias("lk"), "hub", F.ceil(F.col("size") / config.tile).cast("int").alias("g")))
+    on = F.expr("t = lt and key = lk")
+    members = materialize(keys.select("t", "key", "fp").join(runs, on).select("t", "key", "fp", "hub", "g", (F.bit_count(F.expr("fp ^ hub")) <= RADIUS).alias("near")))
+    stars = members.filter("near and fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
+    far = members.filter("not near")
+    chunks = materialize(far.groupBy(F.col("t").alias("lt"), F.col("key").alias("lk")).agg(F.ceil(F.count("*") / config.tile).cast("int").alias("h")))
+    spread = lambda n, salt: F.pmod(F.xxhash64("fp", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    queries = far.join(chunks, on).select("t", "key", spread("h", 1).alias("ta"), every("g").alias("tb"), "fp")
+    lanes = members.join(chunks, on).select("t", "key", every("h").alias("ta"), spread("g", 2).alias("tb"), "fp")
+    short = keys.join(runs.select("lt", "lk"), on, "left_anti").select("t", "key", F.lit(0).alias("ta"), F.lit(0).alias("tb"), "fp")
+    ordered = short.unionByName(queries).unionByName(lanes).repartition("t", "key", "ta", "tb").sortWithinPartitions("t", "key", "ta", "tb")
+    return map_arrow(ordered, link_runs, "a long, b long").filter("a <> b").unionByName(stars).distinct()
 
 
 def memberships(docs: DataFrame, config: SimHashConfig | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for each document; component_id is the least doc_id that can be reached."""
     config = config or SimHashConfig()
     rows = materialize(fingerprints(docs, config))
-    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     return memberships_of(rows, classes, links(classes, config), "fp")
 
 

@@ -17,8 +17,10 @@ is lost, and large groups of copies take linear work. Pairs that are connected a
 counted again.
 
 Edge cases: words are cut as elsewhere and A-Z lower-cased. Null text counts as empty; texts
-without a word are one class. Texts of fewer than five words have one shingle, the whole. Null
-doc_ids come after all others. An empty table gives an empty result. Other columns are passed on.
+without a word are one class. Texts of fewer than five words have one shingle, the whole. Very
+long texts are sketched whole, 255 shingles at a time. Null doc_ids come after all others; ties
+among equal doc_ids go to the least key of the text. Repeated rows are one class. An empty table
+gives an empty result. Other columns are passed on.
 """
 
 from __future__ import annotations
@@ -351,7 +353,7 @@ def links(classes: DataFrame, docs: DataFrame, config: WideConfig) -> DataFrame:
 
 
 def memberships(docs: DataFrame, config: WideConfig | None = None) -> DataFrame:
-    """(doc_id, th, cls, component_id) of each document; component_id is the least doc_id that can be reached."""
+    """(doc_id, th, cls, component_id, root) of each document; component_id is the least doc_id that can be reached, root the component's key."""
     config = config or WideConfig()
     rows = materialize(sketches(docs, config))
     classes = materialize(rows.groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.min("th").alias("th"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("reach").alias("reach")))
@@ -359,13 +361,18 @@ def memberships(docs: DataFrame, config: WideConfig | None = None) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame, config: WideConfig | None = None) -> DataFrame:
-    """One document of each component, that with the least doc_id, with all its columns.
+    """One row of each component, with all its columns: that with the least doc_id (nulls come last), of these that with the least key of its text.
 
-    Rows that share a doc_id but not the text are judged each by its own text. Of those that stay with
-    the same doc_id, one does. Documents whose component has no doc_id at all stay.
+    Rows that share a doc_id but not the text belong each to the component of its own text, so no
+    component is left without a row. Which one of rows with equal doc_id and text stays is left open.
     """
     config = config or WideConfig()
-    found = materialize(memberships(docs, config))  # so that Spark may split the join with large classes
-    gone = found.filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__es_id"), F.col("th").alias("__es_th")).distinct()
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__es_id")) & (text_key(docs["text"]) == F.col("__es_th")), "left_anti")
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    found = materialize(memberships(docs, config).select("doc_id", "th", "root"))
+    rows = found.groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th", "n")).alias("r"))
+    stays = materialize(first.select(F.col("r.doc_id").alias("__es_id"), F.col("r.th").alias("__es_th"), F.col("r.n").alias("__es_n")))
+    kept = docs.join(stays, docs["doc_id"].cast("long").eqNullSafe(F.col("__es_id")) & (text_key(docs["text"]) == F.col("__es_th")))
+    if not stays.filter("__es_n > 1").head(1):
+        return kept.select(*docs.columns)
+    kept = materialize(kept)
+    return kept.filter("__es_n = 1").unionByName(kept.filter("__es_n > 1").dropDuplicates(["__es_id", "__es_th"])).select(*docs.columns)

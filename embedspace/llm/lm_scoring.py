@@ -1,20 +1,27 @@
 """Scoring by a log-bilinear language model.
 
-Tokens are words with A-Z lowered, and an end. The most frequent words are classes of their own;
-the others fall into classes by their last two characters. Spark counts every word and every pair
-of neighbouring classes in all training texts. The model gives a class after another the energy
-r(previous) . q(next) + b(next); its vectors are trained in numpy by noise-contrastive estimation
-on those counts, with the expectation over data and noise taken exactly. One batched matrix product
-gives the normalised log-probabilities of all classes after all classes. Within a class that
-several words share, a word has its add-one share, with one place for words never seen.
-
-Only the counts of words that hold over 1 / dictionary of all tokens, so of fewer than `dictionary`
-words, and the class pairs (bounded by the number of classes squared) reach the driver and are
-sent out. Counts of rarer words are joined in Spark; by the same bound none of those is hot.
+Tokens are words with A-Z lowered, and an end. The most frequent words are classes of their own (the
+more, the larger the vocabulary); the others fall into classes by their last two characters. Classes
+are ranked by frequency and cut into clusters of about equal sums of roots of their frequency.
+
+The three classes before a token, each through the matrix of its position, add up to a predicted
+vector h. A cluster has the energy h . u + a and a class within its cluster h . q + b. Both are trained in
+numpy by noise-contrastive estimation, on batches of tokens against noise drawn from the clusters'
+and the classes' frequencies. Every task trains on all tokens of its part of the corpus from the same
+start, and the tasks' parameters are averaged, weighted by their tokens; the next round starts there.
+Batched matrix products then give the log-probabilities of a cluster and of a class in it, both
+normalised. Within a class that several words share, a word has its add-one share, with one place for
+words never seen. So the probabilities of all words after any context add up to one.
+
+Spark counts every word of all training texts. Only words that hold over 1 / dictionary of all tokens,
+so fewer than `dictionary`, reach the driver and are sent out, beside the model, whose size has the
+bound of `most_words`. Counts of rarer words are joined in Spark by the word; by the same bound none
+of those is hot. Parameters are summed block by block, so that no task holds more than a batch of them.
 
 Edge cases: null text counts as empty and has the end alone. A null doc_id is a training row.
-Repeated rows each count. Without training tokens all probabilities are those of one unseen word.
-An empty table gives an empty result. Other columns are ignored, whatever their names.
+Repeated rows each count. Words of equal counts are ranked by their bytes. Very long texts are scored
+whole, in slices of tokens. Without training tokens all probabilities are those of one unseen word. An
+empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,11 +29,10 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,23 +40,26 @@ from pyspark.sql import functions as F
 from embedspace.llm.common import map_arrow, materialize, raw
 
 END = b""
+#: Classes before a token that predict it.
+CONTEXT = 3
 
 
 @dataclass(frozen=True)
 class LmConfig:
     dictionary: int = 1_000_000
-    words: int = 1024
+    #: Words with a class of their own: this share of the words that reach the driver, within these bounds.
+    own_share: float = 0.1
+    least_words: int = 1024
+    most_words: int = 16_384
     groups: int = 64
     dims: int = 32
-    noise: float = 16.0
-    steps: int = 200
-    rate: float = 0.08
+    #: Noise draws for a batch, at each level.
+    noise: int = 64
+    batch: int = 4096
+    rounds: int = 2
+    rate: float = 0.05
     seed: int = 1
 
-    @property
-    def classes(self) -> int:
-        return self.words + self.groups
-
 
 def held_out(doc_id: Column, parts: int = 7) -> Column:
     """Whether crc32 of the doc_id as text leaves 2; null is not held out."""
@@ -79,63 +88,209 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def group_of(word: bytes, config: LmConfig) -> int:
-    return config.words + zlib.crc32(word.decode()[-2:].encode()) % config.groups
+    return zlib.crc32(word.decode()[-2:].encode()) % config.groups
 
 
 class ClassIds(dict):
     """Classes of words, remembered with a bound."""
 
-    def __init__(self, own: dict[bytes, int], config: LmConfig):
+    def __init__(self, own: dict[bytes, int], shared: list[int], config: LmConfig):
         super().__init__(own)
-        self.own, self.config = own, config
+        self.own, self.shared, self.config = own, shared, config
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000:
             self.clear()
             self.update(self.own)
-        self[word] = c = group_of(word, self.config)
+        self[word] = c = self.shared[group_of(word, self.config)]
         return c
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.array([self[w] for w in words], dtype=np.int64)
 
 
-def train(pairs: np.ndarray, config: LmConfig) -> np.ndarray:
-    """log10 P(next | previous) as a matrix, from counts pairs[previous, next].
-
-    Noise-contrastive estimation: data pairs against `noise` times as many pairs whose next class
-    comes from the class frequencies; the full expectation of its gradient, stepped by Adam.
-    """
-    k = config.classes
-    n = pairs.sum()
-    if n == 0:
-        return np.full((k, k), -np.log10(k), dtype=np.float32)
-    joint = (pairs / n).astype(np.float32)
-    before = joint.sum(axis=1, keepdims=True)
-    freq = (pairs.sum(axis=0) + 1) / (n + k)
-    noise = (config.noise * before * freq[None, :]).astype(np.float32)
-    shift = np.log(config.noise * freq).astype(np.float32)
-    rng = np.random.default_rng(config.seed)
-    r, q = (rng.normal(0, 0.1, (k, config.dims)).astype(np.float32) for _ in range(2))
-    b = np.log(freq).astype(np.float32)
-    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (r, q, b)]
-    for t in range(1, config.steps + 1):
-        x = r @ q.T
-        x += b - shift
-        np.clip(x, -30, 30, out=x)
-        np.negative(x, out=x)
-        np.exp(x, out=x)
-        x += 1
-        np.divide(1, x, out=x)  # probability that a pair is data
-        slope = joint - x * (joint + noise)
-        rate = config.rate * (1 - t / (config.steps + 1))
-        for p, g, (m, v) in zip((r, q, b), (slope @ q, slope.T @ r, slope.sum(axis=0)), state, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p += rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-10)
-    x = r @ q.T + b
-    x -= x.max(axis=1, keepdims=True)
-    return ((x - np.log(np.exp(x).sum(axis=1, keepdims=True))) / np.log(10)).astype(np.float32)
+def contexts(classes: np.ndarray, end: int) -> np.ndarray:
+    """The classes before each token of a text, the nearest first; ends come before a text."""
+    padded = np.concatenate((np.full(CONTEXT, end), classes))
+    return np.column_stack([padded[CONTEXT - i : len(padded) - i] for i in range(1, CONTEXT + 1)])
+
+
+@dataclass
+class LogBilinear:
+    """Classes are numbered by rank; cluster c holds those from bounds[c] to bounds[c + 1]."""
+
+    bounds: np.ndarray
+    #: Frequencies of the classes; the noise is drawn from them.
+    share: np.ndarray
+    #: Vectors of context classes, matrices of positions, vectors and biases of clusters, and of classes in them.
+    parts: dict[str, np.ndarray] = field(default_factory=dict)
+
+    @classmethod
+    def start(cls, counts: np.ndarray, config: LmConfig) -> LogBilinear:
+        """From the classes' counts, in descending order."""
+        share = (counts + 1.0) / (counts.sum() + len(counts))
+        weight = np.cumsum(np.sqrt(share))
+        wanted = max(1, round(len(counts) ** 0.5))
+        part = np.minimum((weight / weight[-1] * wanted).astype(int), wanted - 1)
+        bounds = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(counts)]))
+        rng, d, k, c = np.random.default_rng(config.seed), config.dims, len(counts), len(bounds) - 1
+        whole = np.add.reduceat(share, bounds[:-1])
+        near = lambda n: rng.normal(0, 0.1, (n, d))
+        parts = {"r": near(k), "c": np.stack([np.eye(d) / 2**i for i in range(CONTEXT)]), "u": near(c), "a": np.log(whole), "q": near(k), "b": np.log(share) - np.log(np.repeat(whole, np.diff(bounds)))}
+        return cls(bounds, share, {n: p.astype(np.float32) for n, p in parts.items()})
+
+    def log_probabilities(self, before: np.ndarray, after: np.ndarray, slice_: int = 1 << 14) -> np.ndarray:
+        """log P(after | before) in natural logarithms, as doubles."""
+        p, out = self.parts, np.zeros(len(after))
+        tables = [p["r"] @ m for m in p["c"]]
+        cluster = np.searchsorted(self.bounds, after, "right") - 1
+        for i in range(0, len(after), slice_):
+            x, own, at = before[i : i + slice_], cluster[i : i + slice_], after[i : i + slice_]
+            h = tables[0][x[:, 0]]
+            for k in range(1, CONTEXT):
+                h = h + tables[k][x[:, k]]
+            found = normalised(h @ p["u"].T + p["a"], own)
+            order = np.argsort(own, kind="stable")
+            cuts = np.searchsorted(own[order], np.arange(len(self.bounds)))
+            for c in np.flatnonzero(np.diff(cuts)).tolist():
+                low, high = self.bounds[c], self.bounds[c + 1]
+                if high - low > 1:
+                    rows = order[cuts[c] : cuts[c + 1]]
+                    found[rows] += normalised(h[rows] @ p["q"][low:high].T + p["b"][low:high], at[rows] - low)
+            out[i : i + slice_] = found
+        return out
+
+
+def normalised(energy: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-softmax of each row's energies, at one place of each."""
+    energy = energy - energy.max(axis=1, keepdims=True)
+    chosen = energy[np.arange(len(at)), at].astype(np.float64)
+    return chosen - np.log(np.exp(energy, out=energy).sum(axis=1, dtype=np.float64))
+
+
+class Trainer:
+    """Noise-contrastive estimation of a model's parts, by steps of Adagrad."""
+
+    def __init__(self, model: LogBilinear, config: LmConfig, seed: list[int]):
+        self.model, self.config, self.rng = model, config, np.random.default_rng(seed)
+        self.parts = {n: p.copy() for n, p in model.parts.items()}
+        self.seen = {n: np.full_like(p, 1e-8) for n, p in model.parts.items()}
+        bounds = model.bounds
+        self.whole = np.add.reduceat(model.share, bounds[:-1])
+        self.within = model.share / np.repeat(self.whole, np.diff(bounds))
+        self.sums = np.cumsum(model.share)
+
+    def move(self, name: str, rows: np.ndarray | slice, slope: np.ndarray) -> None:
+        """A step for rows that are all different."""
+        self.seen[name][rows] += slope * slope
+        self.parts[name][rows] -= self.config.rate * slope / np.sqrt(self.seen[name][rows])
+
+    def contrast(self, h: np.ndarray, at: np.ndarray, vectors: str, biases: str, low: int, high: int, share: np.ndarray, scale: float) -> np.ndarray:
+        """One level: targets `at` among low to high, ascending, against noise drawn by share. Moves vectors and biases; returns the slope by h."""
+        k = self.config.noise
+        edges = np.cumsum(share)
+        noise = low + np.minimum(np.searchsorted(edges, self.rng.random(k) * edges[-1], "right"), high - low - 1)
+        v, b, odds = self.parts[vectors], self.parts[biases], np.log(k * share / edges[-1]).astype(np.float32)
+        data = np.einsum("ij,ij->i", h, v[at]) + b[at] - odds[at - low]
+        fake = h @ v[noise].T + (b[noise] - odds[noise - low])
+        wrong = -1 / (1 + np.exp(np.clip(data, -30, 30)))  # probability of data, less one
+        fooled = 1 / (1 + np.exp(-np.clip(fake, -30, 30)))
+        slope = wrong[:, None] * v[at] + fooled @ v[noise]
+        rows, first = np.unique(at, return_index=True)
+        gv, gb = np.add.reduceat(wrong[:, None] * h, first, axis=0), np.add.reduceat(wrong, first)
+        drawn, which = np.unique(noise, return_inverse=True)
+        nv, nb = np.zeros((len(drawn), h.shape[1]), np.float32), np.zeros(len(drawn), np.float32)
+        np.add.at(nv, which, fooled.T @ h)
+        np.add.at(nb, which, fooled.sum(axis=0))
+        both = np.union1d(rows, drawn)
+        sv, sb = np.zeros((len(both), h.shape[1]), np.float32), np.zeros(len(both), np.float32)
+        for r, x, y in ((rows, gv, gb), (drawn, nv, nb)):
+            place = np.searchsorted(both, r)
+            sv[place] += x
+            sb[place] += y
+        self.move(vectors, both, sv * scale)
+        self.move(biases, both, sb * scale)
+        return slope
+
+    def step(self, before: np.ndarray, after: np.ndarray) -> None:
+        order = np.argsort(after, kind="stable")
+        before, after = before[order], after[order]
+        p, bounds, scale = self.parts, self.model.bounds, np.float32(1 / len(after))
+        own = np.searchsorted(bounds, after, "right") - 1
+        rows = [p["r"][before[:, i]] for i in range(CONTEXT)]
+        h = sum(x @ m for x, m in zip(rows, p["c"], strict=True))
+        slope = self.contrast(h, own, "u", "a", 0, len(bounds) - 1, self.whole, scale)
+        cuts = np.searchsorted(own, np.arange(len(bounds)))
+        for c in np.flatnonzero(np.diff(cuts)).tolist():
+            low, high, part = int(bounds[c]), int(bounds[c + 1]), slice(cuts[c], cuts[c + 1])
+            if high - low > 1:
+                slope[part] += self.contrast(h[part], after[part], "q", "b", low, high, self.within[low:high], scale)
+        slope *= scale
+        at = before.T.reshape(-1)
+        by_row = np.concatenate([slope @ m.T for m in p["c"]])
+        self.move("c", slice(None), np.stack([x.T @ slope for x in rows]))
+        turn = np.argsort(at, kind="stable")
+        found, first = np.unique(at[turn], return_index=True)
+        self.move("r", found, np.add.reduceat(by_row[turn], first, axis=0))
+
+
+#: Numbers in a block of parameters.
+BLOCK = 1 << 14
+
+
+def train_round(training: DataFrame, model: LogBilinear, ids: tuple[dict[bytes, int], list[int], int], config: LmConfig, number: int) -> LogBilinear:
+    """The mean of what the tasks make of the model, each on all tokens of its texts(text), weighted by tokens."""
+    sent = training.sparkSession.sparkContext.broadcast((model, ids))
+    names = sorted(model.parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, (own, shared, end) = sent.value
+        known, trainer = ClassIds(own, shared, config), Trainer(start, config, [config.seed, number, TaskContext.get().partitionId()])
+        before, after, held, seen = [], [], 0, 0
+
+        def work(least: int) -> None:
+            nonlocal before, after, held, seen
+            if held < max(1, least):
+                return
+            x, y = np.concatenate(before), np.concatenate(after)
+            done = held if least <= 1 else held // least * least
+            turn = trainer.rng.permutation(done)
+            for i in range(0, done, config.batch):
+                trainer.step(x[turn[i : i + config.batch]], y[turn[i : i + config.batch]])
+            before, after, held, seen = [x[done:]], [y[done:]], held - done, seen + done
+
+        for b in batches:
+            for text in raw(b.column(0)):
+                classes = known.of(tokens(text))
+                before.append(contexts(classes, end).astype(np.int32))
+                after.append(classes.astype(np.int32))
+                held += len(classes)
+                work(16 * config.batch)
+        work(1)
+        if seen:
+            flat = np.concatenate([trainer.parts[n].reshape(-1) for n in names]).astype(np.float64) * seen
+            blocks = [flat[i : i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)]
+            yield pa.record_batch([pa.array(range(len(blocks)), pa.int64()), pa.array([seen] * len(blocks), pa.int64()), pa.array(blocks, pa.binary())], ["block", "tokens", "numbers"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for b in batches:
+            for block, n, numbers in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                had = sums.setdefault(block, [0, 0.0])
+                had[0], had[1] = had[0] + n, had[1] + np.frombuffer(numbers)
+        yield pa.record_batch([pa.array(list(sums), pa.int64()), pa.array([s[0] for s in sums.values()], pa.int64()), pa.array([s[1].tobytes() for s in sums.values()], pa.binary())], ["block", "tokens", "numbers"])
+
+    kinds = "block long, tokens long, numbers binary"
+    made = materialize(map_arrow(training, run, kinds))
+    found = sorted(map_arrow(made.repartition("block"), add, kinds).collect(), key=lambda r: r["block"])  # a row for each block
+    if not found:
+        return model
+    flat, at, parts = np.concatenate([np.frombuffer(bytes(r["numbers"])) / r["tokens"] for r in found]), 0, {}
+    for n in names:
+        size = model.parts[n].size
+        parts[n] = flat[at : at + size].reshape(model.parts[n].shape).astype(np.float32)
+        at += size
+    return LogBilinear(model.bounds, model.share, parts)
 
 
 def lm_scores(docs: DataFrame, config: LmConfig | None = None) -> DataFrame:
@@ -145,60 +300,60 @@ def lm_scores(docs: DataFrame, config: LmConfig | None = None) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     training = own.filter("not held_out").select("text")
     vocabulary = materialize(map_arrow(training, count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("c")))
-    group = (F.lit(config.words) + F.crc32(F.substring("word", -2, 2).cast("binary")) % config.groups).cast("int")
+    group = (F.crc32(F.substring("word", -2, 2).cast("binary")) % config.groups).cast("int")
     total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, v_all = int(total["n"]), int(total["v"])
     often = vocabulary.filter(F.col("c") * config.dictionary > n_all).toArrow()
     frequent = dict(sorted(zip((w.encode() for w in often.column("word").to_pylist()), often.column("c").to_pylist(), strict=True), key=lambda x: (-x[1], x[0])))
-    singles = [END, *(w for w in list(frequent)[: config.words] if w != END)][: config.words]
-    own_class = {w: i for i, w in enumerate(singles)}
+    wanted = min(config.most_words, max(config.least_words, int(config.own_share * len(frequent))))
+    singles = [END, *(w for w in list(frequent)[:wanted] if w != END)][:wanted]
     shared = {r["g"]: (r["n"], r["v"]) for r in vocabulary.groupBy(group.alias("g")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
-    room = np.ones(config.classes)
-    for g, (n, v) in shared.items():
-        mine = [frequent.get(w, 0) for w in singles if group_of(w, config) == g and w in frequent]
-        room[g] = n - sum(mine) + v - len(mine) + 1
-    sent_classes = spark.sparkContext.broadcast(own_class)
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, k = ClassIds(sent_classes.value, config), config.classes
-        counts = np.zeros(k * k, np.int64)
-        for b in batches:
-            for text in raw(b.column(0)):
-                after = ids.of(tokens(text))
-                before = np.concatenate(([0], after[:-1]))  # a text starts after an end
-                code, n = np.unique(before * k + after, return_counts=True)
-                counts[code] += n
-        code = np.flatnonzero(counts)
-        yield pa.record_batch([pa.array(code.astype(np.int64)), pa.array(counts[code])], ["code", "n"])
-
-    pairs = np.zeros(config.classes**2)
-    found = map_arrow(training, count_pairs, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    pairs[found.column("code").to_numpy()] = found.column("n").to_numpy()
-    table = train(pairs.reshape(config.classes, -1), config)
-    sent = spark.sparkContext.broadcast((own_class, {w: float(np.log10(c + 1)) for w, c in frequent.items()}, table, np.log10(room)))
+    left = np.array([shared.get(g, (0, 0)) for g in range(config.groups)], dtype=np.int64).reshape(-1, 2)
+    for w in singles:
+        if w in frequent:
+            left[group_of(w, config)] -= (frequent[w], 1)
+    counts = np.array([*(frequent.get(w, 0) for w in singles), *left[:, 0]], dtype=float)
+    rank = np.argsort(-counts, kind="stable")
+    place = np.argsort(rank, kind="stable")
+    classes = ({w: int(place[i]) for i, w in enumerate(singles)}, place[len(singles) :].tolist(), int(place[0]))
+    model = LogBilinear.start(counts[rank], config)
+    for number in range(config.rounds):
+        model = train_round(training, model, classes, config, number)
+    room = np.zeros(len(counts))
+    room[classes[1]] = np.log10(left.sum(axis=1) + 1.0)  # add-one counts of a group's words and of one never seen
+    sent = spark.sparkContext.broadcast((classes, {w: float(np.log10(c + 1)) for w, c in frequent.items()}, model, room))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_class, log_c, table, log_room = sent.value
-        ids, nth = ClassIds(own_class, config), TaskContext.get().partitionId() << 33
+        (own_class, groups, end), log_c, model, room = sent.value
+        ids, nth = ClassIds(own_class, groups, config), TaskContext.get().partitionId() << 33
+        grouped_class = np.zeros(len(room), bool)
+        grouped_class[groups] = True
+        names = ["doc_id", "held_out", "row", "n_tokens", "n_frequent", "base", "model", "words", "counts"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64()))
         for b in batches:
-            rows = []
-            for text in raw(b.column("text")):
-                words = tokens(text)
-                after = ids.of(words)
-                known = np.array([log_c.get(w, -1.0) for w in words])
-                rare = Counter(w for w, x in zip(words, known.tolist(), strict=True) if x < 0)
-                common = np.maximum(known, 0)
-                grouped = after >= config.words
-                model = float(table[np.concatenate(([0], after[:-1])), after].sum(dtype=np.float64)) + float(common[grouped].sum()) - float(log_room[after[grouped]].sum())
-                rows.append((nth, len(words), len(words) - sum(rare.values()), float(common.sum()) - len(words) * np.log10(n_all + v_all + 1), model, [xxhash.xxh64_intdigest(w, 42) - (1 << 64) * (xxhash.xxh64_intdigest(w, 42) >> 63) for w in rare], list(rare.values())))
-                nth += 1
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.record_batch([b.column("doc_id"), b.column("held_out"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], ["doc_id", "held_out", "row", "n_tokens", "n_frequent", "base", "model", "hashes", "counts"])
-
-    rows = materialize(map_arrow(own, score, "doc_id long, held_out boolean, row long, n_tokens long, n_frequent long, base double, model double, hashes array<long>, counts array<long>"))
-    rare = rows.select("row", F.inline(F.arrays_zip("hashes", "counts")))
-    counts = vocabulary.select(F.xxhash64("word").alias("__h"), "c")
-    more = rare.join(counts, F.expr("hashes = __h")).groupBy(F.col("row").alias("__r")).agg(F.sum("counts").alias("seen"), F.sum(F.col("counts") * F.log10(F.col("c") + 1)).alias("more"))
-    out = rows.drop("hashes", "counts").join(more, F.expr("row = __r"), "left")
+            texts, at = raw(b.column("text")), 0
+            while at < len(texts):
+                rows, before, after, size, first = [], [], [], 0, at
+                while at < len(texts) and (not rows or size < 1 << 18):
+                    words = tokens(texts[at])
+                    own = ids.of(words)
+                    known = np.array([log_c.get(w, -1.0) for w in words])
+                    rare = Counter(w for w, x in zip(words, known.tolist(), strict=True) if x < 0)
+                    common, grouped = np.maximum(known, 0), grouped_class[own]
+                    rows.append([nth, len(words), len(words) - sum(rare.values()), float(common.sum()) - len(words) * np.log10(n_all + v_all + 1), float(common[grouped].sum()) - float(room[own].sum()), [w.decode() for w in rare], list(rare.values())])
+                    before.append(contexts(own, end))
+                    after.append(own)
+                    size, nth, at = size + len(words), nth + 1, at + 1
+                found = model.log_probabilities(np.concatenate(before), np.concatenate(after)) / np.log(10)
+                for r, x in zip(rows, np.add.reduceat(found, np.cumsum([0, *(len(a) for a in after[:-1])])).tolist(), strict=True):
+                    r[4] += x
+                part = b.slice(first, at - first)
+                yield pa.record_batch([part.column("doc_id"), part.column("held_out"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names)
+
+    rows = materialize(map_arrow(own, score, "doc_id long, held_out boolean, row long, n_tokens long, n_frequent long, base double, model double, words array<string>, counts array<long>"))
+    rare = rows.select("row", F.inline(F.arrays_zip("words", "counts")))
+    known = vocabulary.filter(F.col("c") * config.dictionary <= n_all).select(F.col("word").alias("__w"), "c")
+    more = rare.join(known, F.expr("words = __w")).groupBy(F.col("row").alias("__r")).agg(F.sum("counts").alias("seen"), F.sum(F.col("counts") * F.log10(F.col("c") + 1)).alias("more"))
+    out = rows.drop("words", "counts").join(more, F.expr("row = __r"), "left")
     extra = F.coalesce("more", F.lit(0.0))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_frequent") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") + extra).alias("base_score"), (F.col("model") + extra).alias("score"))

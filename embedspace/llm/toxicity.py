@@ -1,21 +1,23 @@
 """Toxicity by maximum-scoring segments.
 
-Words get log-odds between toxic and other labelled texts with an informative Dirichlet prior; a
-word counts once for each text, as one that a single text repeats says little. The words whose
-log-odds are significant keep them, all others cost a constant. One linear scan of a
-text finds all its maximal segments (Ruzzo and Tompa). A segment's score has an extreme-value
-distribution in texts without toxic passages (Karlin and Altschul): the chance of a segment this
-good in a text this long. The significant ones are added up, and a logistic curve, fitted on the
-labelled training texts, turns the evidence into a probability.
-
-Labels are taken from at most `max_labelled` rows, chosen by a hash of the doc_id; the prior's
-word shares and the extreme-value decay come from these rows too. Scoring covers all data. The model
-holds at most `max_words` words, those of the greatest significance.
+Words get log-odds between toxic and other labelled texts with an informative Dirichlet prior, whose
+word shares are those of all documents; a word counts once for each text, as one that a single text
+repeats says little. The words whose log-odds are significant keep them, all others cost a constant.
+One linear scan of a text finds all its maximal segments (Ruzzo and Tompa). A segment's score has an
+extreme-value distribution in texts without toxic passages (Karlin and Altschul), its decay from the
+significant words' share of all documents: the chance of a segment this good in a text this long. The
+significant ones are added up, and a logistic curve, fitted on the labelled training texts, turns the
+evidence into a probability.
+
+Labels are taken from at most `max_labelled` rows, chosen by a hash of the doc_id; what the model holds
+is significant words of these rows' texts. Word counts and scoring cover all documents. Settings are
+compared by cross_validate(), inside the training rows alone.
 
 Edge cases: null text counts as empty, with the probability of a text without evidence. Labels
 that are null or of unknown documents are ignored; of repeated labels the highest counts. Without
-both kinds of labels every score is the share of toxic labels, or 0. Repeated rows are scored
-alike. An empty table gives an empty result. Other columns are never read, whatever their names.
+both kinds of labels every score is the share of toxic labels, or 0. Of segments of equal score all
+count; a word whose log-odds are just significant counts. Very long texts are scanned whole. Repeated
+rows are scored alike. An empty table gives an empty result. Other columns are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,16 +42,15 @@ MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 @dataclass(frozen=True)
 class ToxicityConfig:
     max_labelled: int = 50_000
-    max_words: int = 20_000
     #: Strength of the prior, as a share of the smaller class's words: with a constant one, words
     #: that other texts never have would not get more significant as their number grows.
     prior: float = 1.0
     #: Standard deviations from which log-odds are significant.
-    least_z: float = 3.0
+    least_z: float = 2.5
     #: Cost of any other word.
     drift: float = 0.5
     #: A segment counts if its chance in a clean text is below this.
-    level: float = 0.5
+    level: float = 0.9
     threshold: float = 0.3
 
 
@@ -144,16 +145,40 @@ def labelled(docs: DataFrame, labels: DataFrame, config: ToxicityConfig) -> Data
     return materialize(docs.select(F.col("doc_id").cast("long").alias("__d"), "text").join(F.broadcast(sample), F.expr("__d = __i")).select("text", "toxic"))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig | None = None) -> ToxicityModel:
-    config = config or ToxicityConfig()
-    sample = labelled(docs, labels, config)
+def words_of(text: bytes) -> set[bytes]:
+    return {w.strip(MARKS) for w in text.lower().split()}
+
+
+def word_texts(docs: DataFrame) -> DataFrame:
+    """(word, n): in how many texts of docs(text) a word is; written down."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[bytes] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.record_batch([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+            counts.clear()
+            return out
+
+        for b in batches:
+            for text in raw(b.column(0)):
+                counts.update(words_of(text))
+                if len(counts) > 400_000:
+                    yield flush()
+        yield flush()
+
+    return materialize(map_arrow(docs.select("text"), count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def train_on(sample: DataFrame, corpus: DataFrame, config: ToxicityConfig) -> ToxicityModel:
+    """From sample(text, toxic) and corpus(word, n)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         texts = [0, 0]
         for b in batches:
             for text, toxic in zip(raw(b.column(0)), b.column(1).to_pylist(), strict=True):
-                counts[bool(toxic)].update({w.strip(MARKS) for w in text.lower().split()})
+                counts[bool(toxic)].update(words_of(text))
                 texts[bool(toxic)] += 1
         both = list(counts[0].keys() | counts[1].keys())
         yield pa.record_batch([pa.array([*both, None], pa.binary()), *(pa.array([*(counts[i][w] for w in both), texts[i]], pa.int64()) for i in (0, 1))], ["word", "c0", "c1"])
@@ -166,27 +191,55 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig |
     if not t0 or not t1 or not n["n0"] or not n["n1"]:
         return ToxicityModel({}, config.drift, 1.0, config.level, constant=t1 / (t0 + t1) if t0 + t1 else 0.0)
     n0, n1 = int(n["n0"]), int(n["n1"])
+    everywhere = int(corpus.agg(F.sum("n")).first()[0])
     prior = config.prior * min(n0, n1)
-    share = prior * (F.col("c0") + F.col("c1")) / F.lit(float(n0 + n1))
+    share = prior * F.col("n") / F.lit(float(everywhere))
     odds = lambda c, total: F.log((c + share) / F.greatest(F.lit(total + prior) - c - share, F.lit(0.5)))
     gain = odds(F.col("c1"), n1) - odds(F.col("c0"), n0)
     z = gain / F.sqrt(1 / (F.col("c1") + share) + 1 / (F.col("c0") + share))
-    best = words.select("word", "c0", "c1", gain.alias("gain"), z.alias("z")).filter(F.col("z") >= config.least_z).orderBy(F.desc("z"), "word").limit(config.max_words).collect()
-    table = {bytes(r["word"]): float(r["gain"]) for r in best if r["gain"] > 0}
-    hits = sum(r["c0"] for r in best)
-    mean = sum(r["gain"] * max(r["c0"], 0.5) for r in best) / max(1e-9, sum(max(r["c0"], 0.5) for r in best)) if best else 1.0
-    model = ToxicityModel(table, config.drift, decay_of(max(hits, 0.5) / n0, mean, config.drift), config.level)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    known = words.filter("c1 > 0").join(corpus.withColumnRenamed("word", "__w"), F.expr("word = __w"))
+    best = known.select("word", "n", gain.alias("gain"), z.alias("z")).filter((F.col("z") >= config.least_z) & (F.col("gain") > 0)).collect()
+    hits = sum(r["n"] for r in best)
+    mean = sum(r["gain"] * r["n"] for r in best) / hits if best else 1.0
+    model = ToxicityModel({bytes(r["word"]): float(r["gain"]) for r in best}, config.drift, decay_of(max(hits, 0.5) / everywhere, mean, config.drift), config.level)
+    x, y = evidence_of(sample, model)
+    model.weights = fit_logistic(x, y)
+    return model
+
+
+def evidence_of(sample: DataFrame, model: ToxicityModel) -> tuple[np.ndarray, np.ndarray]:
+    """The evidence in each text of sample(text, toxic), and the labels: four numbers for each labelled text."""
+    sent = sample.sparkSession.sparkContext.broadcast(model)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [sent.value.evidence(x) for x in raw(b.column(0))]
             yield pa.record_batch([*(pa.array([e[i] for e in found], pa.float64()) for i in range(3)), b.column(1)], ["best", "all", "share", "toxic"])
 
-    seen = map_arrow(sample, collect, "best double, all double, share double, toxic int").toArrow()  # four numbers for each labelled text
-    x = np.column_stack([seen.column(i).to_numpy() for i in range(3)])
-    model.weights = fit_logistic(x, seen.column(3).to_numpy().astype(float))
-    return model
+    seen = map_arrow(sample.select("text", "toxic"), collect, "best double, all double, share double, toxic int").toArrow()
+    return np.column_stack([seen.column(i).to_numpy() for i in range(3)]), seen.column(3).to_numpy().astype(float)
+
+
+def train_toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig | None = None) -> ToxicityModel:
+    config = config or ToxicityConfig()
+    return train_on(labelled(docs, labels, config), word_texts(docs), config)
+
+
+def cross_validate(docs: DataFrame, labels: DataFrame, configs: list[ToxicityConfig], folds: int = 4) -> list[dict[str, float]]:
+    """For each setting what models trained without a fold of the training rows say of that fold: mean log loss, recall and precision at the threshold. Held-out rows take no part."""
+    corpus, out = word_texts(docs), []
+    sample = materialize(labelled(docs, labels, configs[0]).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(folds))))
+    for config in configs:
+        scores, truth = [], []
+        for fold in range(folds):
+            model = train_on(sample.filter(F.col("fold") != fold).select("text", "toxic"), corpus, config)
+            x, y = evidence_of(sample.filter(F.col("fold") == fold), model)
+            scores += [model.probability(tuple(e)) for e in x.tolist()]
+            truth += y.tolist()
+        p, y = np.clip(np.array(scores), 1e-6, 1 - 1e-6), np.array(truth) > 0
+        said = p >= config.threshold
+        out.append({"loss": float(-np.where(y, np.log(p), np.log(1 - p)).mean()), "recall": float((said & y).sum() / max(1, y.sum())), "precision": float((said & y).sum() / max(1, said.sum()))})
+    return out
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, config: ToxicityConfig | None = None) -> DataFrame:

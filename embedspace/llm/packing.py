@@ -58,8 +58,8 @@ class PackingConfig:
     capacity: int = 4096
     #: Classes of lengths.
     classes: int = 512
-    #: Rests of a class whose ranks are counted in one part, about.
-    part: int = 50_000
+    #: Rests of a class whose ranks are counted in one part, at most about; a class of some hundreds has parts too.
+    part: int = 10_000
     #: Share of all sequences' room up to which rests are cut to fill gaps.
     fill: float = 0.995
     #: Gaps, as a share of the capacity, that rests are cut for.
@@ -437,7 +437,7 @@ def pack(docs: DataFrame, config: PackingConfig) -> DataFrame:
     held = Counter()
     for x, n in histogram.items():
         held[size_class[x]] += n
-    classes = spark.createDataFrame([(x, c, -(-held[c] // config.part)) for x, c in size_class.items()], "__length long, size_class int, parts int")
+    classes = spark.createDataFrame([(x, c, max(-(-held[c] // config.part), min(64, -(-held[c] // 100)))) for x, c in size_class.items()], "__length long, size_class int, parts int")
     pieces = pieces.join(F.broadcast(classes), F.expr("length = __length")).drop("__length")  # a row for each length
     pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "th"), F.col("parts")).cast("int")).drop("parts")
     counts = materialize(pieces.groupBy("size_class", "part").agg(F.count("*").alias("n")))

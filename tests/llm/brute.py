@@ -120,8 +120,8 @@ def similarity(a: str | None, b: str | None) -> float:
     return len(a & b) / max(1, len(a | b))
 
 
-def by_similarity(rows: list[tuple], least: float = 0.8) -> list[tuple]:
-    """Least doc_id of each row's component by brute force; equal sets of shingles are one class."""
+def by_similarity(rows: list[tuple], least: float = 0.8, roots: bool = False) -> list[tuple]:
+    """Least doc_id of each row's component by brute force (or its number); equal sets of shingles are one class."""
     sets = [shingles(r[1]) for r in rows]
     parent = list(range(len(rows)))
 
@@ -134,6 +134,8 @@ def by_similarity(rows: list[tuple], least: float = 0.8) -> list[tuple]:
         for j in range(i):
             if a == sets[j] or len(a & sets[j]) >= least * len(a | sets[j]):
                 parent[find(i)] = find(j)
+    if roots:
+        return [find(i) for i in range(len(rows))]
     ids = {}
     for i, r in enumerate(rows):
         ids.setdefault(find(i), []).append(r[0])

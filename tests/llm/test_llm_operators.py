@@ -80,11 +80,17 @@ def brute_urls(url, rules, default="allow"):
 def test_url_rules(spark):
     urls = [None, "", "no scheme.net/", "http://net", "http://net/", "http://A.Example.NET/en/x?y#z", "https://example.net/EN/", "http://x.org/fr/", "http://x.org/frx", "http://notnet/", "http://com.example.com/de/a", "http://example.com/de", "http://a.b.c.d.e.f.net/q", "http://" + "a." * 5000 + "net/", "x://y://z.net/", "http:///net/", "http://net./", "http://net/", "http://é.net/\n#"]
     rows = list(enumerate(urls))
-    df = spark.createDataFrame(rows, "page_id long, url string").withColumns({"rule": F.lit(1), "host": F.lit(2)}).drop("rule", "host")
+    df = spark.createDataFrame(rows, "page_id long, url string")
     got = url_filter.UrlRules(url_filter.RULES).judge(df)
     same(got, ["page_id", "host", "path", "rule", "verdict"], [(i, *brute_urls(u, url_filter.RULES)) for i, u in rows])
     assert url_filter.UrlRules(url_filter.RULES).judge(df.limit(0)).count() == 0
     assert {r["verdict"] for r in url_filter.UrlRules([]).judge(df).collect()} == {"allow"}
+    clashing = df.withColumns({"rule": F.lit(1), "host": F.lit(2), "host_in": F.lit(3), "key": F.array(F.lit(4)), "bucket": F.lit("x")})
+    kept = url_filter.UrlRules(url_filter.RULES).judge(clashing)
+    same(kept, ["page_id", "host", "path", "rule", "verdict"], [(i, *brute_urls(u, url_filter.RULES)) for i, u in rows])
+    assert {(r["rule_in"], r["host_in_in"], r["host_in"], r["key"][0], r["bucket"]) for r in kept.collect()} == {(1, 2, 3, 4, "x")}
+    by_path = url_filter.UrlRules(url_filter.RULES).judge(df.withColumnRenamed("url", "path"), "path")
+    same(by_path, ["page_id", "host", "path", "rule", "verdict"], [(i, *brute_urls(u, url_filter.RULES)) for i, u in rows])
 
 
 def test_url_rules_in_shards(spark):
@@ -92,8 +98,10 @@ def test_url_rules_in_shards(spark):
     rules = [(rng.choice(["allow", "block"]), f"h{i}.example{rng.choice(['', '/', '/a/', '/a/b'])}") for i in range(300)]
     rows = [(i, f"http://{rng.choice(['', 'www.'])}h{rng.randint(0, 600)}.example/{rng.choice(['', 'a/', 'a/bc', 'b'])}") for i in range(3000)]
     df = spark.createDataFrame(rows, "page_id long, url string")
-    sharded = url_filter.UrlRules(rules, max_bytes=1000)
+    sharded = url_filter.UrlRules(rules, max_bytes=1600)
     assert sharded.shards() == 3
+    with pytest.raises(ValueError, match="bytes"):
+        url_filter.build_cascade([r for _, r in rules], df.select(F.col("url").alias("key")).distinct(), 3000, 64)
     for judge in (sharded, url_filter.UrlRules(rules)):
         same(judge.judge(df), ["page_id", "host", "path", "rule", "verdict"], [(i, *brute_urls(u, rules)) for i, u in rows])
 
@@ -124,13 +132,38 @@ def test_exact_dedup(messy, empty):
     assert exact_dedup.deduplicate_once(empty).count() == 0
 
 
-def test_exact_dedup_appends(spark):
-    index = exact_dedup.DigestIndex(spark, "digests_test", 4)
+@pytest.mark.parametrize("path", [False, True])
+def test_exact_dedup_appends(spark, tmp_path, path):
+    """Batches against what earlier ones brought; compaction, buckets and a later session's view of the files."""
+    index = exact_dedup.DigestIndex(spark, "digests_test", 4, f"file://{tmp_path}/index" if path else None)
     try:
         first = exact_dedup.deduplicate(documents(spark, [(5, "a"), (6, "b")]), index).collect()
         again = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact_dedup.deduplicate(documents(spark, [(1, "a"), (2, "c"), (3, "c")]), index).collect()}
         assert all(r["kept"] for r in first) and again == {1: (5, False), 2: (2, True), 3: (2, False)}
-        assert index.read().count() == 3
+        assert index.read().count() == 3 and "SortMergeJoin" in index.fresh(index.read().limit(1))._jdf.queryExecution().toString()
+        index.compact()
+        assert index.version() == 2 and index.buckets == 8 and sorted(r["keep_id"] for r in index.read().collect()) == [2, 5, 6]
+        for i in range(12):
+            index.append(index.fresh(spark.range(i * 50, i * 50 + 50).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"), F.col("id").alias("keep_id"))))
+        assert index.version() > 2 and index.read().count() == 603 and len(index.read().inputFiles()) <= 64
+        if path:
+            spark.sql(f"drop table {index.table()}")
+            assert not index.exists()
+            index.open()
+            assert index.read().count() == 603 and [r["kept"] for r in exact_dedup.deduplicate(documents(spark, [(9, "a")]), index).collect()] == [False]
+    finally:
+        index.drop()
+
+
+@pytest.mark.parametrize("batches", [1, 3, 7])
+def test_exact_dedup_in_batches(spark, batches):
+    """The batches' bounds change nothing; groups reach over several of them."""
+    rng = random.Random(batches)
+    rows = [(rng.randrange(60), f"text {rng.randrange(25)}") for _ in range(150)] + [(None, "text 1"), (None, "own"), (7, None)]
+    index = exact_dedup.DigestIndex(spark, "digests_batches", 4)
+    try:
+        same(exact_dedup.deduplicate_table(documents(spark, rows), index, batches), ["doc_id", "keep_id", "group_size", "kept", "text_sha256"], brute_exact(rows))
+        assert index.read().count() == len({r[1] for r in rows})
     finally:
         index.drop()
 
@@ -277,7 +310,7 @@ def test_simhash_finds_every_link(spark, tile):
     centre = int(rng.integers(0, 2**63))
     fps += [centre ^ (1 << int(rng.integers(64))) ^ (1 << int(rng.integers(64))) for _ in range(150)] + [int(x) for x in rng.integers(0, 2**63, 200)]
     fps = sorted(set(fps))
-    classes = spark.createDataFrame([(sh.signed(f),) for f in fps], "fp long")
+    classes = spark.createDataFrame([(sh.signed(f), 1 + (f == centre)) for f in fps], "fp long, n long")
     from embedspace.llm.components import components
 
     got = {r["node"]: r["label"] for r in components(sh.links(classes, sh.SimHashConfig(tile=tile))).collect()}
@@ -308,9 +341,7 @@ def edited(rng, text, rate):
 def test_wide_simhash_representatives(messy, empty):
     kept = sw.keep_representatives(messy)
     assert kept.columns == messy.columns
-    members = by_similarity(MESSY)
-    assert sorted(r["doc_id"] for r in kept.filter("doc_id is not null").select("doc_id").collect()) == sorted({d for d, c in members if d is not None and d == c})
-    assert kept.filter("doc_id is null").count() == sum(d is None and c is None for d, c in members)
+    check_representatives(kept, MESSY)
     assert sw.keep_representatives(empty).count() == 0
 
 
@@ -381,12 +412,28 @@ def test_wide_simhash_links_short_texts(spark, tile, small):
     assert got == {i: i if i % 12 == 9 else i - i % 2 for i, _ in rows}
 
 
+def brute_representatives(rows):
+    """Of each component the row with the least doc_id, nulls last; ties are left open, so only how many rows of (doc_id, text) stay at most."""
+    members = by_similarity(rows, roots=True)
+    groups = defaultdict(list)
+    for r, root in zip(rows, members, strict=True):
+        groups[root].append(r)
+    return [{(r[0], r[1]) for r in g if r[0] == min((x[0] for x in g if x[0] is not None), default=None)} for g in groups.values()]
+
+
+def check_representatives(kept, rows):
+    """One row of each component and no other; by rows, not by ids."""
+    wanted, got = brute_representatives(rows), [(r["doc_id"], r["text"]) for r in kept.select("doc_id", "text").collect()]
+    assert len(got) == len(wanted) and all(sum(r in w for r in got) >= 1 for w in wanted) and all(any(r in w for w in wanted) for r in got)
+
+
 def test_wide_simhash_repeated_ids(spark):
-    """A doc_id with two texts, of which one is a copy of a smaller doc_id's: the other one stays."""
-    other = " ".join(f"own{i}" for i in range(40))
-    rows = [(1, SENTENCE), (2, SENTENCE + " more"), (2, other), (3, other), (None, SENTENCE), (None, "alone without an id")]
-    kept = sw.keep_representatives(documents(spark, rows, extra=True)).select("doc_id", "text").collect()
-    assert sorted(map(tuple, kept), key=str) == sorted([(1, SENTENCE), (2, other), (None, "alone without an id")], key=str)
+    """Rows that share a doc_id but not the text, some of them copies of others: no text without a near copy is lost."""
+    other, third = " ".join(f"own{i}" for i in range(40)), " ".join(f"third{i}" for i in range(40))
+    rows = [(1, SENTENCE), (2, SENTENCE + " more"), (2, other), (3, other), (2, third), (2, third), (4, "x y z"), (4, "one two three"), (None, SENTENCE), (None, "alone without an id"), (None, "alone without an id"), (None, None), (None, "second alone")]
+    kept = sw.keep_representatives(documents(spark, rows, extra=True))
+    check_representatives(kept, rows)
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, [(1, SENTENCE), (2, other), (2, third), (4, "x y z"), (4, "one two three"), (None, "alone without an id"), (None, None), (None, "second alone")]))
 
 
 def test_wide_simhash_radii():
@@ -428,7 +475,7 @@ def test_substring_dedup_of_shared_passages(spark):
 
 
 def test_lm_scoring(messy, empty):
-    config = lm_scoring.LmConfig(words=8, groups=4, dims=4, steps=20)
+    config = lm_scoring.LmConfig(least_words=8, groups=4, dims=4, batch=64)
     rows = lm_scoring.lm_scores(messy, config).collect()
     assert lm_scoring.lm_scores(empty, config).count() == 0
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
@@ -439,15 +486,63 @@ def test_lm_scoring(messy, empty):
     assert all(r["score"] < 0 for r in rows)
 
 
-def test_lm_rare_words_join_and_probabilities_add_up(spark):
+def test_lm_rare_words_join(spark):
     rows = [(i, " ".join([*(f"common{j}" for j in range(9)), *(f"v{j}" for j in range(i % 9, 60, 3))])) for i in range(40)]
     docs = documents(spark, rows)
-    few, many = (lm_scoring.lm_scores(docs, lm_scoring.LmConfig(dictionary=d, words=8, groups=4, dims=4, steps=20)).orderBy("doc_id").collect() for d in (50, 10**6))
+    few, many = (lm_scoring.lm_scores(docs, lm_scoring.LmConfig(dictionary=d, least_words=8, most_words=8, groups=4, dims=4, batch=64)).orderBy("doc_id").collect() for d in (50, 10**6))
     assert [(r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in few] == [(r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in many]
-    pairs = np.random.default_rng(0).integers(0, 50, (12, 12)).astype(float)
-    table = lm_scoring.train(pairs, lm_scoring.LmConfig(words=8, groups=4, dims=6, steps=300))
-    assert np.allclose((10.0**table).sum(axis=1), 1, atol=1e-4)
-    assert (pairs * table).sum() > (pairs * np.log10(pairs.sum(axis=0) / pairs.sum())).sum()
+
+
+def test_lm_forward_pass_by_brute_force():
+    """Two softmaxes, term by term; after any context the classes' probabilities add up to one."""
+    rng, config = np.random.default_rng(0), lm_scoring.LmConfig(dims=5)
+    model = lm_scoring.LogBilinear.start(np.sort(rng.integers(1, 500, 30))[::-1].astype(float), config)
+    model.parts = {n: (p + rng.normal(0, 0.5, p.shape)).astype(np.float32) for n, p in model.parts.items()}
+    p, bounds = {n: x.astype(float) for n, x in model.parts.items()}, model.bounds.tolist()
+    assert len(bounds) > 3
+
+    def brute(before, after):
+        h = sum(p["r"][before[i]] @ p["c"][i] for i in range(3))
+        c = next(c for c in range(len(bounds) - 1) if bounds[c] <= after < bounds[c + 1])
+        clusters = [h @ p["u"][k] + p["a"][k] for k in range(len(bounds) - 1)]
+        classes = {k: h @ p["q"][k] + p["b"][k] for k in range(bounds[c], bounds[c + 1])}
+        return clusters[c] - np.log(np.exp(clusters).sum()) + classes[after] - np.log(np.exp(list(classes.values())).sum())
+
+    for before in rng.integers(0, 30, (20, 3)):
+        got = model.log_probabilities(np.tile(before, (30, 1)), np.arange(30), 7)
+        assert np.allclose(got, [brute(before, k) for k in range(30)], atol=1e-4) and abs(np.exp(got).sum() - 1) < 1e-5
+    assert lm_scoring.contexts(np.array([7, 8, 9, 5]), 0).tolist() == [[0, 0, 0], [7, 0, 0], [8, 7, 0], [9, 8, 7]]
+
+
+def test_lm_training_learns_from_three_classes_back():
+    """A token that repeats the one three places before it, in a fifth of cases anything: contexts must tell it."""
+    rng, config = np.random.default_rng(0), lm_scoring.LmConfig(dims=16, batch=512)
+    text = rng.integers(1, 20, 60_000)
+    for i in range(3, len(text)):
+        if rng.random() < 0.8:
+            text[i] = text[i - 3]
+    rank = np.argsort(-np.bincount(text, minlength=20), kind="stable")
+    text = np.argsort(rank)[text]
+    model = lm_scoring.LogBilinear.start(np.bincount(text, minlength=20).astype(float), config)
+    trainer, before = lm_scoring.Trainer(model, config, [1]), lm_scoring.contexts(text, 0)
+    start = -model.log_probabilities(before[-5000:], text[-5000:]).mean()
+    for i in range(0, 55_000, 512):
+        trainer.step(before[i : i + 512], text[i : i + 512])
+    model.parts = trainer.parts
+    loss = -model.log_probabilities(before[-5000:], text[-5000:]).mean()
+    assert start > 2.5 and loss < 1.6, (start, loss)  # 2.94 by frequency alone, 1.2 at best
+
+
+def test_lm_scores_of_the_whole_model(spark):
+    """Each text's score from the operator's parts: its classes' probabilities and the words' shares in shared classes."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(x for _ in range(12) for x in rng.choice(["the cat sat", "a dog ran", "some bird sang", f"odd{rng.randint(0, 30)}"]).split())) for i in range(300)]
+    config = lm_scoring.LmConfig(least_words=6, most_words=6, groups=3, dims=8, batch=128)
+    got = lm_scoring.lm_scores(documents(spark, rows), config).collect()
+    held = [r for r in got if r["held_out"]]
+    assert len(held) > 20 and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    again = lm_scoring.lm_scores(documents(spark, rows), config).collect()
+    assert sorted((r["doc_id"], round(r["score"], 6)) for r in got) == sorted((r["doc_id"], round(r["score"], 6)) for r in again)
 
 
 def test_bpe(messy, empty):

@@ -2,7 +2,9 @@
 
 A vector is a seed if no earlier seed is similar to it; any other joins the earliest similar seed.
 Rounds: the first undecided rows (a bounded batch) are decided on the driver, their new seeds are
-sent out, and all undecided rows meet them in NumPy blocks. Only a batch of seeds is ever sent.
+sent out, and all undecided rows meet them in NumPy blocks. Only a batch of seeds is ever sent. Each
+round writes what it met to a folder of its own, decided rows without their vectors; the result is one
+scan of all rounds' folders, so plans don't grow.
 """
 
 from __future__ import annotations
@@ -11,14 +13,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from embedspace.operators.similarity import matrix, unit_rows
-from embedspace.schema import ASSIGNMENTS, written
+from embedspace.operators.similarity import blocks, matrix, unit_rows
+from embedspace.schema import ASSIGNMENTS, check_vectors, fresh_path, written
 
 #: Default threshold, and that of the interactive preset.
 THRESHOLD, PRESET = 0.85, 0.5
+#: Greatest long.
+MOST = (1 << 63) - 1
 
 
 def first_by_key(df: DataFrame, key: str) -> DataFrame:
@@ -35,14 +40,16 @@ def cut_point(df: DataFrame, size: int) -> int | None:
     low, high, below = row["a"], row["b"], 0
     while True:
         width = max(1, -(-(high - low + 1) // 1024))
-        counts = {r["k"]: r["n"] for r in df.filter(F.col("vec_id").between(low, high)).groupBy(F.floor((F.col("vec_id") - low) / width).alias("k")).agg(F.count("*").alias("n")).collect()}
+        # In decimals: the distance of two longs, such as hashes, may pass what a long holds.
+        place = F.floor((F.col("vec_id").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("int")
+        counts = {r["k"]: r["n"] for r in df.filter(F.col("vec_id").between(low, min(high, MOST))).groupBy(place.alias("k")).agg(F.count("*").alias("n")).collect()}
         total = below
         for k in sorted(counts):
             if total + counts[k] >= size:
                 break
             total += counts[k]
         if width == 1 or total + counts[k] <= 4 * size:
-            return low + (k + 1) * width - 1
+            return min(low + (k + 1) * width - 1, MOST)
         low, high, below = low + k * width, low + (k + 1) * width - 1, total
 
 
@@ -65,36 +72,39 @@ def leader_clusters(df: DataFrame, threshold: float = THRESHOLD, batch: int = 20
     its own, with similarity 1 like every seed.
     """
     spark = df.sparkSession
-    undecided, count, done = written(df.select("vec_id", "vector")), 0, spark.createDataFrame([], ASSIGNMENTS)
+    undecided, count, paths = written(df.select(F.col("vec_id").cast("long").alias("vec_id"), "vector")), 0, []
+    _, dims = check_vectors(undecided)
+    kinds = ASSIGNMENTS + ", vector array<float>"
     while True:
         cut = cut_point(undecided, batch)
         head = (undecided if cut is None else undecided.filter(F.col("vec_id") <= cut)).orderBy("vec_id").toArrow().combine_chunks()
-        if not head.num_rows:
-            return done
-        ids, rows = head.column("vec_id").to_numpy(), unit_rows(matrix(head.column("vector").combine_chunks()))
-        new = leaders(rows, threshold)
-        sent = spark.sparkContext.broadcast((ids[new], rows[new], count))
-
-        def assign(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            seed_ids, seeds, base = sent.value
-            for whole in batches:
-                for i in range(0, whole.num_rows, 1024):
-                    b = whole.slice(i, 1024)
+        if head.num_rows:
+            ids, rows = head.column("vec_id").to_numpy(), unit_rows(matrix(head.column("vector").combine_chunks(), dims))
+            new = leaders(rows, threshold)
+            sent = spark.sparkContext.broadcast((ids[new], rows[new], count))
+
+            def assign(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+                seed_ids, seeds, base = sent.value
+                for b in blocks(batches):
                     own = b.column(0).to_numpy()
-                    s = unit_rows(matrix(b.column(1))) @ seeds.T
+                    s = unit_rows(matrix(b.column(1), dims)) @ seeds.T
                     place = np.searchsorted(seed_ids, own)
                     is_seed = (place < len(seed_ids)) & (seed_ids[np.minimum(place, len(seed_ids) - 1)] == own)
                     hit = s >= threshold
                     first = np.where(is_seed, place, np.argmax(hit, axis=1))
                     decided = is_seed | hit.any(axis=1)
                     sim = np.where(is_seed, 1.0, s[np.arange(len(own)), np.minimum(first, len(seed_ids) - 1)])
-                    yield pa.record_batch([b.column(0), b.column(1), pa.array(np.where(decided, base + first, -1).astype(np.int32)), pa.array(is_seed), pa.array(sim)], ["vec_id", "vector", "cluster_id", "is_seed", "similarity"])
+                    left = pc.if_else(pa.array(decided), pa.scalar(None, b.column(1).type), b.column(1))
+                    yield pa.record_batch([b.column(0), pa.array(np.where(decided, base + first, -1).astype(np.int32)), pa.array(is_seed), pa.array(sim), left], ["vec_id", "cluster_id", "is_seed", "similarity", "vector"])
 
-        met = written(undecided.mapInArrow(assign, "vec_id long, vector array<float>, cluster_id int, is_seed boolean, similarity double"))
-        done = done.unionByName(met.filter("cluster_id >= 0").select("vec_id", "cluster_id", "is_seed", "similarity"))
+            paths.append(fresh_path(spark))
+            undecided.mapInArrow(assign, kinds).write.parquet(paths[-1])
+            undecided = spark.read.schema(kinds).parquet(paths[-1]).filter("cluster_id < 0").select("vec_id", "vector")
+            count += len(new)
         if cut is None:
-            return done
-        undecided, count = met.filter("cluster_id < 0").select("vec_id", "vector"), count + len(new)
+            if not paths:
+                return spark.createDataFrame([], ASSIGNMENTS)
+            return spark.read.schema(ASSIGNMENTS).parquet(*paths).filter("cluster_id >= 0")
 
 
 def members(df: DataFrame, assignments: DataFrame) -> DataFrame:

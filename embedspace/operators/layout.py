@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,60 +11,141 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from embedspace.operators.clustering import centroids
-from embedspace.operators.similarity import matrix
+from embedspace.operators.similarity import blocks, matrix
+from embedspace.schema import VectorError, written
 
 #: Canvas of the map and of the interactive preset; share of a side left free at each end; least range.
 CANVAS, PRESET_CANVAS, PADDING, LEAST_RANGE = 10_000, 1_000, 0.05, 1e-4
+#: Numbers in a block of a sum that tasks add up.
+BLOCK = 1 << 15
+SUMS = "block long, n long, numbers binary"
+
+
+def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the tasks' sums, added up one after another."""
+    found: dict[int, list] = {}
+    for b in batches:
+        for block, n, numbers in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            own = np.frombuffer(numbers)
+            had = found.setdefault(block, [0, np.zeros(len(own))])
+            if len(had[1]) != len(own):
+                raise VectorError("vectors of unequal length")
+            had[0], had[1] = had[0] + n, had[1] + own
+    yield sum_batch(list(found), [x[0] for x in found.values()], [x[1] for x in found.values()])
+
+
+def sum_batch(places: list[int], n: list[int], numbers: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(places, pa.int64()), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in numbers], pa.binary())], ["block", "n", "numbers"])
+
+
+def in_blocks(total: np.ndarray, n: int) -> pa.RecordBatch:
+    flat = total.reshape(-1)
+    parts = [flat[i : i + BLOCK] for i in range(0, len(flat), BLOCK)]
+    return sum_batch(list(range(len(parts))), [n] * len(parts), parts)
+
+
+def added(parts: DataFrame, ways: int = 64) -> DataFrame:
+    """One row a block: first within groups of tasks, then over these, so that no task adds up all tasks' blocks but for a few."""
+    near = parts.repartition("block", F.pmod(F.spark_partition_id(), F.lit(ways))).mapInArrow(sums, SUMS)
+    return near.repartition("block").mapInArrow(sums, SUMS)
+
+
+def mean_vector(df: DataFrame) -> np.ndarray:
+    """Means of df(vector) by place; empty for no rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = None, 0
+        for b in blocks(batches):
+            x = matrix(b.column(0), None if total is None else len(total))
+            total, n = x.sum(axis=0) + (0 if total is None else total), n + len(x)
+        if n:
+            yield in_blocks(total, n)
+
+    rows = sorted(added(df.select("vector").mapInArrow(run, SUMS)).collect(), key=lambda r: r["block"])
+    if len({r["n"] for r in rows}) > 1:
+        raise VectorError("vectors of unequal length")
+    return np.concatenate([np.frombuffer(bytes(r["numbers"])) / r["n"] for r in rows]) if rows else np.zeros(0)
 
 
 def column_means(df: DataFrame) -> DataFrame:
     """(dim, mean) over all vectors."""
-    return df.select(F.posexplode("vector").alias("dim", "x")).groupBy("dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+    return df.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(mean_vector(df))], "dim int, mean double")
 
 
 def centered(df: DataFrame) -> DataFrame:
-    """df with vector less the means, as doubles; one row of means is broadcast."""
-    mean = column_means(df).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda e: e["mean"]).alias("__m"))
-    return df.crossJoin(F.broadcast(mean)).withColumn("vector", F.zip_with(F.col("vector").cast("array<double>"), "__m", lambda x, m: x - m)).drop("__m")
+    """df with vector less the means, as doubles; the means are sent out."""
+    sent = df.sparkSession.sparkContext.broadcast(mean_vector(df))
+    at = df.columns.index("vector")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches):
+            x = matrix(b.column(at), len(sent.value)) - sent.value
+            own = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, max(1, x.shape[1])), pa.int32()), pa.array(x.reshape(-1)))
+            yield b.set_column(at, "vector", own)
+
+    schema = df.withColumn("vector", F.col("vector").cast("array<double>")).schema
+    return df.mapInArrow(run, schema)
 
 
-def principal_axes(df: DataFrame, k: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Means and the first k axes (as columns) of df(vector). Scatter matrices are summed in every task; d x d numbers reach the driver.
+def principal_axes(df: DataFrame, k: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means, the first k axes (as columns) and their singular values, of df(vector). Scatter matrices are summed in every task and block by block
+    over the tasks; one task solves for the axes, so d x k numbers reach the driver.
 
     Each axis's greatest loading by size is positive. Axes that the data lack are zero.
     """
-    means = {r["dim"]: r["mean"] for r in column_means(df).collect()}
-    mean = np.array([means[i] for i in sorted(means)])
+    mean = mean_vector(df)
     d = len(mean)
     if not d:
-        return mean, np.zeros((0, k))
+        return mean, np.zeros((0, k)), np.zeros(k)
     sent = df.sparkSession.sparkContext.broadcast(mean)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((d, d))
-        for b in batches:
-            x = matrix(b.column(0)) - sent.value
+        total, n = np.zeros((d, d)), 0
+        for b in blocks(batches):
+            x = matrix(b.column(0), d) - sent.value
             total += x.T @ x
-        yield pa.record_batch([pa.array(np.arange(d * d)), pa.array(total.reshape(-1))], ["place", "value"])
-
-    found = df.select("vector").mapInArrow(scatter, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
-    total = np.zeros(d * d)
-    total[found.column("place").to_numpy()] = found.column("value").to_numpy()
-    values, vectors = np.linalg.eigh(total.reshape(d, d))
-    axes = np.zeros((d, k))
-    m = min(k, d)
-    axes[:, :m] = vectors[:, ::-1][:, :m] * (values[::-1][:m] > 0)
+            n += len(x)
+        if n:
+            yield in_blocks(total, n)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(d * d)
+        for b in batches:
+            for block, numbers in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                total[block * BLOCK : block * BLOCK + len(numbers) // 8] = np.frombuffer(numbers)
+        values, vectors = np.linalg.eigh(total.reshape(d, d))
+        m = min(k, d)
+        yield pa.record_batch([pa.array([pickle.dumps((values[::-1][:m].copy(), vectors[:, ::-1][:, :m].copy()))])], ["found"])
+
+    parts = written(added(df.select("vector").mapInArrow(scatter, SUMS)))
+    values, vectors = pickle.loads(bytes(parts.coalesce(1).mapInArrow(solve, "found binary").first()["found"]))
+    axes, sizes = np.zeros((d, k)), np.zeros(k)
+    axes[:, : len(values)], sizes[: len(values)] = vectors * (values > 0), np.sqrt(np.maximum(values, 0))
     big = axes[np.abs(axes).argmax(axis=0), np.arange(k)]
-    return mean, axes * np.where(big < 0, -1, 1)
+    return mean, axes * np.where(big < 0, -1, 1), sizes
+
+
+def singular_values(df: DataFrame, k: int = 2) -> DataFrame:
+    """(axis, singular_value) of the centered vectors, the greatest first."""
+    sizes = principal_axes(df.select("vector"), k)[2]
+    return df.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(sizes)], "axis int, singular_value double")
 
 
 def pca_scores(df: DataFrame, names: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """df with its scores on the first axes, unscaled, instead of the vector. A single row, or rows all equal, score 0."""
-    mean, axes = principal_axes(df, len(names))
-    score = lambda v, a: F.aggregate(F.zip_with(v.cast("array<double>"), F.array(*(F.struct(F.lit(float(m)).alias("m"), F.lit(float(w)).alias("w")) for m, w in zip(mean, a, strict=True))), lambda x, p: (x - p["m"]) * p["w"]), F.lit(0.0), lambda s, x: s + x)
+    mean, axes, _ = principal_axes(df.select("vector"), len(names))
     if not len(mean):
         return df.withColumns({n: F.lit(0.0) for n in names}).drop("vector")
-    return df.withColumns({n: score(F.col("vector"), axes[:, i]) for i, n in enumerate(names)}).drop("vector")
+    sent, rest, at = df.sparkSession.sparkContext.broadcast((mean, axes)), [c for c in df.columns if c != "vector"], df.columns.index("vector")
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean, axes = sent.value
+        for b in blocks(batches):
+            scores = (matrix(b.column(at), len(mean)) - mean) @ axes
+            yield pa.record_batch([*(b.column(c) for c in rest), *(pa.array(scores[:, i].copy()) for i in range(len(names)))], [*rest, *names])
+
+    schema = df.select(*rest, *(F.lit(0.0).cast("double").alias(n) for n in names)).schema
+    return df.mapInArrow(project, schema)
 
 
 def bounds(df: DataFrame) -> DataFrame:
@@ -92,7 +174,7 @@ def positions(df: DataFrame, assignments: DataFrame | None = None, width: float
     if with_centroids and assignments is not None:
         middle = centroids(own, "cluster_id").filter("centroid is not null")
         rows = rows.unionByName(middle.select(F.lit(None).cast("long").alias("vec_id"), "cluster_id", F.lit(True).alias("is_centroid"), F.col("centroid").alias("vector")))
-    return to_canvas(pca_scores(rows), width, height)
+    return to_canvas(written(pca_scores(rows)), width, height)  # read twice, once for the bounds
 
 
 def scatter_summary(placed: DataFrame) -> DataFrame:

@@ -29,8 +29,8 @@ def path_key(path: Column) -> Column:
     return F.substring(F.sha2(F.lower(path), 256), 1, 32)
 
 
-def thumbnail_path(folder: str, path: Column) -> Column:
-    return F.concat(F.lit(folder.rstrip("/") + "/"), path_key(path), F.lit(".jpg"))
+def thumbnail_path(folder: str, path: Column, ending: str = ".jpg") -> Column:
+    return F.concat(F.lit(folder.rstrip("/") + "/"), path_key(path), F.lit(ending))
 
 
 def display_path(thumbnail: Column, path: Column) -> Column:

@@ -6,10 +6,14 @@ E = "e as (select vec_id, label, embedding::double[] v from embeddings)"
 SIM = "list_cosine_similarity({a}, {b})"
 
 
-def clusters(threshold: float) -> str:
+#: The same rows as E, with ids that are mixed over all longs.
+HASHED = "e as (select ((vec_id::hugeint * 11400714819323198485) % 18446744073709551616 - 9223372036854775808)::bigint vec_id, label, embedding::double[] v from embeddings)"
+
+
+def clusters(threshold: float, e: str = E) -> str:
     """CTEs up to assigned(vec_id, cluster_id, is_seed, similarity): seeds one after another, in a recursive state row."""
     return f"""
-{E}, o as (select row_number() over (order by vec_id) i, vec_id, v from e),
+{e}, o as (select row_number() over (order by vec_id) i, vec_id, v from e),
 near as materialized (select b.i, list(a.i order by a.i) before from o a join o b on a.i < b.i and {SIM.format(a="a.v", b="b.v")} >= {threshold} group by b.i),
 walk as (select 0::bigint i, []::bigint[] seeds union all
     select walk.i + 1, case when list_has_any(walk.seeds, coalesce((select before from near where near.i = walk.i + 1), []::bigint[])) then walk.seeds else list_append(walk.seeds, walk.i + 1) end
@@ -21,10 +25,10 @@ assigned as (select o.vec_id, s.cluster_id::int cluster_id, best.i = best.seed i
     from best join o on o.i = best.i join o x on x.i = best.seed join seeds s on s.seed = best.seed)"""
 
 
-def axes(steps: int = 14) -> str:
-    """CTEs up to scores(vec_id, x, y): principal axes by repeated squaring of the scatter matrix, then of what is left of it."""
+def axes(steps: int = 14, rows: str = "e") -> str:
+    """CTEs up to scores(vec_id, x, y) of rows(vec_id, v): principal axes by repeated squaring of the scatter matrix, then of what is left of it."""
     norm = lambda m: f"(select sqrt(sum(v * v)) from {m})"
-    out = f"""{E}, u as (select vec_id, unnest(range(64)) i, unnest(v) v from e), mu as (select i, avg(v) m from u group by i),
+    out = f"""{E + ', ' if rows == 'e' else ''}u as (select vec_id, unnest(range(64)) i, unnest(v) v from {rows}), mu as (select i, avg(v) m from u group by i),
 c as materialized (select vec_id, u.i, v - m v from u join mu using (i)), s0 as materialized (select a.i, b.i j, sum(a.v * b.v) v from c a join c b using (vec_id) group by all)"""
     for k, letter in ((1, "p"), (2, "q")):
         out += f", {letter}0 as materialized (select i, j, v / {norm(f's{k - 1}')} v from s{k - 1})"
@@ -45,6 +49,11 @@ def canvas(source: str, width: float, height: float, cached: bool = False) -> st
 
 
 TWO = "(select vec_id, label, embedding[1]::double x, embedding[2]::double y from embeddings)"
+#: Vectors and centroids of the clusters at 0.3 as rows(vec_id, v): row numbers, of centroids negative ones, and where they are on one map.
+CLUSTER_ROWS = f"""{clusters(0.3)}, w as (select cluster_id, unnest(range(len(v))) dim, unnest(v) x from assigned join e using (vec_id)), m as (select cluster_id, dim, avg(x) x from w group by all),
+rows_ as (select vec_id, v from e union all select -1 - cluster_id, list(x order by dim) from m group by cluster_id), {axes(rows="rows_")},
+placed as (select s.vec_id::bigint vec_id, coalesce(assigned.cluster_id, -1 - s.vec_id)::int cluster_id, s.vec_id < 0 is_centroid, round(px, 4) x, round(py, 4) y
+    from {canvas("scores", 1000, 1000)} s left join assigned using (vec_id))"""
 PATHS = r"p as (select p_partkey, 'C:\Photos\' || p_type || '/' || p_name || ['.JPG', '.jpeg', '.gif', '.png', '.bmp', '.txt', '', '.tar.gz'][p_size % 8 + 1] f from part)"
 
 ORACLES: dict[str, str] = {
@@ -61,6 +70,12 @@ ORACLES: dict[str, str] = {
     "column_means": f"with {E}, u as (select unnest(range(len(v)))::int dim, unnest(v) x from e) select dim, round(avg(x), 6) mean from u group by dim",
     "centered_moments": f"with {E}, u as (select unnest(range(len(v)))::int dim, unnest(v) x from e), m as (select dim, avg(x) m from u group by dim) select dim, round(sum((x - m) * (x - m)), 6) moment from u join m using (dim) group by dim",
     "pca_scores": f"with {axes()} select vec_id, round(x, 6) x, round(y, 6) y from scores",
+    "pca_scores_1d": f"with {axes()} select vec_id, round(x, 6) x from scores",
+    "singular_values": f"with {axes()} select 0::int axis, round(sqrt(l), 6) singular_value from l1 union all select 1::int, round(sqrt(l), 6) from l2",
+    "cluster_positions": f"with recursive {CLUSTER_ROWS} select * from placed",
+    "cluster_map": f"with recursive {CLUSTER_ROWS} select cluster_id, max(x) filter (is_centroid) x, max(y) filter (is_centroid) y, count(*) filter (not is_centroid) image_count from placed group by cluster_id",
+    "leader_clusters_hashed_ids": f"with recursive {clusters(0.3, HASHED)} select vec_id, cluster_id, is_seed, round(similarity, 6) similarity from assigned",
+    "vector_dump": "select vec_id, array_to_string(list_transform(embedding, lambda x: floor(x::double * 1000)::bigint), ' ') line from embeddings",
     "pca_layout": f"with {axes()} select vec_id, 0::int cluster_id, round(px, 6) x, round(py, 6) y from {canvas('scores', 1000, 1000)}",
     "pca_layout_grid": f"with {axes()} select trunc(px)::int x, trunc(py)::int y, count(*) n from {canvas('scores', 80, 20)} group by all",
     "cached_layout": f"select vec_id, round(px, 6) x, round(py, 6) y from {canvas(TWO, 1000, 1000, True)}",
@@ -74,7 +89,7 @@ ORACLES: dict[str, str] = {
     "incremental_scan": "select page_id, url from pages where page_id not in (select item_id from benchmark)",
     "already_seen": "select page_id, url from pages where page_id in (select item_id from benchmark)",
     "store_upsert": "with old as (select * from customer where c_nationkey < 15), new as (select * from customer where c_nationkey >= 10), lo as (select c_nationkey, c_mktsegment, max(c_custkey) c_custkey from old group by all), ln as (select c_nationkey, c_mktsegment, max(c_custkey) c_custkey from new group by all), k as (select * from ln union all select * from lo where (c_nationkey, c_mktsegment) not in (select (c_nationkey, c_mktsegment) from ln)) select c_nationkey, c_mktsegment, c_custkey, c_name from k join customer using (c_nationkey, c_mktsegment, c_custkey)",
-    "unique_violations": "select url, count(*) n from pages group by url having count(*) > 1",
+    "unique_violations": "select user_id, count(*) n from events where event_id % 5 = 0 group by user_id having count(*) > 1",
     "pca_update": "select vec_id, round(case when vec_id % 3 <> 0 then embedding[1]::double else label::double end, 6) pca_x, round(case when vec_id % 3 <> 0 then embedding[2]::double end, 6) pca_y from embeddings",
     "pca_cache_complete": "select * from (values (true, 'all'), ((select count(*) filter (vec_id % 2 = 1) = 0 from embeddings), 'half'), (true, 'none')) t(complete, \"rows\")",
     "point_fetch": "select vec_id, label from embeddings where vec_id = 7",

@@ -108,6 +108,45 @@ def pca_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_all(layout.pca_scores(embeddings(spark, sf_dir).select("vec_id", "vector")), "x", "y")
 
 
+@query
+def pca_scores_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_all(layout.pca_scores(embeddings(spark, sf_dir).select("vec_id", "vector"), ("x",)), "x")
+
+
+@query
+def singular_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two greatest ones of the centered vectors."""
+    return round_all(layout.singular_values(embeddings(spark, sf_dir)), "singular_value")
+
+
+@query
+def cluster_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leader clusters at 0.3 on one map with their centroids, which take part in means and axes; a centroid's vec_id is -1 less its cluster's."""
+    df = embeddings(spark, sf_dir)
+    placed = layout.positions(df, clustering.leader_clusters(df, 0.3), width=layout.PRESET_CANVAS, height=layout.PRESET_CANVAS)
+    return placed.select(F.coalesce("vec_id", -1 - F.col("cluster_id").cast("long")).alias("vec_id"), "cluster_id", "is_centroid", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query
+def cluster_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point for each leader cluster at 0.3, at its centroid's place."""
+    df = embeddings(spark, sf_dir)
+    placed = layout.positions(df, clustering.leader_clusters(df, 0.3), width=layout.PRESET_CANVAS, height=layout.PRESET_CANVAS)
+    return layout.scatter_summary(placed).select("cluster_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "image_count")
+
+
+def hashed_ids(df: DataFrame) -> DataFrame:
+    """vec_id spread over all longs, of both signs, in an order of its own: mixed by an odd factor modulo 2^64."""
+    x = (F.col("vec_id").cast("decimal(38,0)") * F.lit("11400714819323198485").cast("decimal(20,0)")) % F.lit("18446744073709551616").cast("decimal(20,0)")
+    return df.withColumn("vec_id", (x - F.lit("9223372036854775808").cast("decimal(20,0)")).cast("long"))
+
+
+@query
+def leader_clusters_hashed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of both signs, as hashes are, in small batches."""
+    return round_all(clustering.leader_clusters(hashed_ids(embeddings(spark, sf_dir)), 0.3, 64), "similarity")
+
+
 @query
 def pca_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = layout.positions(embeddings(spark, sf_dir), width=layout.PRESET_CANVAS, height=layout.PRESET_CANVAS)
@@ -208,7 +247,8 @@ def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def unique_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.violations(table(spark, sf_dir, "pages"), "url")
+    """Users that have several of the events whose number five divides."""
+    return store.violations(table(spark, sf_dir, "events").filter("event_id % 5 = 0"), "user_id")
 
 
 @query
@@ -229,7 +269,7 @@ def pca_cache_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def point_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddings(spark, sf_dir).filter("vec_id = 7").select("vec_id", "label").limit(1)
+    return store.fetch_key(embeddings(spark, sf_dir), "vec_id", 7).select("vec_id", "label")
 
 
 @query
@@ -253,9 +293,9 @@ def normalized_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def vector_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as text, by how many numbers it has and what they add up to."""
-    parts = F.split(vectors.dump(F.col("vector")), " ")
-    return embeddings(spark, sf_dir).select("vec_id", F.size(parts).alias("numbers"), rounded(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x.cast("double"))).alias("total"))
+    """Vectors as text; numbers in thousandths, as engines differ in how they write other ones."""
+    whole = F.transform("vector", lambda x: F.floor(x.cast("double") * 1000).cast("long"))
+    return embeddings(spark, sf_dir).select("vec_id", vectors.dump(whole).alias("line"))
 
 
 @query

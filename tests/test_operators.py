@@ -1,3 +1,4 @@
+import datetime
 import math
 
 import numpy as np
@@ -6,10 +7,10 @@ from pyspark.sql import functions as F
 
 from embedspace.functions import paths, vectors
 from embedspace.operators import clustering, images, layout, similarity
-from embedspace.schema import VectorError, check_vectors
+from embedspace.schema import VECTORS, VectorError, check_vectors
 from embedspace.sources import files
 from embedspace.sources.store import VectorStore
-from embedspace.streaming.ingest import ingest_folder, ingest_stream, scan_progress, ticks
+from embedspace.streaming.ingest import append_rows, ingest_folder, ingest_stream, refresh_layout, retry_failed, scan_progress, ticks
 
 
 def frame(spark, rows):
@@ -46,7 +47,7 @@ def test_sparsify_ties_signs_and_short_vectors(spark):
 
 
 def test_validation(spark):
-    assert check_vectors(frame(spark, [[1, 2], [3, 4]])) == 2 and check_vectors(frame(spark, [])) == 0
+    assert check_vectors(frame(spark, [[1, 2], [3, 4]])) == (2, 2) and check_vectors(frame(spark, [])) == (0, 0)
     for bad in ([[1, 2], [3]], [[1, float("nan")]]):
         with pytest.raises(VectorError):
             check_vectors(frame(spark, bad))
@@ -54,6 +55,42 @@ def test_validation(spark):
         check_vectors(frame(spark, [[1], [2]]).withColumn("k", F.lit(1)), key="k")
 
 
+@pytest.mark.parametrize("bad", [[[1, 2], [3, 4, 5, 6]], [[1, 2], [float("nan"), 1]], [[1, 2, 3], [4, 5]]], ids=["longer", "nan", "shorter"])
+def test_vectors_that_cannot_be_compared(spark, bad):
+    df = frame(spark, bad)
+    for act in (lambda: clustering.leader_clusters(df, 0.5), lambda: similarity.similar_pairs(df, 0.5)):
+        with pytest.raises(VectorError):
+            act()
+    for act in (lambda: similarity.similarity_to(df, 0).count(), lambda: similarity.sparse_similarity_to(df, 0).count(), lambda: layout.pca_scores(df).count()):
+        with pytest.raises(Exception, match="VectorError"):
+            act()
+
+
+def test_leader_clusters_of_hashed_ids(spark):
+    """Ids of both signs and great distance, in batches that cut points must find."""
+    rows = np.random.default_rng(4).normal(size=(300, 4)).tolist()
+    ids = sorted(np.random.default_rng(5).integers(-(2**63), 2**63 - 1, 298, dtype=np.int64).tolist() + [-(2**63), 2**63 - 1])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in zip(ids, rows, strict=True)], "vec_id long, vector array<float>")
+    for batch in (7, 64):
+        got = clustering.leader_clusters(df, 0.7, batch).orderBy("vec_id").collect()
+        assert [r["cluster_id"] for r in got] == loop(rows, 0.7)
+
+
+def test_search_against_expressions(spark):
+    rows = np.random.default_rng(6).integers(-3, 4, size=(80, 12)).tolist() + [[0] * 12]
+    df = frame(spark, rows)
+    anchor = F.array(*(F.lit(float(x)) for x in rows[0]))
+    dense = {r["vec_id"]: r["s"] for r in df.filter("vec_id > 0").select("vec_id", vectors.cosine(anchor, F.col("vector")).alias("s")).collect()}
+    got = {r["vec_id"]: r["similarity"] for r in similarity.similarity_to(df, 0).collect()}
+    assert got.keys() == dense.keys() and all(math.isclose(got[k], dense[k], abs_tol=1e-12) or math.isnan(got[k]) and math.isnan(dense[k]) for k in got)
+    sparse = {r["vec_id"]: r["s"] for r in df.filter("vec_id > 0").select("vec_id", vectors.sparse_cosine(vectors.sparsify(anchor, 4), vectors.sparsify(F.col("vector"), 4)).alias("s")).collect()}
+    got = {r["vec_id"]: r["similarity"] for r in similarity.sparse_similarity_to(df, 0, 4).collect()}
+    assert got.keys() == sparse.keys() and all(math.isclose(got[k], sparse[k], abs_tol=1e-12) for k in got)
+    entries = sorted((r["vec_id"], r["dim"], r["val"]) for r in similarity.sparse_entries(df, 4).collect())
+    assert entries == sorted((r["vec_id"], d, v) for r in similarity.sparse_vectors(df, 4).collect() for d, v in r["sparse"].items())
+    assert similarity.similarity_to(df, 999).count() == similarity.sparse_similarity_to(df, 999).count() == 0
+
+
 @pytest.mark.parametrize("batch", [1, 3, 2048])
 @pytest.mark.parametrize("rows", [
     [], [[1, 0]], [[0, 0], [1, 0], [0, 0], [2, 0.1]], [[1, 0], [0.8, 0.6], [0.28, 0.96]],
@@ -119,6 +156,9 @@ def test_progress(spark):
     steps = spark.createDataFrame([(1, "a", False, False), (2, "b", True, False), (3, "c", False, True), (4, "d", False, False)], "seq long, current_file string, skipped boolean, failed boolean")
     got = [(r["seq"], r["processed_count"], r["total_count"], r["pct"]) for r in scan_progress(steps, block=2).orderBy("seq").collect()]
     assert got == [(1, 1, 4, 25.0), (4, 3, 4, 75.0)]
+    many = spark.range(1000).select(F.col("id").alias("seq"), F.lit("f").alias("current_file"), (F.col("id") % 3 == 0).alias("skipped"), (F.col("id") % 7 == 0).alias("failed"))
+    whole = [(r["seq"], r["processed_count"]) for r in scan_progress(many).orderBy("seq").collect()]
+    assert whole == [(r["seq"], r["processed_count"]) for r in scan_progress(many, block=4).orderBy("seq").collect()]
     assert ticks(spark).isStreaming
 
 
@@ -152,19 +192,45 @@ def test_listing_and_pixels(spark, folder):
 def test_ingest_and_store(spark, folder, tmp_path):
     store = VectorStore(spark, f"file://{tmp_path}/store")
     assert store.read().count() == 0 and store.complete()
-    first = {r["error"] is None for r in ingest_folder(spark, str(folder), store, images.pooled_vectorizer()).collect()}
-    assert first == {True, False} and store.read().filter('file_size > 0').count() == 3 and check_vectors(store.read(), key="file_path") == 48
-    again = ingest_folder(spark, str(folder), store, images.pooled_vectorizer())
+    first = {r["error"] is None for r in ingest_folder(spark, str(folder), store, images.pooled_vectorizer(), files_per_batch=2).collect()}
+    assert first == {True, False} and store.read().filter("file_size > 0").count() == 3 and check_vectors(store.read(), key="file_path") == (3, 48)
+    assert sorted(r[0] for r in store.read().select("vec_id").collect()) == [0, 1, 2]
+    shown = store.read().join(store.thumbnails(), F.col("thumbnail_path").contains(F.col("key")))
+    assert shown.count() == 3 and all(r["content"][1:4] == b"PNG" for r in shown.collect())
+    assert [r["error"] for r in store.failures().collect()] == ["the image can't be decoded"]
+    again = ingest_folder(spark, str(folder), store, images.pooled_vectorizer(), layout=True)
     assert again.count() == 1  # only the one that failed
+    assert store.complete() and not refresh_layout(store)
     rows = store.read()
     path = rows.first()["file_path"]
-    assert store.exists(path) and not store.exists("nothing") and store.fetch(path).count() == 1 and not store.complete()
-    store.save_layout(layout.positions(rows, width=1000, height=1000).join(rows.select("vec_id", "file_path"), "vec_id"))
-    assert store.complete()
+    assert store.exists(path) and not store.exists("nothing") and store.fetch(path).count() == 1
     store.save(rows.limit(1).withColumns({"file_size": F.lit(5).cast("long"), "file_path": F.lit(path)}))
     assert store.read().count() == 3 and store.fetch(path).first()["file_size"] == 5
+    (folder / "bad.jpg").write_bytes(images.png(np.full((8, 8, 3), 7)))
+    assert [r["error"] for r in retry_failed(store, images.pooled_vectorizer()).collect()] == [None]
+    assert store.failures().count() == 0 and store.read().count() == 4 and store.read().agg(F.max("vec_id")).first()[0] == 3 and not store.complete()
+    (tmp_path / "store" / "other.txt").write_text("stays")
     store.clear()
-    assert store.read().count() == 0 and (folder / "a.png").exists()
+    assert store.read().count() == store.thumbnails().count() == store.failures().count() == 0 and (folder / "a.png").exists()
+    assert [p.name for p in (tmp_path / "store").iterdir() if not p.name.startswith(".")] == ["other.txt"]
+
+
+def test_store_commits(spark, tmp_path):
+    """Saves write only what they bring; the later commit wins; compaction leaves the same rows and fewer folders."""
+    store = VectorStore(spark, f"file://{tmp_path}/store")
+    row = lambda i, size: (i, f"p{i}", [1.0, float(i)], "embedding", datetime.datetime(2024, 1, 1), size, None, None, None)
+    expected, store.MOST_DELTAS = {}, 4
+    rng = np.random.default_rng(0)
+    for k in range(11):
+        some = {int(i): k for i in rng.choice(30, 6, replace=False)}
+        expected |= some
+        store.save(spark.createDataFrame([row(i, s) for i, s in some.items()], VECTORS))
+        assert {r["vec_id"]: r["file_size"] for r in store.read().collect()} == expected
+    assert len([p for p in (tmp_path / "store").iterdir() if p.name.startswith("v")]) <= 10
+    kept = store.read()
+    store.compact()
+    assert {r["vec_id"]: r["file_size"] for r in kept.collect()} == expected  # who reads the last commits still can
+    assert store.next_id() == max(expected) + 1
 
 
 def test_ingest_stream(spark, folder, tmp_path):
@@ -173,3 +239,13 @@ def test_ingest_stream(spark, folder, tmp_path):
         query = ingest_stream(spark, str(folder), store, images.pooled_vectorizer(), f"{tmp_path}/checkpoint", files_per_batch=2, on_progress=lambda *x: seen.append(x))
         query.awaitTermination(120)
     assert store.read().count() == 3 and sum(s[1] for s in seen) == 3 and sum(s[2] for s in seen) == 1
+    assert store.failures().count() == 1 and store.thumbnails().count() == 3
+
+
+def test_timer_appends_rows(spark, tmp_path):
+    query = append_rows(spark, f"{tmp_path}/rows", f"{tmp_path}/checkpoint", 5, 0.5)
+    try:
+        query.awaitTermination(4)
+    finally:
+        query.stop()
+    assert spark.read.schema("timestamp timestamp, value long").parquet(f"{tmp_path}/rows").count() > 0

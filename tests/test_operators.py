@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from embedspace.functions import paths, vectors
-from embedspace.operators import clustering, images, layout, similarity
+from embedspace.operators import clustering, images, layout, models, similarity
 from embedspace.schema import VECTORS, VectorError, check_vectors
 from embedspace.sources import files
 from embedspace.sources.store import VectorStore
@@ -189,6 +189,33 @@ def test_listing_and_pixels(spark, folder):
     assert thumbs.count() == 3 and images.thumbnails(files.decode_images(spark, str(folder)), thumbs).count() == 0
 
 
+def tiny_model():
+    """data [n, 3, 224, 224] to means by channel (the embedding's node) to a flat list (the logits' node), written field by field."""
+    f = models.field
+    shape = lambda *dims: b"".join(f(1, f(2, d) if isinstance(d, str) else f(1, d)) for d in dims)
+    value = lambda name, *dims: f(1, name) + f(2, f(1, f(1, 1) + f(2, shape(*dims))))
+    node = lambda source, to, kind: f(1, f(1, source) + f(2, to) + f(4, kind))
+    graph = node(images.INPUT_NODE, images.EMBEDDING_NODE, "GlobalAveragePool") + node(images.EMBEDDING_NODE, "flat", "Flatten") + node("flat", images.LOGIT_NODE, "Neg")
+    graph += f(2, "tiny") + f(11, value(images.INPUT_NODE, "n", 3, 224, 224)) + f(12, value(images.LOGIT_NODE, "n", 3))
+    return f(1, 8) + f(8, f(1, "") + f(2, 13)) + f(7, graph)
+
+
+def test_models_and_cut_models(spark, folder, tmp_path):
+    """A whole run of the model's own maker: logits of the model as it is, embeddings after it is cut."""
+    pytest.importorskip("onnxruntime")
+    (tmp_path / "whole.onnx").write_bytes(tiny_model())
+    (tmp_path / "cut.onnx").write_bytes(models.cut_model(tiny_model()))
+    pictures = files.decode_images(spark, str(folder)).filter("height > 0")
+    logits, embeddings = ({r["file_path"]: r["vector"] for r in images.vectorize(pictures, images.onnx_vectorizer(f"{tmp_path}/{n}.onnx", k)).collect()} for n, k in (("whole", "logit"), ("cut", "embedding")))
+    expected = {r["file_path"]: images.tensor(r["bgr"], r["height"], r["width"], r["channels"]).mean(axis=(1, 2)) for r in pictures.collect()}
+    assert len(expected) == 3 and logits.keys() == embeddings.keys() == expected.keys()
+    assert all(np.allclose(embeddings[k], v, atol=1e-5) and np.allclose(logits[k], -v, atol=1e-5) for k, v in expected.items())
+    with pytest.raises(ValueError, match="no node"):
+        models.cut_model(tiny_model(), "nothing")
+    with pytest.raises(ValueError):
+        models.cut_model(tiny_model()[:-5])
+
+
 def test_ingest_and_store(spark, folder, tmp_path):
     store = VectorStore(spark, f"file://{tmp_path}/store")
     assert store.read().count() == 0 and store.complete()

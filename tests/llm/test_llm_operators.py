@@ -668,6 +668,57 @@ def test_fingerprints_of_many_texts():
         assert sh.fingerprint(text.encode()) == fingerprint(text)
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, name):
+    """The registered queries on whole tables against their SQL."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    expected = con.execute(queries.ORACLES[name])
+    names = [d[0] for d in expected.description]
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert sorted(got.columns) == sorted(names)
+    same(got, names, expected.fetchall())
+
+
+def test_stages_on_messy_rows(spark, empty):
+    """The texts that the stages of lines and passages return, row by row, on nulls, empty and long texts and repeated rows."""
+    rows = [*MESSY, *((100 + i, f"footer line\nown {i}", "en", f"s{i}") for i in range(8))]
+    rows = [(*r, "en", "s0")[:4] if len(r) == 2 else r for r in rows]
+    docs = documents(spark, rows, extra=True)
+    digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    cut = line_dedup.line_dedup(docs)
+    assert cut.columns == docs.columns
+    assert Counter((r["doc_id"], digest(r["text"])) for r in cut.collect()) == Counter((d, h) for d, _, _, h in lines(rows, 6))
+    kept = substring_dedup.substring_dedup(docs)
+    assert kept.columns == docs.columns and kept.filter("n_chars <> length(text)").count() == 0
+    assert Counter((r["doc_id"], digest(" ".join(words(r["text"])))) for r in kept.collect()) == Counter((d, h) for d, _, _, h in substring(rows))
+    assert kept.filter("text is null").count() == 1 and cut.filter("text is null").count() == 1
+    for stage in (quality_rules.quality_filter, line_dedup.line_dedup, sw.keep_representatives, substring_dedup.substring_dedup):
+        assert stage(empty).count() == 0 and stage(empty).columns == empty.columns
+
+
+def test_cut_lines_of_a_long_text(spark):
+    """A hundred thousand lines of which half go: linear, not one search for each line."""
+    n = 100_000
+    got = spark.range(1).select(line_dedup.cut_lines(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i.cast("string")), "\n"), F.sequence(F.lit(0), F.lit(n - 1), F.lit(2))).alias("t")).first()["t"]
+    assert got.split("\n") == [str(i) for i in range(1, n, 2)]
+
+
+def test_toxicity_cross_validation(spark):
+    """Folds of training rows alone: labels of held-out rows change nothing."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice([f"w{k}" for k in range(40)]) for _ in range(30)) + (" vile scum" if i % 4 == 0 else "")) for i in range(400)]
+    marks = [(i, 1, int(i % 4 == 0)) for i in range(400)]
+    held = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 4 == 2 else t) for i, q, t in marks]
+    configs = [toxicity.ToxicityConfig(), toxicity.ToxicityConfig(least_z=50.0)]
+    good, bad = toxicity.cross_validate(documents(spark, rows), labels(spark, marks), configs, 2)
+    assert good["recall"] > 0.95 and good["precision"] > 0.95 and good["loss"] < bad["loss"]
+    assert toxicity.cross_validate(documents(spark, rows), labels(spark, held), configs[:1], 2) == [good]
+
+
 def test_names():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)] and set(queries.ORACLES) <= set(queries.QUERIES)
     assert SENTENCE

@@ -52,11 +52,11 @@ class LmConfig:
     least_words: int = 1024
     most_words: int = 16_384
     groups: int = 64
-    dims: int = 32
+    dims: int = 24
     #: Noise draws for a batch, at each level.
-    noise: int = 64
+    noise: int = 24
     batch: int = 4096
-    rounds: int = 2
+    rounds: int = 1
     rate: float = 0.05
     seed: int = 1
 
@@ -91,22 +91,37 @@ def group_of(word: bytes, config: LmConfig) -> int:
     return zlib.crc32(word.decode()[-2:].encode()) % config.groups
 
 
-class ClassIds(dict):
-    """Classes of words, remembered with a bound."""
+@dataclass
+class Words:
+    """What is sent out about words: frequent ones by number, with their class and log10(count + 1); the classes of groups, and the end's."""
+
+    numbers: dict[bytes, int]
+    classes: np.ndarray
+    logs: np.ndarray
+    groups: np.ndarray
+    end: int
+    config: LmConfig
+
 
-    def __init__(self, own: dict[bytes, int], shared: list[int], config: LmConfig):
-        super().__init__(own)
-        self.own, self.shared, self.config = own, shared, config
+class WordNumbers(dict):
+    """Numbers of frequent words, and -1 less its class for any other word; the latter are remembered with a bound."""
+
+    def __init__(self, words: Words):
+        super().__init__(words.numbers)
+        self.words, self.most = words, len(words.numbers) + 300_000
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > self.most:
             self.clear()
-            self.update(self.own)
-        self[word] = c = self.shared[group_of(word, self.config)]
+            self.update(self.words.numbers)
+        self[word] = c = -1 - int(self.words.groups[group_of(word, self.words.config)])
         return c
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.array([self[w] for w in words], dtype=np.int64)
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def classes(self, numbers: np.ndarray) -> np.ndarray:
+        return np.where(numbers >= 0, self.words.classes[numbers], -1 - numbers) if len(self.words.classes) else -1 - numbers
 
 
 def contexts(classes: np.ndarray, end: int) -> np.ndarray:
@@ -130,7 +145,7 @@ class LogBilinear:
         """From the classes' counts, in descending order."""
         share = (counts + 1.0) / (counts.sum() + len(counts))
         weight = np.cumsum(np.sqrt(share))
-        wanted = max(1, round(len(counts) ** 0.5))
+        wanted = max(1, round(len(counts) ** 0.5 / 2))
         part = np.minimum((weight / weight[-1] * wanted).astype(int), wanted - 1)
         bounds = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(counts)]))
         rng, d, k, c = np.random.default_rng(config.seed), config.dims, len(counts), len(bounds) - 1
@@ -175,42 +190,45 @@ class Trainer:
         self.model, self.config, self.rng = model, config, np.random.default_rng(seed)
         self.parts = {n: p.copy() for n, p in model.parts.items()}
         self.seen = {n: np.full_like(p, 1e-8) for n, p in model.parts.items()}
-        bounds = model.bounds
-        self.whole = np.add.reduceat(model.share, bounds[:-1])
-        self.within = model.share / np.repeat(self.whole, np.diff(bounds))
-        self.sums = np.cumsum(model.share)
+        bounds, k = model.bounds, np.float32(np.log(config.noise))
+        whole = np.add.reduceat(model.share, bounds[:-1])
+        within = model.share / np.repeat(whole, np.diff(bounds))
+        #: For each level: running sums of the noise's shares, and log odds of a draw of noise.
+        self.edges = {"u": np.cumsum(whole), "q": np.cumsum(model.share)}
+        self.odds = {"u": np.log(whole).astype(np.float32) + k, "q": np.log(within).astype(np.float32) + k}
 
     def move(self, name: str, rows: np.ndarray | slice, slope: np.ndarray) -> None:
         """A step for rows that are all different."""
-        self.seen[name][rows] += slope * slope
-        self.parts[name][rows] -= self.config.rate * slope / np.sqrt(self.seen[name][rows])
-
-    def contrast(self, h: np.ndarray, at: np.ndarray, vectors: str, biases: str, low: int, high: int, share: np.ndarray, scale: float) -> np.ndarray:
-        """One level: targets `at` among low to high, ascending, against noise drawn by share. Moves vectors and biases; returns the slope by h."""
-        k = self.config.noise
-        edges = np.cumsum(share)
-        noise = low + np.minimum(np.searchsorted(edges, self.rng.random(k) * edges[-1], "right"), high - low - 1)
-        v, b, odds = self.parts[vectors], self.parts[biases], np.log(k * share / edges[-1]).astype(np.float32)
-        data = np.einsum("ij,ij->i", h, v[at]) + b[at] - odds[at - low]
-        fake = h @ v[noise].T + (b[noise] - odds[noise - low])
-        wrong = -1 / (1 + np.exp(np.clip(data, -30, 30)))  # probability of data, less one
-        fooled = 1 / (1 + np.exp(-np.clip(fake, -30, 30)))
-        slope = wrong[:, None] * v[at] + fooled @ v[noise]
-        rows, first = np.unique(at, return_index=True)
-        gv, gb = np.add.reduceat(wrong[:, None] * h, first, axis=0), np.add.reduceat(wrong, first)
-        drawn, which = np.unique(noise, return_inverse=True)
-        nv, nb = np.zeros((len(drawn), h.shape[1]), np.float32), np.zeros(len(drawn), np.float32)
-        np.add.at(nv, which, fooled.T @ h)
-        np.add.at(nb, which, fooled.sum(axis=0))
-        both = np.union1d(rows, drawn)
-        sv, sb = np.zeros((len(both), h.shape[1]), np.float32), np.zeros(len(both), np.float32)
-        for r, x, y in ((rows, gv, gb), (drawn, nv, nb)):
-            place = np.searchsorted(both, r)
-            sv[place] += x
-            sb[place] += y
-        self.move(vectors, both, sv * scale)
-        self.move(biases, both, sb * scale)
-        return slope
+        seen = self.seen[name][rows] + slope * slope
+        self.seen[name][rows] = seen
+        self.parts[name][rows] -= self.config.rate * slope / np.sqrt(seen)
+
+    def contrast(self, h: np.ndarray, at: np.ndarray, vectors: str, biases: str, low: int, high: int, scale: np.float32) -> np.ndarray:
+        """One level: targets `at` among low to high, ascending, against noise drawn by frequency. Moves vectors and biases; returns the slope by h."""
+        v, b, odds, edges = self.parts[vectors], self.parts[biases], self.odds[vectors], self.edges[vectors]
+        least = edges[low - 1] if low else 0.0
+        noise = np.searchsorted(edges, least + self.rng.random(self.config.noise) * (edges[high - 1] - least), "right")
+        noise = np.minimum(np.maximum(noise, low), high - 1)
+        offset, own, drawn = b - odds if high - low == len(b) else None, v[at], v[noise]
+        data = np.einsum("ij,ij->i", h, own) + (offset[at] if offset is not None else b[at] - odds[at])
+        fake = h @ drawn.T
+        fake += offset[noise] if offset is not None else b[noise] - odds[noise]
+        wrong = -1 / (1 + np.exp(np.minimum(data, 30)))  # probability of data, less one
+        np.negative(fake, out=fake)
+        np.exp(np.minimum(fake, 30, out=fake), out=fake)
+        fake += 1
+        fooled = np.divide(1, fake, out=fake)
+        own *= wrong[:, None]
+        own += fooled @ drawn
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        sv, sb = np.zeros((high - low, h.shape[1]), np.float32), np.zeros(high - low, np.float32)
+        sv[at[first] - low], sb[at[first] - low] = np.add.reduceat(wrong[:, None] * h, first, axis=0), np.add.reduceat(wrong, first)
+        np.add.at(sv, noise - low, fooled.T @ h)
+        np.add.at(sb, noise - low, fooled.sum(axis=0))
+        touched = slice(low, high)
+        self.move(vectors, touched, sv * scale)
+        self.move(biases, touched, sb * scale)
+        return own
 
     def step(self, before: np.ndarray, after: np.ndarray) -> None:
         order = np.argsort(after, kind="stable")
@@ -219,33 +237,34 @@ class Trainer:
         own = np.searchsorted(bounds, after, "right") - 1
         rows = [p["r"][before[:, i]] for i in range(CONTEXT)]
         h = sum(x @ m for x, m in zip(rows, p["c"], strict=True))
-        slope = self.contrast(h, own, "u", "a", 0, len(bounds) - 1, self.whole, scale)
+        slope = self.contrast(h, own, "u", "a", 0, len(bounds) - 1, scale)
         cuts = np.searchsorted(own, np.arange(len(bounds)))
         for c in np.flatnonzero(np.diff(cuts)).tolist():
             low, high, part = int(bounds[c]), int(bounds[c + 1]), slice(cuts[c], cuts[c + 1])
             if high - low > 1:
-                slope[part] += self.contrast(h[part], after[part], "q", "b", low, high, self.within[low:high], scale)
+                slope[part] += self.contrast(h[part], after[part], "q", "b", low, high, scale)
         slope *= scale
         at = before.T.reshape(-1)
         by_row = np.concatenate([slope @ m.T for m in p["c"]])
         self.move("c", slice(None), np.stack([x.T @ slope for x in rows]))
         turn = np.argsort(at, kind="stable")
-        found, first = np.unique(at[turn], return_index=True)
-        self.move("r", found, np.add.reduceat(by_row[turn], first, axis=0))
+        at = at[turn]
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        self.move("r", at[first], np.add.reduceat(by_row[turn], first, axis=0))
 
 
 #: Numbers in a block of parameters.
 BLOCK = 1 << 14
 
 
-def train_round(training: DataFrame, model: LogBilinear, ids: tuple[dict[bytes, int], list[int], int], config: LmConfig, number: int) -> LogBilinear:
+def train_round(training: DataFrame, model: LogBilinear, words: Words, config: LmConfig, number: int) -> LogBilinear:
     """The mean of what the tasks make of the model, each on all tokens of its texts(text), weighted by tokens."""
-    sent = training.sparkSession.sparkContext.broadcast((model, ids))
+    sent = training.sparkSession.sparkContext.broadcast((model, words))
     names = sorted(model.parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, (own, shared, end) = sent.value
-        known, trainer = ClassIds(own, shared, config), Trainer(start, config, [config.seed, number, TaskContext.get().partitionId()])
+        start, words = sent.value
+        known, trainer = WordNumbers(words), Trainer(start, config, [config.seed, number, TaskContext.get().partitionId()])
         before, after, held, seen = [], [], 0, 0
 
         def work(least: int) -> None:
@@ -261,8 +280,8 @@ def train_round(training: DataFrame, model: LogBilinear, ids: tuple[dict[bytes,
 
         for b in batches:
             for text in raw(b.column(0)):
-                classes = known.of(tokens(text))
-                before.append(contexts(classes, end).astype(np.int32))
+                classes = known.classes(known.of(tokens(text)))
+                before.append(contexts(classes, words.end).astype(np.int32))
                 after.append(classes.astype(np.int32))
                 held += len(classes)
                 work(16 * config.batch)
@@ -315,19 +334,25 @@ def lm_scores(docs: DataFrame, config: LmConfig | None = None) -> DataFrame:
     counts = np.array([*(frequent.get(w, 0) for w in singles), *left[:, 0]], dtype=float)
     rank = np.argsort(-counts, kind="stable")
     place = np.argsort(rank, kind="stable")
-    classes = ({w: int(place[i]) for i, w in enumerate(singles)}, place[len(singles) :].tolist(), int(place[0]))
+    names = list(frequent)
+    own_place = {w: int(place[i]) for i, w in enumerate(singles)}
+    groups = place[len(singles) :]
+    known_classes = np.array([own_place[w] if w in own_place else groups[group_of(w, config)] for w in names], np.int64)
+    words = Words({w: i for i, w in enumerate(names)}, known_classes, np.log10(np.array([frequent[w] for w in names], float) + 1), groups, int(place[0]), config)
+    if END not in frequent:  # so rare an end, or no training text: it still has its class
+        words.numbers[END] = -1 - words.end
     model = LogBilinear.start(counts[rank], config)
     for number in range(config.rounds):
-        model = train_round(training, model, classes, config, number)
+        model = train_round(training, model, words, config, number)
     room = np.zeros(len(counts))
-    room[classes[1]] = np.log10(left.sum(axis=1) + 1.0)  # add-one counts of a group's words and of one never seen
-    sent = spark.sparkContext.broadcast((classes, {w: float(np.log10(c + 1)) for w, c in frequent.items()}, model, room))
+    room[groups] = np.log10(left.sum(axis=1) + 1.0)  # add-one counts of a group's words and of one never seen
+    sent = spark.sparkContext.broadcast((words, model, room))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (own_class, groups, end), log_c, model, room = sent.value
-        ids, nth = ClassIds(own_class, groups, config), TaskContext.get().partitionId() << 33
-        grouped_class = np.zeros(len(room), bool)
-        grouped_class[groups] = True
+        words, model, room = sent.value
+        known, nth = WordNumbers(words), TaskContext.get().partitionId() << 33
+        shared = np.zeros(len(room), bool)
+        shared[words.groups] = True
         names = ["doc_id", "held_out", "row", "n_tokens", "n_frequent", "base", "model", "words", "counts"]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64()))
         for b in batches:
@@ -335,15 +360,15 @@ def lm_scores(docs: DataFrame, config: LmConfig | None = None) -> DataFrame:
             while at < len(texts):
                 rows, before, after, size, first = [], [], [], 0, at
                 while at < len(texts) and (not rows or size < 1 << 18):
-                    words = tokens(texts[at])
-                    own = ids.of(words)
-                    known = np.array([log_c.get(w, -1.0) for w in words])
-                    rare = Counter(w for w, x in zip(words, known.tolist(), strict=True) if x < 0)
-                    common, grouped = np.maximum(known, 0), grouped_class[own]
-                    rows.append([nth, len(words), len(words) - sum(rare.values()), float(common.sum()) - len(words) * np.log10(n_all + v_all + 1), float(common[grouped].sum()) - float(room[own].sum()), [w.decode() for w in rare], list(rare.values())])
-                    before.append(contexts(own, end))
+                    text = tokens(texts[at])
+                    numbers = known.of(text)
+                    own, often = known.classes(numbers), numbers >= 0
+                    rare = Counter(text[i] for i in np.flatnonzero(~often).tolist())
+                    logs = words.logs[numbers[often]]
+                    rows.append([nth, len(text), int(often.sum()), float(logs.sum()) - len(text) * np.log10(n_all + v_all + 1), float(logs[shared[own[often]]].sum()) - float(room[own].sum()), [w.decode() for w in rare], list(rare.values())])
+                    before.append(contexts(own, words.end))
                     after.append(own)
-                    size, nth, at = size + len(words), nth + 1, at + 1
+                    size, nth, at = size + len(text), nth + 1, at + 1
                 found = model.log_probabilities(np.concatenate(before), np.concatenate(after)) / np.log(10)
                 for r, x in zip(rows, np.add.reduceat(found, np.cumsum([0, *(len(a) for a in after[:-1])])).tolist(), strict=True):
                     r[4] += x

@@ -2,7 +2,8 @@
 
 A window is 50 consecutive words of a document. A word goes when a window that covers it also
 starts in a document with a smaller doc_id. Windows are told apart by Rabin-Karp hashes of every
-position (polynomials over 64-bit word hashes, modulo 2^64, mixed at the end).
+position (polynomials over 64-bit word hashes, modulo 2^64, mixed at the end), of two factors: 64 bits of
+one and 32 of the other.
 
 To shuffle few of them, equal documents are one class first, and then windows are anchored: a
 window's anchor is the least of the Rabin-Karp hashes of its ten-word parts. Equal windows have
@@ -11,12 +12,12 @@ twenty or so words. Only windows whose anchor occurs in several documents can re
 of all of those are counted in Spark. Nothing is lost by this: it skips only windows that are
 certain to be in one document alone. Repeated windows merge into maximal removal intervals.
 
-Hashes are 64 bits: a window is taken for another with a chance of the number of distinct windows
-in 2^64.
+Two distinct windows are taken for each other with a chance of one in 2^96: among 10^13 of them, of one
+in a thousand that it happens at all.
 
 Edge cases: null text counts as empty. A document with a null doc_id neither loses words nor makes
 others lose any. Rows that share a doc_id do not make each other lose words. Repeated rows are
-treated alike. An empty table gives an empty result. Other columns are ignored or passed on,
+treated alike. Very long texts are hashed whole, with some tens of bytes a word in memory. An empty table gives an empty result. Other columns are ignored or passed on,
 whatever their names.
 """
 
@@ -36,9 +37,8 @@ from embedspace.llm.common import map_arrow, materialize, raw, replace_texts, te
 
 WINDOW = 50
 ANCHOR = 10
-#: An odd factor, and its inverse modulo 2^64.
-FACTOR = 0x9E3779B97F4A7C15
-INVERSE = pow(FACTOR, -1, 1 << 64)
+#: Odd factors of the two hashes.
+FACTOR, SECOND = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 NOTHING = hashlib.sha256(b"").digest()
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -62,14 +62,14 @@ class WordHashes(dict):
         return np.array([self[w] for w in words], dtype=np.uint64)
 
 
-def rolling(hashes: np.ndarray, length: int) -> np.ndarray:
-    """Rabin-Karp hash of every `length` values in a row: sums of h[i + j] * FACTOR^j."""
+def rolling(hashes: np.ndarray, length: int, factor: int = FACTOR) -> np.ndarray:
+    """Rabin-Karp hash of every `length` values in a row: sums of h[i + j] * factor^j."""
     n = len(hashes)
     if n < length:
         return np.empty(0, np.uint64)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * powers(FACTOR, n), out=sums[1:])
-    out = (sums[length:] - sums[:-length]) * powers(INVERSE, n - length + 1)
+    np.cumsum(hashes * powers(factor, n), out=sums[1:])
+    out = (sums[length:] - sums[:-length]) * powers(pow(factor, -1, 1 << 64), n - length + 1)
     out ^= out >> np.uint64(32)
     out *= np.uint64(0xD6E8FEB86659FD93)
     return out ^ (out >> np.uint64(32))
@@ -114,14 +114,14 @@ def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, th, text, anchors) to (doc_id, th, place, h) of the windows with one of these anchors."""
+    """(doc_id, th, text, anchors) to (doc_id, th, place, h, g) of the windows with one of these anchors; h and g are two hashes."""
     known = WordHashes()
     for b in batches:
         for doc_id, th, text, anchors in zip(b.column("doc_id").to_pylist(), b.column("th").to_pylist(), raw(b.column("text")), b.column("anchors"), strict=True):
             hashes = known.of(text.split())
             places = np.flatnonzero(np.isin(signed(anchors_of(hashes)), anchors.values.to_numpy(zero_copy_only=False)))
             n = len(places)
-            yield pa.record_batch([pa.array(np.full(n, doc_id, np.int64)), pa.array(np.full(n, th, np.int64)), pa.array(places.astype(np.int32)), pa.array(signed(rolling(hashes, WINDOW))[places])], ["doc_id", "th", "place", "h"])
+            yield pa.record_batch([pa.array(np.full(n, doc_id, np.int64)), pa.array(np.full(n, th, np.int64)), pa.array(places.astype(np.int32)), pa.array(signed(rolling(hashes, WINDOW))[places]), pa.array((rolling(hashes, WINDOW, SECOND)[places] >> np.uint64(32)).astype(np.uint32).view(np.int32))], ["doc_id", "th", "place", "h", "g"])
 
 
 def intervals(places: np.ndarray) -> list[tuple[int, int]]:
@@ -159,9 +159,9 @@ def analyse(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     suspects = materialize(single.join(shared, single["anchor"] == shared["__a"]).groupBy("doc_id", "th").agg(F.collect_set("anchor").alias("anchors")))
     suspects = suspects.select(F.col("doc_id").alias("__i"), F.col("th").alias("__t"), "anchors")
     texts = materialize(own.join(suspects, F.expr("doc_id = __i and th = __t")).select("doc_id", "th", "text", "anchors"))
-    found = materialize(map_arrow(texts, windows, "doc_id long, th long, place int, h long"))
-    repeated = materialize(found.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id").select(F.col("h").alias("__h"), "first_id"))
-    places = found.join(repeated, found["h"] == repeated["__h"]).filter("doc_id > first_id").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    found = materialize(map_arrow(texts, windows, "doc_id long, th long, place int, h long, g int"))
+    repeated = materialize(found.groupBy("h", "g").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id").select(F.col("h").alias("__h"), F.col("g").alias("__g"), "first_id"))
+    places = found.join(repeated, F.expr("h = __h and g = __g")).filter("doc_id > first_id").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("place")).alias("places"))
     places = places.select(F.col("doc_id").alias("__i"), F.col("th").alias("__t"), "places")
     lost = texts.select("doc_id", "th", "text").dropDuplicates(["doc_id", "th"]).join(places, F.expr("doc_id = __i and th = __t")).select("doc_id", "th", "text", "places")
     return rows.drop("anchors"), map_arrow(lost, cut_out, "doc_id long, th long, gone long, sha binary, new_text string")

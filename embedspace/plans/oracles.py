@@ -89,6 +89,7 @@ ORACLES: dict[str, str] = {
     "incremental_scan": "select page_id, url from pages where page_id not in (select item_id from benchmark)",
     "already_seen": "select page_id, url from pages where page_id in (select item_id from benchmark)",
     "store_upsert": "with old as (select * from customer where c_nationkey < 15), new as (select * from customer where c_nationkey >= 10), lo as (select c_nationkey, c_mktsegment, max(c_custkey) c_custkey from old group by all), ln as (select c_nationkey, c_mktsegment, max(c_custkey) c_custkey from new group by all), k as (select * from ln union all select * from lo where (c_nationkey, c_mktsegment) not in (select (c_nationkey, c_mktsegment) from ln)) select c_nationkey, c_mktsegment, c_custkey, c_name from k join customer using (c_nationkey, c_mktsegment, c_custkey)",
+    "store_round_trip": "select vec_id, 'p' || vec_id file_path, case when vec_id % 7 = 0 then -1 when vec_id % 3 = 0 then vec_id else 0 end::bigint file_size, len(embedding)::int dims, round(case when vec_id % 2 = 0 and vec_id % 7 <> 0 then embedding[1]::double else 9.0::double end, 6) pca_x, not (vec_id % 2 = 0 and vec_id % 7 <> 0) unplaced from embeddings",
     "unique_violations": "select user_id, count(*) n from events where event_id % 5 = 0 group by user_id having count(*) > 1",
     "pca_update": "select vec_id, round(case when vec_id % 3 <> 0 then embedding[1]::double else label::double end, 6) pca_x, round(case when vec_id % 3 <> 0 then embedding[2]::double end, 6) pca_y from embeddings",
     "pca_cache_complete": "select * from (values (true, 'all'), ((select count(*) filter (vec_id % 2 = 1) = 0 from embeddings), 'half'), (true, 'none')) t(complete, \"rows\")",

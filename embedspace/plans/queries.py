@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from embedspace.functions import paths, vectors
 from embedspace.operators import clustering, images, layout, similarity
+from embedspace.schema import fresh_path
 from embedspace.sources import files, store
 from embedspace.streaming.ingest import scan_progress
 
@@ -245,6 +246,20 @@ def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upsert(store.last_by_key(old, keys, "c_custkey"), new, keys, "c_custkey")
 
 
+@query
+def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store that is saved, saved again in part, given places in part, and read back."""
+    df = embeddings(spark, sf_dir)
+    null = lambda kind: F.lit(None).cast(kind)
+    rows = df.select("vec_id", F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("file_path"), "vector", F.lit("embedding").alias("vector_type"), F.current_timestamp().alias("processed_at"), F.lit(0).cast("long").alias("file_size"), null("string").alias("thumbnail_path"), null("float").alias("pca_x"), null("float").alias("pca_y"))
+    kept = store.VectorStore(spark, fresh_path(spark))
+    kept.save(rows)
+    kept.save(rows.filter("vec_id % 3 = 0").withColumn("file_size", F.col("vec_id")))
+    kept.save_layout(first_two(spark, sf_dir).filter("vec_id % 2 = 0").select(F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("file_path"), "x", "y"))
+    kept.save(rows.filter("vec_id % 7 = 0").withColumn("file_size", F.lit(-1).cast("long")))
+    return kept.read().select("vec_id", "file_path", "file_size", F.size("vector").alias("dims"), F.round(F.coalesce(F.col("pca_x").cast("double"), F.lit(9.0)), DIGITS).alias("pca_x"), F.col("pca_y").isNull().alias("unplaced"))
+
+
 @query
 def unique_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users that have several of the events whose number five divides."""

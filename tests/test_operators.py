@@ -1,5 +1,6 @@
 import datetime
 import math
+import threading
 
 import numpy as np
 import pytest
@@ -269,6 +270,31 @@ def test_ingest_stream(spark, folder, tmp_path):
     assert store.failures().count() == 1 and store.thumbnails().count() == 3
 
 
+def test_ingest_stream_stops_and_goes_on(spark, folder, tmp_path):
+    """Cancelled after a batch: what was saved stays, and a restart does the rest without doing any file twice."""
+    store, first, seen = VectorStore(spark, f"file://{tmp_path}/store"), threading.Event(), []
+
+    def note(number, saved, failed):
+        seen.append(saved + failed)
+        first.set()
+
+    run = lambda: ingest_stream(spark, str(folder), store, images.pooled_vectorizer(), f"{tmp_path}/checkpoint", files_per_batch=1, on_progress=note)
+    query = run()
+    assert first.wait(60)
+    query.stop()
+    assert 1 <= sum(seen) and store.read().count() + store.failures().count() >= 1
+    run().awaitTermination(120)
+    assert store.read().count() == 3 and store.failures().count() == 1
+
+
+def test_crop_and_stretch():
+    """The middle square of a wide picture, pixel by pixel; stretching takes all of it."""
+    wide = np.arange(4 * 10 * 3, dtype=np.uint8).reshape(4, 10, 3)
+    assert np.array_equal(images.resize(wide, 4), wide[:, 3:7].astype(float))
+    stretched = images.resize(wide, 2, crop=False)
+    assert stretched.shape == (2, 2, 3) and np.allclose(stretched[0, 0], wide[:2, 2].mean(axis=0)) and np.allclose(stretched[1, 1], wide[2:, 7].mean(axis=0))
+
+
 def test_timer_appends_rows(spark, tmp_path):
     query = append_rows(spark, f"{tmp_path}/rows", f"{tmp_path}/checkpoint", 5, 0.5)
     try:

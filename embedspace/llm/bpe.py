@@ -9,7 +9,8 @@ Text is cut by a pattern first and each match is encoded separately, as by the t
 match that is a token by itself stays whole. Matches are remembered, with a bound.
 
 Edge cases: null text counts as empty and has no tokens. Special tokens do not exist: their
-strings are ordinary text. Repeated rows are encoded alike. An empty table gives an empty result.
+strings are ordinary text. Very long texts are encoded whole; a long match has a table of its own, one
+entry a byte. Of equal ranks the leftmost pair merges first, as in the library. Repeated rows are encoded alike. An empty table gives an empty result.
 Other columns are ignored, whatever their names.
 """
 

@@ -13,8 +13,10 @@ start so that the count that passes the radius overflows, hold 64 distances at o
 distances have all overflowed are abandoned. The classes of a key are compared with its hub (the
 least class) first; only those that are not similar to it are compared with all others, in tiles of
 bounded size. As whatever is similar to the hub is connected through it, no link between components
-is lost, and large groups of copies take linear work. Pairs that are connected already aren't
-counted again.
+is lost, and large groups of copies take linear work. Of what lies within the radius a tile only
+gives out which classes hang together, never all pairs. Those that hang together but aren't all linked
+are one group: its classes meet once more, in tiles that hold their sets of shingles, where a pair that
+isn't connected yet is counted exactly and only links that connect leave the task.
 
 Edge cases: words are cut as elsewhere and A-Z lower-cased. Null text counts as empty; texts
 without a word are one class. Texts of fewer than five words have one shingle, the whole. Very
@@ -58,6 +60,8 @@ class WideConfig:
     band_rows: int = 5
     #: Classes in a chunk of a long run.
     tile: int = 1024
+    #: Classes in a chunk of a group, whose sets of shingles are at hand.
+    group: int = 256
     #: Comparisons of a run up to which they are packed into blocks together with those of other runs.
     small: int = 1 << 12
 
@@ -139,33 +143,39 @@ def sketches(docs: DataFrame, config: WideConfig) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("th"), "text"), run, "doc_id long, th long, cls long, fp binary, keys array<long>, reach int")
 
 
-def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, config: WideConfig) -> DataFrame:
-    """Those of pairs(a, b) of classes whose sets of shingles have the similarity, counted exactly.
-
-    Sets are built again from the texts, and only for classes in pairs, as few are.
-    """
-    ends = pairs.select(F.col("a").alias("__c")).unionByName(pairs.select(F.col("b").alias("__c"))).distinct()
-    wanted = materialize(classes.join(ends, F.expr("cls = __c")).select(F.col("th").alias("__th")).distinct())
+def shingle_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, config: WideConfig) -> DataFrame:
+    """(__c, hashes): the sets of shingles of the wanted(__c) classes, built again from the texts, as few are wanted."""
+    texts_of = materialize(classes.join(wanted, F.expr("cls = __c")).select(F.col("th").alias("__th")).distinct())
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingle_set(x, config) for x in raw(b.column(0))]
             yield pa.record_batch([pa.array([c for c, _ in found], pa.int64()), pa.array([h.tobytes() for _, h in found], pa.binary())], ["cls", "hashes"])
 
-    texts = docs.select("text", text_key(F.col("text")).alias("th")).join(wanted, F.expr("th = __th"), "left_semi").select("text")
-    sets = materialize(map_arrow(texts, sets_of, "cls long, hashes binary").groupBy("cls").agg(F.first("hashes").alias("hashes")))
+    texts = docs.select("text", text_key(F.col("text")).alias("th")).join(texts_of, F.expr("th = __th"), "left_semi").select("text")
+    return materialize(map_arrow(texts, sets_of, "cls long, hashes binary").groupBy(F.col("cls").alias("__c")).agg(F.first("hashes").alias("hashes")))
+
+
+def is_similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have the Jaccard similarity."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= similarity * (len(both) - common)
+
+
+def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, config: WideConfig) -> DataFrame:
+    """Those of pairs(a, b) of classes whose sets of shingles have the similarity, counted exactly."""
+    sets = shingle_sets(pairs.select(F.col("a").alias("__c")).unionByName(pairs.select(F.col("b").alias("__c"))).distinct(), classes, docs, config)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                both = np.concatenate((np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")))
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                found.append(common >= config.similarity * (len(both) - common))
+            found = [is_similar(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), config.similarity) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
 
-    x, y = sets.select(F.col("cls").alias("__c"), F.col("hashes").alias("x")), sets.select(F.col("cls").alias("__d"), F.col("hashes").alias("y"))
+    x, y = sets.withColumnRenamed("hashes", "x"), sets.select(F.col("__c").alias("__d"), F.col("hashes").alias("y"))
     joined = pairs.join(x, F.expr("a = __c")).select("a", "b", "x").join(y, F.expr("b = __d")).select("a", "b", "x", "y")
     return materialize(map_arrow(joined, count, "a long, b long"))
 
@@ -264,6 +274,47 @@ def tile_links(queries: np.ndarray, q_class: np.ndarray, lanes: np.ndarray, l_cl
     yield from zip(q_class[q].tolist(), l_class[x].tolist(), strict=True)
 
 
+def hanging_together(pairs: np.ndarray) -> np.ndarray:
+    """Rows (a, b) for pairs (a, b): each number with the least one that it hangs together with."""
+    if not len(pairs):
+        return np.zeros((0, 2), np.int64)
+    nodes, at = np.unique(pairs, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    moved = label != np.arange(len(nodes))
+    return np.column_stack((nodes[moved], nodes[label[moved]]))
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], keys: int, read: Callable[[pa.RecordBatch], list]) -> Iterator[tuple[list, np.ndarray]]:
+    """Sorted rows as columns, and where their runs of equal first `keys` columns start and end; a batch's last run waits for the next batch. Columns are arrays or lists."""
+    held: list | None = None
+    join = lambda x, y: x + y if isinstance(x, list) else np.concatenate((x, y))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = read(batch)
+        if held is not None:
+            cols = [join(x, y) for x, y in zip(held, cols, strict=True)]
+        change = np.ones(len(cols[0]), bool)
+        change[1:] = False
+        for c in cols[:keys]:
+            change[1:] |= c[1:] != c[:-1]
+        starts = np.flatnonzero(change)
+        held = [c[starts[-1] :] for c in cols]
+        yield cols, starts
+    if held is not None:
+        yield held, np.array([0, len(held[0])])
+
+
 def links(classes: DataFrame, docs: DataFrame, config: WideConfig) -> DataFrame:
     """Links (a, b) between classes(cls, th, fp, keys, reach) of docs that connect all that are similar to each other."""
     prints = classes.select(F.col("cls").alias("__c"), "fp", "reach")
@@ -295,23 +346,22 @@ def links(classes: DataFrame, docs: DataFrame, config: WideConfig) -> DataFrame:
         return each.select("key", F.col(first).alias("c"), F.col(second).alias("d"), F.lit(role).alias("role"), "cls", "reach", "fp")
 
     def in_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted rows to links. The last run of a batch waits for the next one."""
-        held: list[np.ndarray] | None = None
+        """Sorted rows to pairs of classes that hang together."""
 
-        def found(cols: list[np.ndarray], starts: np.ndarray) -> pa.RecordBatch:
+        def found(cols: list, starts: np.ndarray) -> pa.RecordBatch:
             role, cls, reach, prints = cols[3:]
             out, pairs, n = [np.zeros((0, 2), np.int64)], [], 0
 
             def compare(pairs: list[tuple[np.ndarray, np.ndarray]]) -> None:
                 q, x = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
                 near = near_pairs(prints[q], prints[x], np.maximum(reach[q], reach[x]))
-                out.append(np.column_stack((cls[q[near]], cls[x[near]])))
+                out.append(hanging_together(np.column_stack((cls[q[near]], cls[x[near]]))))
 
             for a, z in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 cut = a + int(np.searchsorted(role[a:z], 1))
                 work = (z - cut) * (cut - a)
                 if work > config.small:
-                    out.append(np.array(list(tile_links(prints[cut:z], cls[cut:z], prints[a:cut], cls[a:cut], (reach[cut:z], reach[a:cut]))), np.int64).reshape(-1, 2))
+                    out.append(hanging_together(np.array(list(tile_links(prints[cut:z], cls[cut:z], prints[a:cut], cls[a:cut], (reach[cut:z], reach[a:cut]))), np.int64).reshape(-1, 2)))
                 elif work:
                     q, x = np.repeat(np.arange(cut, z), cut - a), np.tile(np.arange(a, cut), z - cut)
                     other = cls[q] != cls[x]
@@ -322,34 +372,76 @@ def links(classes: DataFrame, docs: DataFrame, config: WideConfig) -> DataFrame:
                         pairs, n = [], 0
             if pairs:
                 compare(pairs)
-            ends = np.concatenate(out)
-            ends = ends[ends[:, 0] != ends[:, 1]]
+            ends = hanging_together(np.concatenate(out))
             return pa.record_batch([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)] + [matrix(batch.column(6), config)]
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            change = np.ones(len(cols[0]), bool)
-            change[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])
-            starts = np.flatnonzero(change)
-            held = [c[starts[-1] :] for c in cols]
+        numbers = lambda b: [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)] + [matrix(b.column(6), config)]
+        for cols, starts in runs_of(batches, 3, numbers):
             yield found(cols, starts)
-        if held is not None:
-            yield found(held, np.array([0, len(held[0])]))
 
     rows = placed(shared, 0).unionByName(placed(rest, 1))
     ordered = rows.repartition("key", "c", "d").sortWithinPartitions("key", "c", "d", "role")
-    near = materialize(map_arrow(ordered, in_tiles, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    done = tested.select(F.greatest("a", "b").alias("__b"), F.least("a", "b").alias("__a"))
-    near = near.join(done, F.expr("a = __a and b = __b"), "left_anti")
-    labels = components(linked)
-    for end in ("a", "b"):
-        near = near.join(labels.select(F.col("node").alias("__n"), F.col("label").alias(f"l{end}")), F.expr(f"{end} = __n"), "left").drop("__n")
-    apart = materialize(near.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"))
-    return linked.unionByName(similar(apart, classes, docs, config))
+    near = map_arrow(ordered, in_tiles, "a long, b long").filter("a <> b").unionByName(tested).distinct()
+    return linked.unionByName(links_in_groups(materialize(near), linked, classes, docs, config))
+
+
+def links_in_groups(near: DataFrame, linked: DataFrame, classes: DataFrame, docs: DataFrame, config: WideConfig) -> DataFrame:
+    """Further links (a, b), exact ones, between classes that hang together by near(a, b) but aren't connected by linked(a, b).
+
+    In a group, the classes of all its parts but the greatest one meet all of the group's, in tiles.
+    """
+    labels = components(linked).select(F.col("node").alias("__n"), F.col("label").alias("__l"))
+    members = components(near).select(F.col("node").alias("cls"), F.col("label").alias("grp"))
+    members = materialize(members.join(labels, F.expr("cls = __n"), "left").select("cls", "grp", F.coalesce("__l", "cls").alias("part")))
+    parts = members.groupBy("grp", "part").agg(F.count("*").alias("n"))
+    chunks = lambda n: F.ceil(n / config.group).cast("int")
+    groups = parts.groupBy(F.col("grp").alias("__g")).agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("others")).filter("others > 0")
+    groups = materialize(groups.select("__g", "main", chunks(F.col("all")).alias("g"), chunks(F.col("others")).alias("h")))
+    members = materialize(members.join(groups, F.expr("grp = __g")).drop("__g"))
+    sets = shingle_sets(members.select(F.col("cls").alias("__c")), classes, docs, config)
+    prints = classes.select(F.col("cls").alias("__p"), "fp", "reach")
+    held = materialize(members.join(sets, F.expr("cls = __c")).drop("__c").join(prints, F.expr("cls = __p")).drop("__p"))
+
+    def placed(rows: DataFrame, role: int) -> DataFrame:
+        own, other = ("g", "h") if role == 0 else ("h", "g")
+        each = rows.withColumn("own", F.pmod(F.xxhash64("cls", F.lit(role)), F.col(own)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        first, second = ("own", "other") if role == 0 else ("other", "own")
+        return each.select("grp", F.col(first).alias("c"), F.col(second).alias("d"), F.lit(role).alias("role"), "cls", "part", "reach", "fp", "hashes")
+
+    def in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted rows to links that connect parts."""
+        read = lambda b: [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(7)] + [matrix(b.column(7), config), [np.frombuffer(x, "<u8") for x in b.column(8).to_pylist()]]
+        for cols, starts in runs_of(batches, 3, read):
+            role, cls, part, reach, prints, sets = cols[3:]
+            out = []
+            for a, z in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                cut = a + int(np.searchsorted(role[a:z], 1))
+                if cut in (a, z):
+                    continue
+                place = {c: i for i, c in reversed(list(enumerate(cls[a:z].tolist(), a)))}
+                if (z - cut) * (cut - a) > config.small:
+                    pairs = [(place[x], place[y]) for x, y in tile_links(prints[cut:z], cls[cut:z], prints[a:cut], cls[a:cut], (reach[cut:z], reach[a:cut]))]
+                else:
+                    q, x = np.repeat(np.arange(cut, z), cut - a), np.tile(np.arange(a, cut), z - cut)
+                    near = near_pairs(prints[q], prints[x], np.maximum(reach[q], reach[x]))
+                    pairs = list(zip(q[near].tolist(), x[near].tolist(), strict=True))
+                root = {p: p for p in part[a:z].tolist()}
+
+                def find(p: int, root: dict[int, int] = root) -> int:
+                    while root[p] != p:
+                        root[p] = p = root[root[p]]
+                    return p
+
+                for x, y in pairs:
+                    p, q = find(int(part[x])), find(int(part[y]))
+                    if p != q and is_similar(sets[x], sets[y], config.similarity):
+                        root[p] = q
+                        out.append((int(cls[x]), int(cls[y])))
+            yield pa.record_batch([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], ["a", "b"])
+
+    rows = placed(held, 0).unionByName(placed(held.filter("part <> main"), 1))
+    ordered = rows.repartition("grp", "c", "d").sortWithinPartitions("grp", "c", "d", "role")
+    return materialize(map_arrow(ordered, in_groups, "a long, b long"))
 
 
 def memberships(docs: DataFrame, config: WideConfig | None = None) -> DataFrame:

@@ -436,6 +436,34 @@ def test_wide_simhash_repeated_ids(spark):
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, [(1, SENTENCE), (2, other), (2, third), (4, "x y z"), (4, "one two three"), (None, "alone without an id"), (None, None), (None, "second alone")]))
 
 
+@pytest.mark.parametrize("group", [256, 8])
+def test_wide_simhash_gives_no_pairs_of_a_group(spark, group, monkeypatch):
+    """Many copies with edits of their own, similar to few others: all hang together, links are exact and no more than connect."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 7)))
+    base = " ".join(word() for _ in range(200))
+    rows = [(i, edited(rng, base, rng.choice([0.01, 0.02, 0.03]))) for i in range(150)] + [(500 + i, " ".join(word() for _ in range(60))) for i in range(10)]
+    docs, config = documents(spark, rows), sw.WideConfig(tile=32, small=64, group=group)
+    seen = []
+    inner = sw.links_in_groups
+    monkeypatch.setattr(sw, "links_in_groups", lambda near, *rest: seen.append((near.count(), (out := inner(near, *rest)).count())) or out)
+    got = {r["doc_id"]: r["component_id"] for r in sw.memberships(docs, config).collect()}
+    assert got == dict(by_similarity(rows)) and 1 < len(set(got.values())) < 160
+    assert seen[0][0] < 3000 and seen[0][1] < 3000  # of 11175 pairs
+
+
+def test_hanging_together():
+    rng = np.random.default_rng(2)
+    pairs = rng.integers(0, 400, (250, 2))
+    found = dict(sw.hanging_together(pairs).tolist())
+    label = {int(x): int(x) for x in pairs.reshape(-1)}
+    for _ in range(400):
+        for a, b in pairs.tolist():
+            label[a] = label[b] = min(label[a], label[b])
+    assert {n: found.get(n, n) for n in label} == label and all(a != b for a, b in found.items())
+    assert sw.hanging_together(np.zeros((0, 2), np.int64)).shape == (0, 2)
+
+
 def test_wide_simhash_radii():
     """Radii of lanes differ; the chance that bits differ, by drawn bits."""
     config, rng = sw.WideConfig(), np.random.default_rng(5)

@@ -33,6 +33,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,12 +53,14 @@ class LmConfig:
     least_words: int = 1024
     most_words: int = 16_384
     groups: int = 64
-    dims: int = 24
+    dims: int = 16
     #: Noise draws for a batch, at each level.
-    noise: int = 24
-    batch: int = 4096
+    noise: int = 16
+    batch: int = 8192
     rounds: int = 1
     rate: float = 0.05
+    #: Deviation of the vectors' first values.
+    spread: float = 0.1
     seed: int = 1
 
 
@@ -70,6 +73,30 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
+#: Bytes of text that are cut into words at a time; a longer text is a slice of its own.
+SLICE = 16 << 20
+
+
+def token_slices(texts: pa.Array) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Slices of the texts as (distinct words, the end first; place of every token among them; where each text starts, and the end), all cut and numbered in Arrow."""
+    texts = pc.fill_null(texts, "")
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        until = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE, "right")))
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(at, until - at)))
+        coded = split.flatten().dictionary_encode()
+        words = [END, *coded.dictionary.cast(pa.binary()).to_pylist()]
+        place = coded.indices.to_numpy(zero_copy_only=False) + 1
+        cuts = np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))))
+        if END in words[1:]:  # what is left of spaces at an end of a text is no word
+            real = place != words.index(END, 1)
+            cuts = np.concatenate(([0], np.cumsum(real)))[cuts]
+            place = place[real]
+        yield words, np.insert(place, cuts[1:], 0), cuts + np.arange(len(cuts))
+        at = until
+
+
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text) to (word, n); counts are given out before they fill the memory."""
     counts: Counter[bytes] = Counter()
@@ -118,16 +145,21 @@ class WordNumbers(dict):
         return c
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
     def classes(self, numbers: np.ndarray) -> np.ndarray:
         return np.where(numbers >= 0, self.words.classes[numbers], -1 - numbers) if len(self.words.classes) else -1 - numbers
 
 
-def contexts(classes: np.ndarray, end: int) -> np.ndarray:
-    """The classes before each token of a text, the nearest first; ends come before a text."""
-    padded = np.concatenate((np.full(CONTEXT, end), classes))
-    return np.column_stack([padded[CONTEXT - i : len(padded) - i] for i in range(1, CONTEXT + 1)])
+def contexts(classes: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
+    """The classes before each token, the nearest first, of texts that start at these places; ends come before a text."""
+    out = np.full((CONTEXT, len(classes)), end, classes.dtype)
+    for i in range(1, CONTEXT + 1):
+        out[i - 1, i:] = classes[:-i]
+        for k in range(i):
+            at = starts + k
+            out[i - 1, at[at < len(classes)]] = end
+    return out.T
 
 
 @dataclass
@@ -150,7 +182,7 @@ class LogBilinear:
         bounds = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(counts)]))
         rng, d, k, c = np.random.default_rng(config.seed), config.dims, len(counts), len(bounds) - 1
         whole = np.add.reduceat(share, bounds[:-1])
-        near = lambda n: rng.normal(0, 0.1, (n, d))
+        near = lambda n: rng.normal(0, config.spread, (n, d))
         parts = {"r": near(k), "c": np.stack([np.eye(d) / 2**i for i in range(CONTEXT)]), "u": near(c), "a": np.log(whole), "q": near(k), "b": np.log(share) - np.log(np.repeat(whole, np.diff(bounds)))}
         return cls(bounds, share, {n: p.astype(np.float32) for n, p in parts.items()})
 
@@ -177,8 +209,9 @@ class LogBilinear:
 
 
 def normalised(energy: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log-softmax of each row's energies, at one place of each."""
-    energy = energy - energy.max(axis=1, keepdims=True)
+    """Log-softmax of each row's energies, at one place of each. Works in the energies' memory."""
+    if energy.size and max(energy.max(), -energy.min()) > 60:
+        energy -= energy.max(axis=1, keepdims=True)
     chosen = energy[np.arange(len(at)), at].astype(np.float64)
     return chosen - np.log(np.exp(energy, out=energy).sum(axis=1, dtype=np.float64))
 
@@ -231,7 +264,7 @@ class Trainer:
         return own
 
     def step(self, before: np.ndarray, after: np.ndarray) -> None:
-        order = np.argsort(after, kind="stable")
+        order = np.argsort(after, kind="stable")  # of 16-bit numbers: by radix
         before, after = before[order], after[order]
         p, bounds, scale = self.parts, self.model.bounds, np.float32(1 / len(after))
         own = np.searchsorted(bounds, after, "right") - 1
@@ -279,10 +312,10 @@ def train_round(training: DataFrame, model: LogBilinear, words: Words, config: L
             before, after, held, seen = [x[done:]], [y[done:]], held - done, seen + done
 
         for b in batches:
-            for text in raw(b.column(0)):
-                classes = known.classes(known.of(tokens(text)))
-                before.append(contexts(classes, words.end).astype(np.int32))
-                after.append(classes.astype(np.int32))
+            for distinct, place, cuts in token_slices(b.column(0)):
+                classes = known.classes(known.of(distinct)).astype(np.int16)[place]
+                before.append(contexts(classes, cuts[:-1], words.end))
+                after.append(classes)
                 held += len(classes)
                 work(16 * config.batch)
         work(1)
@@ -354,26 +387,29 @@ def lm_scores(docs: DataFrame, config: LmConfig | None = None) -> DataFrame:
         shared = np.zeros(len(room), bool)
         shared[words.groups] = True
         names = ["doc_id", "held_out", "row", "n_tokens", "n_frequent", "base", "model", "words", "counts"]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64()))
         for b in batches:
-            texts, at = raw(b.column("text")), 0
-            while at < len(texts):
-                rows, before, after, size, first = [], [], [], 0, at
-                while at < len(texts) and (not rows or size < 1 << 18):
-                    text = tokens(texts[at])
-                    numbers = known.of(text)
-                    own, often = known.classes(numbers), numbers >= 0
-                    rare = Counter(text[i] for i in np.flatnonzero(~often).tolist())
-                    logs = words.logs[numbers[often]]
-                    rows.append([nth, len(text), int(often.sum()), float(logs.sum()) - len(text) * np.log10(n_all + v_all + 1), float(logs[shared[own[often]]].sum()) - float(room[own].sum()), [w.decode() for w in rare], list(rare.values())])
-                    before.append(contexts(own, words.end))
-                    after.append(own)
-                    size, nth, at = size + len(text), nth + 1, at + 1
-                found = model.log_probabilities(np.concatenate(before), np.concatenate(after)) / np.log(10)
-                for r, x in zip(rows, np.add.reduceat(found, np.cumsum([0, *(len(a) for a in after[:-1])])).tolist(), strict=True):
-                    r[4] += x
-                part = b.slice(first, at - first)
-                yield pa.record_batch([part.column("doc_id"), part.column("held_out"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names)
+            at = 0
+            for distinct, place, cuts in token_slices(b.column("text")):
+                numbers = known.of(distinct)
+                of_word = known.classes(numbers)
+                classes, often, first = of_word[place], numbers >= 0, cuts[:-1]
+                logs = np.where(often, words.logs[numbers], 0.0) if len(words.logs) else np.zeros(len(distinct))
+                texts, total = len(first), lambda x, first=first: np.add.reduceat(x, first)
+                n_tokens, n_frequent = np.diff(cuts), total(often[place].astype(np.int64))
+                base = total(logs[place]) - n_tokens * np.log10(n_all + v_all + 1)
+                inside = np.where(shared[of_word], logs, 0.0) - room[of_word]
+                found = total(model.log_probabilities(contexts(classes, first, words.end), classes)) / np.log(10) + total(inside[place])
+                rare = np.flatnonzero(~often[place])
+                text_of = np.searchsorted(cuts, rare, "right") - 1
+                pairs, n = np.unique(text_of * len(distinct) + place[rare], return_counts=True)
+                offsets = pa.array(np.searchsorted(pairs // len(distinct), np.arange(texts + 1)), pa.int32())
+                rare_words = pa.array(distinct, pa.binary()).cast(pa.string()).take(pa.array(pairs % len(distinct)))
+                part = b.slice(at, texts)
+                yield pa.record_batch([
+                    part.column("doc_id"), part.column("held_out"), pa.array(np.arange(nth, nth + texts)), pa.array(n_tokens.astype(np.int64)), pa.array(n_frequent), pa.array(base), pa.array(found),
+                    pa.ListArray.from_arrays(offsets, rare_words), pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int64))),
+                ], names)
+                at, nth = at + texts, nth + texts
 
     rows = materialize(map_arrow(own, score, "doc_id long, held_out boolean, row long, n_tokens long, n_frequent long, base double, model double, words array<string>, counts array<long>"))
     rare = rows.select("row", F.inline(F.arrays_zip("words", "counts")))

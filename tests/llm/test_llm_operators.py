@@ -539,20 +539,37 @@ def test_lm_forward_pass_by_brute_force():
     for before in rng.integers(0, 30, (20, 3)):
         got = model.log_probabilities(np.tile(before, (30, 1)), np.arange(30), 7)
         assert np.allclose(got, [brute(before, k) for k in range(30)], atol=1e-4) and abs(np.exp(got).sum() - 1) < 1e-5
-    assert lm_scoring.contexts(np.array([7, 8, 9, 5]), 0).tolist() == [[0, 0, 0], [7, 0, 0], [8, 7, 0], [9, 8, 7]]
+    two = lm_scoring.contexts(np.array([7, 8, 9, 5, 4, 6, 3]), np.array([0, 4]), 0).tolist()
+    assert two == [[0, 0, 0], [7, 0, 0], [8, 7, 0], [9, 8, 7], [0, 0, 0], [4, 0, 0], [6, 4, 0]]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("aB \t\n\x0b\x0c\r\x1cÉ\u00a0", max_size=12) | st.none(), max_size=6), st.integers(1, 20))
+def test_lm_tokens(texts, size):
+    """Words and ends of every text, in order, whatever the slices."""
+    import pyarrow as pa
+
+    got, old = [], lm_scoring.SLICE
+    try:
+        lm_scoring.SLICE = size
+        for distinct, place, cuts in lm_scoring.token_slices(pa.array(texts, pa.string())):
+            got += [[distinct[i].decode() for i in place[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
+    finally:
+        lm_scoring.SLICE = old
+    assert got == [[*words(lower(t or "")), ""] for t in texts]
 
 
 def test_lm_training_learns_from_three_classes_back():
     """A token that repeats the one three places before it, in a fifth of cases anything: contexts must tell it."""
-    rng, config = np.random.default_rng(0), lm_scoring.LmConfig(dims=16, batch=512)
+    rng, config = np.random.default_rng(0), lm_scoring.LmConfig(dims=16, batch=512, noise=24)
     text = rng.integers(1, 20, 60_000)
     for i in range(3, len(text)):
         if rng.random() < 0.8:
             text[i] = text[i - 3]
     rank = np.argsort(-np.bincount(text, minlength=20), kind="stable")
-    text = np.argsort(rank)[text]
+    text = np.argsort(rank)[text].astype(np.int16)
     model = lm_scoring.LogBilinear.start(np.bincount(text, minlength=20).astype(float), config)
-    trainer, before = lm_scoring.Trainer(model, config, [1]), lm_scoring.contexts(text, 0)
+    trainer, before = lm_scoring.Trainer(model, config, [1]), lm_scoring.contexts(text, np.array([0]), 0)
     start = -model.log_probabilities(before[-5000:], text[-5000:]).mean()
     for i in range(0, 55_000, 512):
         trainer.step(before[i : i + 512], text[i : i + 512])

@@ -355,7 +355,8 @@ def lm_scores(docs: DataFrame, config: LmConfig | None = None) -> DataFrame:
     group = (F.crc32(F.substring("word", -2, 2).cast("binary")) % config.groups).cast("int")
     total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, v_all = int(total["n"]), int(total["v"])
-    often = vocabulary.filter(F.col("c") * config.dictionary > n_all).toArrow()
+    is_often = (F.col("c") * config.dictionary > n_all) | (F.col("word") == "")  # the end always is
+    often = vocabulary.filter(is_often).toArrow()
     frequent = dict(sorted(zip((w.encode() for w in often.column("word").to_pylist()), often.column("c").to_pylist(), strict=True), key=lambda x: (-x[1], x[0])))
     wanted = min(config.most_words, max(config.least_words, int(config.own_share * len(frequent))))
     singles = [END, *(w for w in list(frequent)[:wanted] if w != END)][:wanted]
@@ -372,7 +373,7 @@ def lm_scores(docs: DataFrame, config: LmConfig | None = None) -> DataFrame:
     groups = place[len(singles) :]
     known_classes = np.array([own_place[w] if w in own_place else groups[group_of(w, config)] for w in names], np.int64)
     words = Words({w: i for i, w in enumerate(names)}, known_classes, np.log10(np.array([frequent[w] for w in names], float) + 1), groups, int(place[0]), config)
-    if END not in frequent:  # so rare an end, or no training text: it still has its class
+    if END not in frequent:  # no training text: the end still has its class
         words.numbers[END] = -1 - words.end
     model = LogBilinear.start(counts[rank], config)
     for number in range(config.rounds):
@@ -413,7 +414,7 @@ def lm_scores(docs: DataFrame, config: LmConfig | None = None) -> DataFrame:
 
     rows = materialize(map_arrow(own, score, "doc_id long, held_out boolean, row long, n_tokens long, n_frequent long, base double, model double, words array<string>, counts array<long>"))
     rare = rows.select("row", F.inline(F.arrays_zip("words", "counts")))
-    known = vocabulary.filter(F.col("c") * config.dictionary <= n_all).select(F.col("word").alias("__w"), "c")
+    known = vocabulary.filter(~is_often).select(F.col("word").alias("__w"), "c")
     more = rare.join(known, F.expr("words = __w")).groupBy(F.col("row").alias("__r")).agg(F.sum("counts").alias("seen"), F.sum(F.col("counts") * F.log10(F.col("c") + 1)).alias("more"))
     out = rows.drop("words", "counts").join(more, F.expr("row = __r"), "left")
     extra = F.coalesce("more", F.lit(0.0))

@@ -23,8 +23,8 @@ BROADCAST_BYTES = 64 << 20
 TILE_ROWS, BLOCK_ROWS = 4096, 1024
 
 
-def matrix(column: pa.Array, dims: int | None = None) -> np.ndarray:
-    """Rows of equal length (dims, if given) as a matrix of doubles."""
+def matrix(column: pa.Array, dims: int | None = None, kind: type = np.float64) -> np.ndarray:
+    """Rows of equal length (dims, if given) as a matrix of doubles, or of another kind."""
     if not len(column):
         return np.zeros((0, dims or 0))
     sizes = pc.list_value_length(column)
@@ -32,8 +32,8 @@ def matrix(column: pa.Array, dims: int | None = None) -> np.ndarray:
     if column.null_count or least != most or dims not in (None, most):
         raise VectorError(f"vectors of {least} to {most} numbers, of {most if dims is None else dims}, or null ones")
     flat = column.flatten()
-    numbers = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-    if flat.null_count or np.isnan(numbers).any():
+    numbers = flat.to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(len(column), -1)
+    if flat.null_count or numbers.size and np.isnan(numbers.min()):  # a least number is NaN if any is
         raise VectorError("vectors that hold nulls or NaN")
     return numbers
 
@@ -85,8 +85,11 @@ def greatest_entries(m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     if not n or not k:
         return np.zeros((n, k), np.int64), np.zeros((n, k))
     edge = np.partition(m, d - k, axis=1)[:, d - k, None]
-    above, level = m > edge, m == edge
-    chosen = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+    chosen = m >= edge
+    tied = np.flatnonzero(np.count_nonzero(chosen, axis=1) > k)
+    if len(tied):
+        above, level = m[tied] > edge[tied], m[tied] == edge[tied]
+        chosen[tied] = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)))
     at = np.nonzero(chosen)[1].reshape(n, k)
     values = np.take_along_axis(m, at, axis=1)
     order = np.argsort(-values, axis=1, kind="stable")
@@ -98,9 +101,9 @@ def sparse_entries(df: DataFrame, k: int = 10) -> DataFrame:
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
-            at, values = greatest_entries(matrix(b.column(1)), k)
+            at, values = greatest_entries(matrix(b.column(1), kind=np.float32), k)
             ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), at.shape[1])
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(at.reshape(-1).astype(np.int32)), pa.array(values.reshape(-1).astype(np.float32))], ["vec_id", "dim", "val"])
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(at.reshape(-1).astype(np.int32)), pa.array(values.reshape(-1))], ["vec_id", "dim", "val"])
 
     return df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast("array<float>").alias("vector")).mapInArrow(pick, "vec_id long, dim int, val float")
 
@@ -114,7 +117,7 @@ def sparse_similarity_to(df: DataFrame, anchor: int, k: int = 10) -> DataFrame:
     one = anchor_row(df, anchor)
     if one is None:
         return df.sparkSession.createDataFrame([], SIMILARITIES)
-    at, values = greatest_entries(one[None], k)
+    at, values = greatest_entries(one[None].astype(np.float32), k)
     wanted = np.zeros(len(one))
     wanted[at[0]] = values[0]
     sent = df.sparkSession.sparkContext.broadcast(wanted)
@@ -122,12 +125,13 @@ def sparse_similarity_to(df: DataFrame, anchor: int, k: int = 10) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for b in blocks(batches):
-            at, values = greatest_entries(matrix(b.column(1), len(own)), k)
+            at, values = greatest_entries(matrix(b.column(1), len(own), np.float32), k)
+            values = values.astype(np.float64)
             size = np.sqrt((values * values).sum(axis=1)) * np.sqrt(own @ own)
             dot = (values * own[at]).sum(axis=1)
             yield pa.record_batch([b.column(0), pa.array(np.divide(dot, size, out=np.zeros(len(dot)), where=size > 0))], ["vec_id", "similarity"])
 
-    return df.filter(F.col("vec_id") != anchor).select(F.col("vec_id").cast("long").alias("vec_id"), "vector").mapInArrow(meet, SIMILARITIES)
+    return df.filter(F.col("vec_id") != anchor).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast("array<float>").alias("vector")).mapInArrow(meet, SIMILARITIES)
 
 
 def block_pairs(ids: np.ndarray, rows: np.ndarray, other_ids: np.ndarray, others: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
